@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import langid
+from wayfold.llm import langid, lz
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_lz_fingerprint": op1_lz_fingerprint,
     "op8_language_id": op8_language_id,
 }
 
