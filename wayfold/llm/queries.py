@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import langid, lz
+from wayfold.llm import langid, lz, ppm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,14 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), remainder(5) == 1)
+
+
 QUERIES = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op8_language_id": op8_language_id,
+    "op10_ppm_score": op10_ppm_score,
 }
 
 ORACLES: dict[str, str] = {}
