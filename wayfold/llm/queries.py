@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import langid, lz, ppm
+from wayfold.llm import cover_dedup, langid, lz, ppm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op5_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, remainder(3) != 1))
@@ -33,6 +37,7 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
+    "op5_cover_dedup": op5_cover_dedup,
     "op8_language_id": op8_language_id,
     "op10_ppm_score": op10_ppm_score,
 }
