@@ -16,20 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_CHARS = 8_000_000
+BUCKET_CHARS = 4_000_000
+PART_CHARS = 8_000_000
 
 
 def bucketed(docs: DataFrame, keep: list[str] | None = None, bucket_chars: int = BUCKET_CHARS) -> tuple[DataFrame, int]:
-    """(bucket, doc_id, text, *keep) of all rows, dealt by bucket, and the number of buckets. Null texts become empty.
+    """(bucket, doc_id, text, *keep) of all rows, dealt by bucket, and a number of parts. Null texts become empty.
 
     One number, the corpus's length, comes to the driver. The deal is by a hash of id and text, so that neither null
     nor repeated ids gather, and it is the same whenever it is computed again.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(keep or []))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(2 * partitions, math.ceil(chars / bucket_chars))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("bucket"), *rows.columns), n
+    n = math.ceil(chars / bucket_chars) + 1
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("bucket"), *rows.columns), math.ceil(chars / PART_CHARS) + 1
 
 
 def split_by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
