@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bm25_pack, cover_dedup, langid, lz, ppm
+from wayfold.llm import bm25_pack, cover_dedup, langid, lz, omh, ppm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_pack.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -41,6 +45,7 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
+    "op2_order_minhash": op2_order_minhash,
     "op3_bm25_packing": op3_bm25_packing,
     "op5_cover_dedup": op5_cover_dedup,
     "op8_language_id": op8_language_id,
