@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bm25_pack, cover_dedup, langid, lz, omh, ppm
+from wayfold.llm import bm25_pack, cover_dedup, langid, lz, mixing, omh, ppm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op5_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.coalesce("source", F.lit(mixing.UNKNOWN)).alias("source"), F.coalesce("lang", F.lit(mixing.UNKNOWN)).alias("lang"), "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, remainder(3) != 1))
@@ -48,8 +53,11 @@ QUERIES = {
     "op2_order_minhash": op2_order_minhash,
     "op3_bm25_packing": op3_bm25_packing,
     "op5_cover_dedup": op5_cover_dedup,
+    "op6_mixing": op6_mixing,
     "op8_language_id": op8_language_id,
     "op10_ppm_score": op10_ppm_score,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.oracle(),
+}
