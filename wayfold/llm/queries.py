@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bm25_pack, cover_dedup, langid, lz, mixing, omh, ppm
+from wayfold.llm import bm25_pack, cover_dedup, langid, lz, mixing, omh, ppm, pstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.coalesce("source", F.lit(mixing.UNKNOWN)).alias("source"), F.coalesce("lang", F.lit(mixing.UNKNOWN)).alias("lang"), "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op7_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, remainder(3) != 1))
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_bm25_packing": op3_bm25_packing,
     "op5_cover_dedup": op5_cover_dedup,
     "op6_mixing": op6_mixing,
+    "op7_multiprobe": op7_multiprobe,
     "op8_language_id": op8_language_id,
     "op10_ppm_score": op10_ppm_score,
 }
