@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bm25_pack, cover_dedup, langid, lz, mixing, omh, ppm, pstable
+from wayfold.llm import bm25_pack, cover_dedup, html_blocks, langid, lz, mixing, omh, ppm, pstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), remainder(5) == 1)
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_multiprobe": op7_multiprobe,
     "op8_language_id": op8_language_id,
+    "op9_html_blocks": op9_html_blocks,
     "op10_ppm_score": op10_ppm_score,
 }
 
