@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bm25_pack, cover_dedup, html_blocks, langid, lz, mixing, omh, ppm, pstable
+from wayfold.llm import bm25_pack, bwt_dedup, cover_dedup, html_blocks, langid, lz, mixing, omh, ppm, pstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_pack.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op2_order_minhash": op2_order_minhash,
     "op3_bm25_packing": op3_bm25_packing,
+    "op4_interval_expansion": op4_interval_expansion,
     "op5_cover_dedup": op5_cover_dedup,
     "op6_mixing": op6_mixing,
     "op7_multiprobe": op7_multiprobe,
