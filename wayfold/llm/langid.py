@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 8192
 MAX_LANGUAGES = 64
@@ -101,19 +102,23 @@ def fit(docs: DataFrame, training: Column, per_language: int = 400) -> Model:
     return Model(x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)), [r.lang for r in rows])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row, from the whole text.
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, lang_pred and score of every row, from the whole text.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every row if no language was learnt. Ties take
-    the language first in the alphabet. Repeated rows are kept; other columns are not read.
+    the language first in the alphabet. Repeated rows are kept; columns that are not kept are not read, and a kept one of
+    the name of a result gives way to it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text_read"))
+    schema = T.StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), _BATCH):
                 b = batch.slice(at, _BATCH)
-                texts = b.column(1).to_pylist()
+                texts = b.column(len(keep)).to_pylist()
                 known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
                 languages, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 if known:
@@ -121,6 +126,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     scores[known] = value
                     for i, name in zip(known, found, strict=True):
                         languages[i] = name
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(languages, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(languages, pa.string()), pa.array(scores)], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(score, schema)
