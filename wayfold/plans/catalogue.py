@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from wayfold.plans import trip_queries
+
+MODULES = (trip_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
