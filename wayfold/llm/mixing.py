@@ -10,13 +10,14 @@ Only DataFrame functions are used. The corpus is shuffled only as partial sums b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm._store import saved
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 12
+SMALL = 100_000  # cells
 SOURCE_POWER, LANGUAGE_POWER, TOPIC_POWER = 0.5, 0.7, 1.0
 UNKNOWN = "unknown"
 
@@ -49,18 +50,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     """Adds ``raked`` to the cells: tokens fitted to the targets, which are shares by margin.
 
     A value without a target gets none of the tokens. After ``sweeps`` rounds over the margins the last one is met
-    exactly, the others as nearly as the rounds allow. The table of cells is written to the shared folder after each.
+    exactly, the others as nearly as the rounds allow. Each step divides by a window's sum. Up to SMALL cells lie in one
+    partition, where the windows need no exchange; more are dealt anew for each margin.
     """
-    current = cells.withColumn("raked", F.col("tokens").cast("double"))
-    whole = cells.agg(F.sum("tokens").cast("double").alias("whole")).select("whole").scalar()
-    current = saved(current.withColumn("whole", whole))
+    whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))
+    current = cells.withColumn("raked", F.col("tokens").cast("double")).withColumn("whole", whole.scalar())
+    for margin, target in targets.items():
+        share = target.select(margin, F.col("target").alias(f"target_{margin}"))
+        current = current.join(share, margin, "left").withColumn(f"target_{margin}", F.coalesce(f"target_{margin}", F.lit(0.0)))
+    if cells.count() <= SMALL:
+        current = current.coalesce(1)
     for _ in range(sweeps):
-        for margin, target in targets.items():
-            sums = current.groupBy(margin).agg(F.sum("raked").alias("now"))
-            factor = sums.join(target, margin, "left").select(margin, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("factor"))
-            current = current.join(factor, margin).withColumn("raked", F.col("raked") * F.col("factor") * F.col("whole")).drop("factor")
-        current = saved(current)
-    return current.drop("whole")
+        for margin in targets:
+            now = F.sum("raked").over(Window.partitionBy(margin))
+            current = current.withColumn("raked", F.when(now > 0, F.col("raked") * F.col(f"target_{margin}") / now * F.col("whole")).otherwise(0.0))
+    return saved(current.select(*cells.columns, "raked"))
 
 
 def sampling_position() -> Column:
@@ -88,7 +92,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: floa
     cells = rows.groupBy(F.col("cell_source").alias("source"), F.col("cell_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
     cells = saved(cells.where("tokens > 0"))
     powers = dict(zip(MARGINS, (SOURCE_POWER, LANGUAGE_POWER, TOPIC_POWER), strict=True))
-    targets = targets or {m: saved(tempered(cells, m, p)) for m, p in powers.items()}
+    targets = targets or {m: tempered(cells, m, p) for m, p in powers.items()}
     raked = rake(cells, targets, sweeps).withColumn("weight", F.col("raked") / F.col("tokens"))
     largest = raked.agg(F.max("weight").alias("largest")).select("largest").scalar()
     weights = raked.select(F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), "topic", "weight", F.least(F.lit(1.0), F.col("weight") / largest * rate).alias("probability"))
