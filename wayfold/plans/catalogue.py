@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfold.plans import ingest_queries, trip_queries
+from wayfold.plans import ingest_queries, mapping_queries, trip_queries
 
-MODULES = (trip_queries, ingest_queries)
+MODULES = (trip_queries, ingest_queries, mapping_queries)
 
 
 def queries() -> dict:
