@@ -1,0 +1,77 @@
+"""A seeded generator of telemetry as a batch source, one partition a vehicle."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+SCHEMA = "vehicle_id long, tick long, t_us long, speed_kmh double, battery_soc double, odometer_km double, state string"
+_A, _C, _M = 1664525, 1013904223, 2**32
+CADENCE_S = (3, 4, 5)
+ACCELERATION, BRAKING = 9.0, 16.0  # km/h a second
+
+
+class Generator:
+    """The linear congruential generator s = (1664525 s + 1013904223) mod 2**32."""
+
+    def __init__(self, seed: int):
+        self.state = seed % _M
+
+    def next(self) -> float:
+        self.state = (_A * self.state + _C) % _M
+        return self.state / _M
+
+
+def drive(vehicle: int, ticks: int, seed: int) -> Iterator[tuple]:
+    """Samples of one vehicle: it speeds up to a target, brakes for stops, charges when it is low."""
+    rng, cadence = Generator(seed + 7919 * vehicle), CADENCE_S[vehicle % 3]
+    speed, soc, odometer, state, target = 0.0, 60.0 + 40.0 * rng.next(), 1000.0 * rng.next(), "IDLE", 0.0
+    for tick in range(ticks):
+        draw = rng.next()
+        if state == "CHARGING":
+            soc = min(100.0, soc + 0.15 * cadence)
+            state = "IDLE" if soc >= 90 else state
+        elif soc < 15 and speed == 0:
+            state = "CHARGING"
+        elif draw < 0.04:
+            target = 0.0
+        elif draw > 0.9:
+            target = 30.0 + 90.0 * rng.next()
+        if state != "CHARGING":
+            speed = min(target, speed + ACCELERATION * cadence) if target > speed else max(target, speed - BRAKING * cadence)
+            odometer += speed * cadence / 3600
+            soc = max(0.0, soc - speed * cadence / 36000)
+            state = "MOVING" if speed > 0.5 else "IDLE"
+        yield vehicle, tick, tick * cadence * 1_000_000, round(speed, 3), round(soc, 3), round(odometer, 4), state
+
+
+class _Vehicle(InputPartition):
+    def __init__(self, vehicle: int):
+        self.vehicle = vehicle
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.vehicles, self.ticks, self.seed = (int(options.get(k, v)) for k, v in (("vehicles", 10), ("ticks", 100), ("seed", 42)))
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Vehicle(v) for v in range(self.vehicles)]
+
+    def read(self, partition: _Vehicle) -> Iterator[tuple]:
+        yield from drive(partition.vehicle, self.ticks, self.seed)
+
+
+class SimulatorSource(DataSource):
+    """spark.read.format("telemetry_simulator").option("vehicles", 10).option("ticks", 100).option("seed", 42).load()"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "telemetry_simulator"
+
+    def schema(self) -> StructType | str:
+        return SCHEMA
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(self.options)
