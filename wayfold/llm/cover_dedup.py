@@ -107,7 +107,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     added = ["n_words", "n_removed", "kept_sha256"]
     docs = docs.drop(*added)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    dealt, parts = bucketed(docs.withColumn("was_null", F.col("text").isNull()), keep=[*others, "was_null"])
+    # the other columns travel under names of their own
+    wide = docs.select("doc_id", "text", *[F.col(c).alias(f"other_{i}") for i, c in enumerate(others)], F.col("text").isNull().alias("was_null"))
+    dealt, parts = bucketed(wide, keep=wide.columns[2:])
 
     def ask_anchors(group: pa.Table) -> pa.Table:
         keys, _, shared = _Bucket(group, parts).anchors()
@@ -197,4 +199,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     by_bucket = dealt.groupBy("bucket")
     anchors = by_bucket.applyInArrow(ask_anchors, "part int, bucket int, keys binary, shared binary").groupBy("part").applyInArrow(answer_anchors, replies)
     windows = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(ask_windows, "part int, bucket int, windows binary, least binary").groupBy("part").applyInArrow(answer_windows, replies)
-    return by_bucket.cogroup(anchors.unionByName(windows).groupBy("bucket")).applyInArrow(finish, schema).select(*docs.columns, *added)
+    return by_bucket.cogroup(anchors.unionByName(windows).groupBy("bucket")).applyInArrow(finish, schema).select(*[F.col(f"other_{others.index(c)}").alias(c) if c in others else F.col(c) for c in docs.columns], *added)
