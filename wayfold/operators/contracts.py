@@ -54,9 +54,8 @@ def nested(payload: Column, path: str) -> Column:
     return F.coalesce(F.get_json_object(payload, f"$['{path}']"), walked) if "." in path else walked
 
 
-def json_type(parsed: Column, path: str) -> Column:
-    """number, string, boolean or other; null where the path is missing or null."""
-    kind = F.schema_of_variant(F.try_variant_get(parsed, json_path(path), "variant"))
+def type_name(kind: Column) -> Column:
+    """number, string, boolean or other for the schema text of a variant; null where it is missing or null."""
     return (
         F.when(kind.isNull() | (kind == "VOID"), F.lit(None).cast("string"))
         .when(kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"), NUMBER)
@@ -66,6 +65,11 @@ def json_type(parsed: Column, path: str) -> Column:
     )
 
 
+def json_type(parsed: Column, path: str) -> Column:
+    """The type of the value at a path of a parsed payload."""
+    return type_name(F.schema_of_variant(F.try_variant_get(parsed, json_path(path), "variant")))
+
+
 def once(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
     """The kept columns and new ones that are computed once.
 
@@ -75,13 +79,22 @@ def once(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFr
     return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def read_out(rows: DataFrame, paths: list[str]) -> DataFrame:
-    """Adds each path's type, number and text once, as columns that the checks then share."""
-    parsed = F.col("parsed")
-    columns = {}
-    for i, path in enumerate(paths):
-        columns |= {f"kind_{i}": json_type(parsed, path), f"number_{i}": F.try_variant_get(parsed, json_path(path), "double"), f"text_{i}": F.try_variant_get(parsed, json_path(path), "string")}
-    return once(rows, [c for c in rows.columns if c != "parsed"], columns | {"unread": parsed.isNull()})
+def read_out(rows: DataFrame, paths: dict[str, Column]) -> DataFrame:
+    """Adds each path's type, number and text once, as columns that the checks then share.
+
+    ``paths``: each path and for which rows it is read at all. The lookups stand in a projection of their own, so that
+    each is done once, and the type names in the step after it.
+    """
+    parsed, looked_up, named = F.col("parsed"), {}, {}
+    for i, (path, wanted) in enumerate(paths.items()):
+        at = json_path(path)
+        looked_up |= {
+            f"schema_{i}": F.when(wanted, F.schema_of_variant(F.try_variant_get(parsed, at, "variant"))),
+            f"number_{i}": F.when(wanted, F.try_variant_get(parsed, at, "double")), f"text_{i}": F.when(wanted, F.try_variant_get(parsed, at, "string")),
+        }
+        named |= {f"kind_{i}": type_name(F.col(f"schema_{i}")), f"number_{i}": F.col(f"number_{i}"), f"text_{i}": F.col(f"text_{i}")}
+    keep = [c for c in rows.columns if c != "parsed"]
+    return once(rows.withColumns(looked_up), keep, named | {"unread": parsed.isNull()})
 
 
 def field_error(f: Field, i: int) -> Column:
@@ -106,7 +119,8 @@ def detect(payloads: DataFrame, contracts: tuple[Contract, ...] = CONTRACTS) ->
     The first contract of the vendor whose required fields are all there decides, by the first error of its fields.
     """
     paths = list(dict.fromkeys(f.path for c in contracts for f in c.fields))
-    rows = read_out(payloads.withColumn("parsed", F.try_parse_json("payload")), paths)
+    readers = {p: F.col("vendor").isin(*{c.vendor for c in contracts if any(f.path == p for f in c.fields)}) for p in paths}
+    rows = read_out(payloads.withColumn("parsed", F.try_parse_json("payload")), readers)
     version, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for c in reversed(contracts):
         here = F.col("vendor") == c.vendor

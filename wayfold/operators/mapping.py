@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators.contracts import json_path, json_type, once
+from wayfold.operators.contracts import json_path, json_type, once, read_out
 
 MILES = 1.60934
 
@@ -60,13 +60,14 @@ def coded(text: Column, codes: tuple[tuple[str, str], ...]) -> Column:
     return out
 
 
+def strict(kind: Column, text: Column) -> Column:
+    """The number that a value of some type and text is; null for blanks, booleans, objects and what is not finite."""
+    number = F.trim(text).try_cast("double")
+    return F.when(kind.isin("number", "string") & (F.length(F.trim(text)) > 0) & ~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
 def strict_number(parsed: Column, path: str) -> Column:
-    """A number, or a text that is one; null for blanks, booleans, objects and what is not finite."""
-    text = F.trim(F.try_variant_get(parsed, json_path(path), "string"))
-    number = text.try_cast("double")
-    kind = json_type(parsed, path)
-    fine = kind.isin("number", "string") & (F.length(text) > 0) & ~F.isnan(number) & (F.abs(number) < float("inf"))
-    return F.when(fine, number)
+    return strict(json_type(parsed, path), F.try_variant_get(parsed, json_path(path), "string"))
 
 
 def normalize(detected: DataFrame) -> DataFrame:
@@ -98,15 +99,18 @@ def repair_evaluate(payloads: DataFrame, rules: list[tuple[str, list[str], str]]
     ``rules``: (signal, sources, conversion). Numbers are strict; both or neither coordinate; an event time and one more
     reading are required.
     """
-    parsed, raw = F.col("parsed"), {}
+    paths = list(dict.fromkeys(p for _, sources, _ in rules for p in sources))
+    read = read_out(payloads.withColumn("parsed", F.try_parse_json("payload")), {p: F.lit(True) for p in paths})
+    raw = {}
     for signal, sources, conversion in rules:
-        there = F.coalesce(*[F.when(json_type(parsed, p).isNotNull(), F.lit(i)) for i, p in enumerate(sources)])
+        at = [paths.index(p) for p in sources]
+        there = F.coalesce(*[F.when(F.col(f"kind_{i}").isNotNull(), F.lit(i)) for i in at])
         value = F.lit(None)
-        for i, p in enumerate(sources):
-            own = F.try_variant_get(parsed, json_path(p), "string") if signal == "event_time" else convert(strict_number(parsed, p), conversion)
+        for i in at:
+            own = F.col(f"text_{i}") if signal == "event_time" else convert(strict(F.col(f"kind_{i}"), F.col(f"text_{i}")), conversion)
             value = F.when(there == i, own).otherwise(value)
         raw |= {f"raw_{signal}": value, f"has_{signal}": there.isNotNull()}
-    rows = once(payloads.withColumn("parsed", F.try_parse_json("payload")), payloads.columns, raw)
+    rows = once(read, payloads.columns, raw)
     values, errors = {}, []
     for signal, _, _ in rules:
         value = F.col(f"raw_{signal}")
