@@ -50,7 +50,7 @@ def plain_log10(counts, history, symbol):
         here = counts.get(history[len(history) - k :])
         if here is None:
             continue
-        seen = {s: n for s, n in here.items() if s not in excluded}
+        seen = {s: 2 * n - 1 for s, n in here.items() if s not in excluded}
         if not seen:
             continue
         left = ppm.SYMBOLS - len(excluded)
