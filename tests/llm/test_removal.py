@@ -58,8 +58,9 @@ def test_random_overlaps(spark):
             parts.append(p[at : at + r.randint(50, 700)])
         docs.append((k, "-".join(parts)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((tuple(x) for x in bwt_dedup.remove_repeats(df).drop("kept").collect()), key=str)
-    assert got == by_bytes([(k, t.encode()) for k, t in docs])
+    for crowd in (bwt_dedup.CROWD, 2, 0):  # also with the way for crowded anchors
+        got = sorted((tuple(x) for x in bwt_dedup.remove_repeats(df, crowd).drop("kept").collect()), key=str)
+        assert got == by_bytes([(k, t.encode()) for k, t in docs])
     words = [(k, " ".join(w for w in re.sub("[^a-d]", " ", t).split())) for k, t in docs]
     found = cover_dedup.deduplicate(spark.createDataFrame(words, "doc_id long, text string")).collect()
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in found} == by_words(words)

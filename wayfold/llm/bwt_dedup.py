@@ -10,6 +10,9 @@ along. All intervals grow together by one byte a step, and the expansion stops a
 its last string. A string is a repeat if a neighbour in its order agrees with it for 400 bytes.
 
 A BWT of unaligned text needs a suffix sort of the same contexts; the alignment gives the same prefixes without one.
+
+Contexts of an anchor that has more than CROWD different ones, as at the edge of a passage that very many documents share,
+would meet in one task without a bound. Their strings are counted by hash instead, in parts by the hash of the string.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._exchange import bucketed, texts
+from wayfold.llm._exchange import bucketed, split_by_part, texts
 from wayfold.llm._hashing import Slices
 
 LENGTH = 400
 ANCHOR = 40
 _REACH = LENGTH - ANCHOR  # the farthest that a string starts before its anchor
 _COLUMNS = _REACH + LENGTH
+CROWD = 20_000
 _POSITION = 24  # bits of a position within a stretch of text
 _STRETCH = 1 << 22  # starts that are looked at together
 
@@ -121,7 +125,7 @@ class _Bucket:
     """The contexts of a bucket's documents, distinct and in the order of the parts; the same whenever computed again."""
 
     def __init__(self, group: pa.Table, parts: int):
-        self.raw = list(texts(group))
+        self.raw, self.parts = list(texts(group)), parts
         each = [contexts(raw) for raw in self.raw]
         self.count = [len(e[0]) for e in each]
         self.first, self.end, self.anchor, anchor, context = (np.concatenate([e[k] for e in each]) for k in range(5))
@@ -144,6 +148,25 @@ class _Bucket:
         text = [self.raw[self.document[i]][self.first[i] : self.end[i] - 1 + LENGTH] for i in at]
         return b"".join(text), (self.end[at] - self.first[at] - 1 + LENGTH).astype(np.uint32), (self.anchor[at] - self.first[at]).astype(np.uint32)
 
+    def strings(self, kinds: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Distinct hashes of the strings of some kinds by part, which occur twice, the parts' bounds, and places by kind."""
+        hashes, at = [], None
+        for k in kinds.tolist():
+            i = self.one[k]
+            if at != self.document[i]:
+                at = self.document[i]
+                slices = Slices(np.frombuffer(self.raw[at], np.uint8))
+            start = np.arange(self.first[i], self.end[i])
+            hashes.append(slices.hash(start, start + LENGTH, 5))
+        distinct, place, n = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        several = n > 1
+        sizes = [len(h) for h in hashes]
+        several[place[np.repeat(repeated[kinds], sizes)]] = True
+        order, bounds = split_by_part(distinct, self.parts)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return distinct[order], several[order], bounds, np.split(rank[place], np.cumsum(sizes)[:-1])
+
 
 def _bits(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
@@ -153,7 +176,7 @@ def _answers(answers: pa.Table, kind: int) -> dict[int, bytes]:
     return {p: b for k, p, b in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "bits")), strict=True) if k == kind}
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Removes each byte covered by a 400-byte string that also starts anywhere else, in the same document or another.
 
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes left) and kept_sha256, a row for each row
@@ -173,7 +196,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         })
 
     def answer_kinds(group: pa.Table) -> pa.Table:
-        """For each kind: whether it occurs twice, and whether this bucket shall send its text."""
+        """For each kind: whether it occurs twice, whether this bucket shall send its text, or else its strings."""
         group = group.sort_by("bucket")
         anchors = [np.frombuffer(x, np.uint64) for x in group.column("anchors").to_pylist()]
         sizes = [len(x) for x in anchors]
@@ -187,38 +210,41 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(fresh)
         twice = np.logical_or.reduceat(several[order], at) | (np.diff(np.append(at, len(order))) > 1)
         anchor_of = np.cumsum(new_anchor) - 1
-        crowded = np.bincount(anchor_of[at])[anchor_of] > 1  # the anchor has other contexts
-        repeated, send = np.zeros(len(a), bool), np.zeros(len(a), bool)
-        repeated[order] = twice[np.cumsum(fresh) - 1]
-        send[order] = fresh & crowded
-        ends = np.cumsum(sizes)[:-1]
-        bits = [np.packbits(np.concatenate([x, y])).tobytes() for x, y in zip(np.split(repeated, ends), np.split(send, ends), strict=True)]
+        different = np.bincount(anchor_of[at])[anchor_of]  # contexts of the anchor
+        flags = np.zeros((3, len(a)), bool)
+        flags[0, order] = twice[np.cumsum(fresh) - 1]
+        flags[1, order] = fresh & (different > 1) & (different <= crowd)
+        flags[2, order] = different > crowd
+        bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1], axis=1)]
         return pa.table({"kind": pa.array([0] * len(bits), pa.int32()), "bucket": group.column("bucket"), "part": group.column("part"), "bits": pa.array(bits, pa.binary())})
 
-    def verdicts(b: _Bucket, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        repeated, send = np.zeros(len(b.one), bool), np.zeros(len(b.one), bool)
+    def verdicts(b: _Bucket, answers: pa.Table) -> np.ndarray:
+        flags = np.zeros((3, len(b.one)), bool)
         for p, blob in _answers(answers, 0).items():
             low, high = b.bounds[p], b.bounds[p + 1]
-            both = _bits(blob, 2 * (high - low))
-            repeated[low:high], send[low:high] = both[: high - low], both[high - low :]
-        return repeated, send
+            flags[:, low:high] = _bits(blob, 3 * (high - low)).reshape(3, -1)
+        return flags
 
-    ASK = "part int, bucket int, anchors binary, open binary, lengths binary, before binary, text binary"
+    ASK = "kind int, part int, bucket int, anchors binary, open binary, lengths binary, before binary, text binary"
 
     def ask_texts(group: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if len(group):
             b = _Bucket(group, parts)
-            repeated, send = verdicts(b, answers)
+            repeated, send, many = verdicts(b, answers)
             bucket = group.column("bucket")[0].as_py()
             for p in np.flatnonzero(np.diff(b.bounds)):
                 wanted = b.bounds[p] + np.flatnonzero(send[b.bounds[p] : b.bounds[p + 1]])
                 if len(wanted):
                     text, length, before = b.pieces(wanted)
-                    rows.append((int(p), bucket, b.anchors[wanted].tobytes(), np.packbits(~repeated[wanted]).tobytes(), length.tobytes(), before.tobytes(), text))
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+                    rows.append((1, int(p), bucket, b.anchors[wanted].tobytes(), np.packbits(~repeated[wanted]).tobytes(), length.tobytes(), before.tobytes(), text))
+            strings, several, bounds, _ = b.strings(np.flatnonzero(many), repeated)
+            for p in np.flatnonzero(np.diff(bounds)):
+                here = slice(bounds[p], bounds[p + 1])
+                rows.append((2, int(p), bucket, strings[here].tobytes(), np.packbits(several[here]).tobytes(), b"", b"", b""))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5)
         names = [x.split()[0] for x in ASK.split(", ")]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
 
     def answer_texts(group: pa.Table) -> pa.Table:
         """For each context that occurs once: which of its strings another context of its anchor has."""
@@ -240,18 +266,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             at += n
         return pa.table({"kind": pa.array([1] * len(bits), pa.int32()), "bucket": group.column("bucket"), "part": group.column("part"), "bits": pa.array(bits, pa.binary())})
 
+    def answer_strings(group: pa.Table) -> pa.Table:
+        """Which strings occur twice."""
+        asked = [np.frombuffer(x, np.uint64) for x in group.column("anchors").to_pylist()]
+        distinct, at, n = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+        twice = n > 1
+        twice[at[np.concatenate([_bits(x, len(y)) for x, y in zip(group.column("open").to_pylist(), asked, strict=True)])]] = True
+        bits = [np.packbits(x).tobytes() for x in np.split(twice[at], np.cumsum([len(x) for x in asked])[:-1])]
+        return pa.table({"kind": pa.array([2] * len(bits), pa.int32()), "bucket": group.column("bucket"), "part": group.column("part"), "bits": pa.array(bits, pa.binary())})
+
+    def answer(group: pa.Table) -> pa.Table:
+        return answer_texts(group) if group.column("kind")[0].as_py() == 1 else answer_strings(group)
+
     RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if len(group):
             b = _Bucket(group, parts)
-            repeated, send = verdicts(b, answers)
+            repeated, send, many = verdicts(b, answers)
             marks: dict[int, np.ndarray] = {}
             for p, blob in _answers(answers, 1).items():
                 single = b.bounds[p] + np.flatnonzero((send & ~repeated)[b.bounds[p] : b.bounds[p + 1]])
                 starts = (b.end - b.first)[b.one[single]]
                 marks.update(zip(single.tolist(), np.split(_bits(blob, int(starts.sum())), np.cumsum(starts)[:-1]), strict=True))
+            if many.any():
+                crowded = np.flatnonzero(many)
+                strings, _, bounds, places = b.strings(crowded, repeated)
+                twice = np.zeros(len(strings), bool)
+                for p, blob in _answers(answers, 2).items():
+                    twice[bounds[p] : bounds[p + 1]] = _bits(blob, bounds[p + 1] - bounds[p])
+                marks.update(zip(crowded.tolist(), [twice[x] for x in places], strict=True))
             at = 0
             for doc_id, raw, count in zip(group.column("doc_id").to_pylist(), b.raw, b.count, strict=True):
                 edge = np.zeros(len(raw) + 1, np.int32)
@@ -260,7 +305,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     if repeated[kind]:
                         edge[b.first[i]] += 1
                         edge[b.end[i] - 1 + LENGTH] -= 1
-                    elif send[kind]:
+                    elif kind in marks:
                         s = b.first[i] + np.flatnonzero(marks[kind])
                         edge[s] += 1
                         edge[s + LENGTH] -= 1
@@ -276,5 +321,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     replies = "kind int, bucket int, part int, bits binary"
     by_bucket = dealt.groupBy("bucket")
     kinds = by_bucket.applyInArrow(ask_kinds, "part int, bucket int, anchors binary, contexts binary, several binary").groupBy("part").applyInArrow(answer_kinds, replies)
-    strings = by_bucket.cogroup(kinds.groupBy("bucket")).applyInArrow(ask_texts, ASK).groupBy("part").applyInArrow(answer_texts, replies)
+    strings = by_bucket.cogroup(kinds.groupBy("bucket")).applyInArrow(ask_texts, ASK).groupBy("kind", "part").applyInArrow(answer, replies)
     return by_bucket.cogroup(kinds.unionByName(strings).groupBy("bucket")).applyInArrow(finish, RESULT)
