@@ -105,6 +105,12 @@ def vin_decode(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"maker": F.coalesce(exact, F.concat(near, F.lit(" (uncertain)"))), "confidence": confidence})
 
 
+def csv_lines(lines: DataFrame) -> DataFrame:
+    """vin and label of the lines of an import file; lines without a number are skipped."""
+    parsed = lines.withColumn("p", F.from_csv("line", "vin string, label string"))
+    return parsed.select(*[c for c in lines.columns if c != "line"], F.upper(F.trim("p.vin")).alias("vin"), F.trim("p.label").alias("label")).where(F.length("vin") > 0)
+
+
 def import_preview(rows: DataFrame, in_fleet: Column) -> DataFrame:
     """What an import would do with each row; of equal numbers in a file the first counts."""
     again = F.row_number().over(Window.partitionBy("vin").orderBy("row")) > 1

@@ -164,6 +164,14 @@ def import_preview(s, d):
     return fl.import_preview(rows, F.col("row") % 17 == 0)
 
 
+def csv_import(s, d):
+    """Lines of an import file: numbers trimmed and in upper case, blank ones skipped."""
+    rows = vin_rows(s, d)
+    number = F.when(F.col("row") % 19 == 0, " ").otherwise(F.concat(F.lit(" "), F.lower("vin")))
+    lines = rows.select("row", F.concat(number, F.lit(","), "label").alias("line"))
+    return fl.csv_lines(lines).select("row", "vin", "label")
+
+
 def page_offset(s, d):
     v = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
     page = v.orderBy("c_custkey").offset(40).limit(20)
@@ -285,6 +293,7 @@ QUERIES = {
     "vehicle_data_quality": vehicle_data_quality,
     "vin_validate": lambda s, d: vin_rows(s, d).select("row", fl.vin_valid(F.col("vin")).alias("valid")),
     "vin_decode": lambda s, d: fl.vin_decode(vin_rows(s, d)).select("row", "maker", "confidence"),
+    "csv_import": csv_import,
     "import_preview": import_preview,
     "import_confirm": lambda s, d: import_preview(s, d).where("status IN ('valid', 'uncertain')").join(known_vins(s, d), "vin", "left_anti").select("row", "vin", "maker"),
     "page_offset": page_offset,
@@ -330,6 +339,7 @@ ORACLES = {
     "vehicle_data_quality": f"WITH {REC} SELECT vehicle_id, valid, quarantined, coalesce(unresolved, 0) AS unresolved FROM (SELECT vehicle_id, count(*) FILTER (verdict = 'OK') AS valid, count(*) FILTER (verdict <> 'OK') AS quarantined FROM norm GROUP BY 1) LEFT JOIN (SELECT vehicle_id, count(DISTINCT event_id) AS unresolved FROM rec WHERE status = 'UNRESOLVED' GROUP BY 1) USING (vehicle_id)",
     "vin_validate": f"WITH {VIN} SELECT row, valid FROM dec2",
     "vin_decode": f"WITH {VIN} SELECT row, maker, confidence FROM dec2",
+    "csv_import": f"WITH {VIN} SELECT row, vin, label FROM vins WHERE row % 19 <> 0",
     "import_preview": f"WITH {VIN} SELECT row, vin, label, maker, confidence, status FROM prev",
     "import_confirm": f"WITH {VIN} SELECT row, vin, maker FROM prev WHERE status IN ('valid', 'uncertain') AND vin NOT IN (SELECT vin FROM vins WHERE row % 17 = 0)",
     "page_offset": "SELECT c_custkey, c_name, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40",

@@ -225,7 +225,15 @@ QUERIES = {
 }
 
 _PREVIEW = NORMAL.replace("det AS MATERIALIZED (SELECT *, CASE", "det0 AS (SELECT *, CASE", 1).replace(", w AS (", ", det AS (SELECT * REPLACE (CASE WHEN vendor = 'A' AND k % 2 = 1 THEN '2' ELSE '1' END AS version, 'OK' AS verdict) FROM det0), w AS (", 1)
+_REPAIRED = f"rep AS MATERIALIZED ({_repair_sql()})"
 ORACLES = {
+    "contract_catalog": "SELECT * FROM (VALUES "
+    + ", ".join(f"('{c.vendor}', '{c.version}', {i}, '{f.path}', '{f.type}', {str(f.required).lower()}, {'NULL' if f.low is None else f.low}::DOUBLE, {'NULL' if f.high is None else f.high}::DOUBLE)" for c in ct.CONTRACTS for i, f in enumerate(c.fields))
+    + ") t(vendor, version, position, path, type, required, low, high)",
+    "contract_infer": "SELECT 'x1' AS format, path, type, true AS required, contains(path, 'lat') AS is_lat, contains(path, 'lon') AS is_lon, contains(path, 'time') AS is_time FROM (VALUES ('gps_lat', 'number'), ('gps_lon', 'number'), ('read_time', 'string'), ('level', 'number')) t(path, type)",
+    "observed_structure": f"WITH {PAY} SELECT event_id, substr('[\"' || array_to_string(json_keys(payload), '\",\"') || '\"]', 1, 120) AS keys FROM pay",
+    "repair_regression": f"WITH {_REPAIRED}, old AS MATERIALIZED (WITH {NORMAL} SELECT event_id, vehicle_speed FROM norm WHERE verdict = 'OK' AND vendor = 'C') SELECT event_id, old.vehicle_speed AS old, rep.vehicle_speed AS new, CASE WHEN abs(old.vehicle_speed - rep.vehicle_speed) <= 0.05 THEN 'same' ELSE 'changed' END AS outcome FROM old JOIN rep USING (event_id)",
+    "repair_select": f"WITH {_REPAIRED}, own AS MATERIALIZED (WITH {DETECTED} SELECT event_id, verdict FROM det) SELECT event_id, CASE WHEN verdict = 'OK' THEN 'contract' WHEN errors = '' THEN 'repair' ELSE 'quarantine' END AS path FROM own LEFT JOIN rep USING (event_id)",
     "nested_path": f"WITH {PAY} SELECT event_id, json_extract_string(payload, '$.data.speed_mph') AS nested, json_extract_string(payload, '$.speed_mph') AS flat, '1' AS dotted, '5' AS indexed FROM pay",
     "contract_validate": f"WITH {DETECTED} SELECT event_id, verdict FROM det",
     "format_detect": f"WITH {DETECTED} SELECT event_id, vendor, version FROM det",

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from wayfold.operators import payloads as pl
 from wayfold.operators import routes as rt
 from wayfold.operators import trips as op
-from wayfold.plans.ingest_queries import freshness, last_seen, movement
+from wayfold.plans.ingest_queries import FRESH, LAST, MOVE, freshness, last_seen, movement
 from wayfold.plans.mapping_queries import payloads
-from wayfold.plans.trip_queries import events, of_trips, vehicle_stats, viable
+from wayfold.plans.trip_queries import TRIPS, events, of_trips, vehicle_stats, viable
 from wayfold.sources.fixtures import TEL, telemetry
 from wayfold.sources.simulator import SimulatorSource
 
@@ -49,7 +49,7 @@ def vehicle_snapshot(s, d):
     """State, totals and health tags of each vehicle, as one record."""
     v = last_seen(s, d).select("vehicle_id", "fleet_id", movement().alias("movement"), freshness().alias("freshness"), "fault_code", "battery_soc")
     tags = F.array_compact(F.array(F.when(F.col("freshness").isin("STALE", "OFFLINE"), "DATA_QUALITY"), F.when(F.col("freshness") == "AWAITING_DATA", "AWAITING_DATA"), F.when(F.col("fault_code").isNotNull(), "FAULT_REPORTED")))
-    return v.join(vehicle_stats(s, d), "vehicle_id").select("vehicle_id", "fleet_id", F.array_join(tags, ",").alias("tags"), F.to_json(F.struct("movement", "freshness", "battery_soc", "trips", "distance_km")).alias("body"))
+    return v.join(vehicle_stats(s, d), "vehicle_id").select("vehicle_id", "fleet_id", F.array_join(tags, ",").alias("tags"), "movement", "freshness", "battery_soc", "trips", "distance_km")
 
 
 def trip_bundle(s, d):
@@ -77,7 +77,11 @@ QUERIES = {
     "simulate": simulate,
 }
 
+_LAST_ONLY = LAST.split(", last AS MATERIALIZED", 1)[1]
 ORACLES = {
+    "vehicle_snapshot": f"""WITH {TRIPS}, last AS MATERIALIZED{_LAST_ONLY}, st AS (SELECT vehicle_id, count(*) AS trips, round(sum(distance_km), 4) AS distance_km FROM trips GROUP BY 1), v AS (SELECT *, {MOVE} AS movement, {FRESH} AS freshness FROM last)
+        SELECT vehicle_id, fleet_id, concat_ws(',', CASE WHEN freshness IN ('STALE', 'OFFLINE') THEN 'DATA_QUALITY' END, CASE WHEN freshness = 'AWAITING_DATA' THEN 'AWAITING_DATA' END, CASE WHEN fault_code IS NOT NULL THEN 'FAULT_REPORTED' END) AS tags,
+            movement, freshness, battery_soc, coalesce(trips, 0) AS trips, coalesce(distance_km, 0.0) AS distance_km FROM v LEFT JOIN st USING (vehicle_id)""",
     "route_sanitize": f"WITH {TEL}, b AS (SELECT vehicle_id, event_id, event_id % 53 = 0 OR event_id % 61 = 0 AS bad FROM tel), n AS (SELECT vehicle_id, event_id, bad, sum(bad::INT) OVER (PARTITION BY vehicle_id ORDER BY event_id)::BIGINT AS line FROM b) SELECT vehicle_id, event_id, line FROM n WHERE NOT bad",
     "webhook_verify": f"WITH {TEL} SELECT event_id, event_id % 5 <> 0 AS valid FROM tel WHERE vendor = 'B'",
     "redact_payload": f"""WITH {TEL} SELECT event_id, '{{"auth":{{"Token":"[REDACTED]"}},"k":' || k || '}}' AS redacted FROM tel""",
