@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 
+from oracle import connect, same
+
 from wayfold.llm import bwt_dedup, cover_dedup, queries
 
 
@@ -42,6 +44,10 @@ def test_words_against_brute_force(spark, sf_dir, texts):
     assert got == by_words(texts)
 
 
+def test_words_against_sql(spark, sf_dir):
+    same(spark, connect(sf_dir), queries.op5_cover_dedup, queries.ORACLES["op5_cover_dedup"], sf_dir)
+
+
 def test_bytes_against_brute_force(spark, sf_dir, texts):
     got = sorted((tuple(r) for r in queries.op4_interval_expansion(spark, sf_dir).collect()), key=str)
     assert got == by_bytes([(k, t.encode()) for k, t in texts])

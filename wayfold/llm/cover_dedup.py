@@ -200,3 +200,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     anchors = by_bucket.applyInArrow(ask_anchors, "part int, bucket int, keys binary, shared binary").groupBy("part").applyInArrow(answer_anchors, replies)
     windows = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(ask_windows, "part int, bucket int, windows binary, least binary").groupBy("part").applyInArrow(answer_windows, replies)
     return by_bucket.cogroup(anchors.unionByName(windows).groupBy("bucket")).applyInArrow(finish, schema).select(*[F.col(f"other_{others.index(c)}").alias(c) if c in others else F.col(c) for c in docs.columns], *added)
+
+
+#: DuckDB SQL with the rows of the registered query.
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+least AS MATERIALIZED (SELECT h, min(doc_id) AS first_id FROM win GROUP BY h HAVING count(*) > 1),
+hit AS MATERIALIZED (SELECT doc_id, i FROM win JOIN least USING (h) WHERE first_id < doc_id),
+gone AS MATERIALIZED (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM hit) GROUP BY doc_id),
+word AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+out AS MATERIALIZED (SELECT doc_id, p FROM gone, unnest(g) t(p)),
+kept AS MATERIALIZED (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM word ANTI JOIN out USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

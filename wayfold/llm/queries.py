@@ -74,5 +74,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_cover_dedup": cover_dedup.ORACLE,
     "op6_mixing": mixing.oracle(),
 }
