@@ -166,7 +166,7 @@ ALIASES = [("velocity", "speed"), ("velocity", "speed_mph"), ("battery", "soc"),
 def suggest_source(s, d):
     present = payloads(s, d).select(F.concat_ws("-", "vendor", (F.col("k") % 2).cast("string")).alias("format"), F.explode(F.json_object_keys("payload")).alias("alias")).distinct()
     aliases = s.createDataFrame(ALIASES, "field string, alias string")
-    missing = present.select("format").distinct().join(aliases.select("field").distinct(), how="cross")
+    missing = present.select("format", F.explode(F.array(*[F.lit(f) for f in sorted({f for f, _ in ALIASES})])).alias("field")).distinct()
     return mp.suggest_source(missing, present, aliases)
 
 
