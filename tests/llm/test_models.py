@@ -142,6 +142,8 @@ PAGE = """<html><head><title>Title</title><style>p{}</style></head><body><header
         ("", ""),
         ("<nav>menu</nav>", ""),
         ("<p>The text of a page with no article is in if it is long and has the words that are common to all of it.</p>", "The text of a page with no article is in if it is long and has the words that are common to all of it."),
+        ('<ARTICLE><P CLASS="ad">Buy this<P>Kept</P><div role=alert>Stop</div><aside>Side</aside><header><h2>In</h2></header></ARTICLE>', "Kept In"),
+        ('<div class="site-header">Top</div><main><p title="a > b">x&eacute;&nbsp;&#33;</p><br/><div id=comments><p>No</p></div>y</main>', "x\xe9 ! y"),
         ("<article>a < b and <i>c</i>d</article>", "a < b and cd"),
         ("<article>" + "<p>x" * 500, " ".join("x" * 500)),
     ],

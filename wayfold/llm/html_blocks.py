@@ -48,7 +48,7 @@ _VOID = frozenset("br hr img input meta link area base col embed source track wb
 
 _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adverti[sz]ing|banners?|sponsor(?:ed|s)?|promo(?:tion)?s?|menus?|nav|navbar|navigation|breadcrumbs?|"
-    r"side-?bars?|footer|masthead|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|"
+    r"side-?bars?|footer|masthead|(?:site|page|top|global)[_-]?header|top-?bar|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|"
     r"share|sharing|social|comments?|comment-?list|discussion|repl(?:y|ies)|respond|disqus|related|recommend(?:ed|ations?)?|widgets?|search|pagination|pager|"
     r"copyright|disclaimer|legal|toolbar|skip|hidden|teasers?|trending)(?=$|[\s_-])",
     re.I,
@@ -118,6 +118,9 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             continue
         if tag in _BLOCKS:
             flush()
+            if not closing and stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
+                stack.pop()
+                kind = stack[-1][1] if stack else ""
         if tag in _CONTAINERS:
             if not closing:
                 kind = _kind(tag, m[4], kind)
