@@ -61,7 +61,7 @@ def test_extended_idle_needs_a_later_point_that_closes_it(spark):
     def events(closed):
         rows = [(i * 40, "ON", i * 0.002) for i in range(7)] + ([(300, "ON", 0.02)] if closed else [])
         p = segments(spark, rows).withColumn("speed_kmh", F.when(F.col("event_id").between(1, 6), 0.5).otherwise(30.0))
-        return [r.kind for r in trips.trip_events(trips.of_trips(p, trips.trips(p))).collect()]
+        return [r.kind for r in trips.trip_events(trips.of_trips(p)).collect()]
 
     assert events(True).count("EXTENDED_IDLE") == 1
     assert events(False).count("EXTENDED_IDLE") == 0

@@ -60,33 +60,41 @@ def trip_distances(points: DataFrame) -> DataFrame:
     return sound.withColumn("km", step).groupBy("vehicle_id", "segment").agg(F.coalesce(F.sum("km"), F.lit(0.0)).alias("distance_km"))
 
 
-def trips(points: DataFrame) -> DataFrame:
-    """Viable trips: at least two points and 0.05 km."""
-    # distances skip jumps: the point before is the last one that is none
+def of_trips(points: DataFrame) -> DataFrame:
+    """The points of viable trips (two points and 0.05 km at least), with the trip's id, distance, start and end.
+
+    Distances skip jumps: the point before is the last one that is none. All windows lie within a vehicle, so the points
+    are neither shuffled again nor joined.
+    """
+    whole = Window.partitionBy("vehicle_id", "segment")
     sound = F.when(~F.col("jump"), F.struct("lat", "lon"))
     last = F.last(sound, ignorenulls=True).over(by_trip().rowsBetween(Window.unboundedPreceding, -1))
     step = F.when(~F.col("jump"), haversine_km(last["lat"], last["lon"], F.col("lat"), F.col("lon")))
-    per = points.withColumn("km", step).groupBy("vehicle_id", "segment").agg(
-        F.min("fleet_id").alias("fleet_id"), F.min("t_us").alias("started_us"), F.max("t_us").alias("ended_us"), F.count("*").alias("points"),
-        F.count_if("jump").alias("jumps"), F.coalesce(F.sum("km"), F.lit(0.0)).alias("km"), F.first("by_ignition").alias("by_ignition"),
+    sums = points.withColumn("km", step).withColumns({
+        "trip_points": F.count("*").over(whole), "trip_km": F.coalesce(F.sum("km").over(whole), F.lit(0.0)),
+        "started_us": F.min("t_us").over(whole), "ended_us": F.max("t_us").over(whole),
+    })
+    viable = sums.where((F.col("trip_points") >= MIN_POINTS) & (F.col("trip_km") >= MIN_KM))
+    key = F.sha2(F.concat_ws("|", F.col("vehicle_id").cast("string"), F.col("started_us").cast("string")), 256)
+    return viable.withColumn("trip_id", key).withColumn("distance_km", F.round("trip_km", 6)).drop("km", "trip_km", "trip_points")
+
+
+def trips(points: DataFrame) -> DataFrame:
+    """A row of each viable trip of segmented points."""
+    per = of_trips(points).groupBy("vehicle_id", "segment").agg(
+        F.first("trip_id").alias("trip_id"), F.min("fleet_id").alias("fleet_id"), F.first("started_us").alias("started_us"), F.first("ended_us").alias("ended_us"), F.first("distance_km").alias("distance_km"),
+        F.count("*").alias("points"), F.count_if("jump").alias("jumps"), F.first("by_ignition").alias("by_ignition"),
         F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"),
     )
-    viable = per.where((F.col("points") >= MIN_POINTS) & (F.col("km") >= MIN_KM))
-    return viable.select(
-        F.sha2(F.concat_ws("|", F.col("vehicle_id").cast("string"), F.col("started_us").cast("string")), 256).alias("trip_id"), "vehicle_id", "fleet_id", "segment",
-        F.row_number().over(Window.partitionBy("vehicle_id").orderBy("started_us")).alias("trip_number"), "started_us", "ended_us",
-        half_up((F.col("ended_us") - F.col("started_us")) / float(SECOND)).alias("duration_s"), F.round("km", 6).alias("distance_km"), "points", "jumps",
+    return per.select(
+        "trip_id", "vehicle_id", "fleet_id", "segment", F.row_number().over(Window.partitionBy("vehicle_id").orderBy("started_us")).alias("trip_number"), "started_us", "ended_us",
+        half_up((F.col("ended_us") - F.col("started_us")) / float(SECOND)).alias("duration_s"), "distance_km", "points", "jumps",
         F.greatest(F.lit(0), half_up(100.0 * (F.col("points") - F.col("jumps")) / F.col("points"))).alias("completeness"),
         F.when(F.col("jumps") > 0, "MISSING_GPS_SEGMENTS").alias("note"), F.when(F.col("by_ignition"), "ignition").otherwise("gap").alias("mode"),
         "min_lon", "min_lat", "max_lon", "max_lat",
     )
 
 
-def of_trips(points: DataFrame, viable: DataFrame) -> DataFrame:
-    """The points of viable trips, with the trip's id and distance."""
-    return points.join(viable.select("vehicle_id", "segment", "trip_id", "distance_km", "started_us", "ended_us"), ["vehicle_id", "segment"])
-
-
 def trip_events(points: DataFrame) -> DataFrame:
     """Start, end, harsh brakes, faults, charging starts and closed runs of idling; ``points`` are those of of_trips()."""
     first = F.row_number().over(by_trip())
@@ -94,14 +102,18 @@ def trip_events(points: DataFrame) -> DataFrame:
     idle = F.coalesce((F.coalesce("speed_kmh", F.lit(0.0)) < IDLE_KMH) & (F.col("ignition") == "ON"), F.lit(False))
     p = points.withColumns({"first": first, "last": last, "idle": idle, "was_charging": F.coalesce(F.lag("charging").over(by_trip()), F.lit(False))})
     p = p.withColumn("run", F.sum((~F.col("idle")).cast("long")).over(by_trip()))  # an idle run shares the number of the point before it
+    within = Window.partitionBy("vehicle_id", "segment", "run", "idle")
+    long_run = (F.count("*").over(within) >= IDLE_POINTS) & (F.max("t_us").over(within) - F.min("t_us").over(within) >= IDLE_US)
+    closed = F.min("last").over(within) > 1  # a later point ends the run
+    p = p.withColumn("idles", F.col("idle") & long_run & closed & (F.row_number().over(within.orderBy("t_us", "event_id")) == 1))
     fault = F.col("fault_code").isNotNull() & ~F.col("fault_code").isin("", "null")
-    kinds = [("TRIP_START", F.col("first") == 1), ("TRIP_END", F.col("last") == 1), ("HARSH_BRAKE", F.col("harsh_brake")), ("FAULT", fault), ("CHARGING", F.col("charging") & ~F.col("was_charging"))]
+    kinds = [
+        ("TRIP_START", F.col("first") == 1), ("TRIP_END", F.col("last") == 1), ("HARSH_BRAKE", F.col("harsh_brake")), ("FAULT", fault),
+        ("CHARGING", F.col("charging") & ~F.col("was_charging")), ("EXTENDED_IDLE", F.col("idles")),
+    ]
     labels = F.array_compact(F.array(*[F.when(test, name) for name, test in kinds]))
-    point = p.select("trip_id", "vehicle_id", "event_id", "t_us", F.explode(labels).alias("kind"), "distance_km")
-    runs = p.where("idle").groupBy("trip_id", "vehicle_id", "run").agg(F.count("*").alias("n"), F.min("t_us").alias("t_us"), F.max("t_us").alias("until"), F.min_by("event_id", F.struct("t_us", "event_id")).alias("event_id"), F.min("last").alias("to_end"))
-    closed = runs.where((F.col("n") >= IDLE_POINTS) & (F.col("until") - F.col("t_us") >= IDLE_US) & (F.col("to_end") > 1))
-    both = point.unionByName(closed.select("trip_id", "vehicle_id", "event_id", "t_us", F.lit("EXTENDED_IDLE").alias("kind")), allowMissingColumns=True)
-    return both.select("trip_id", "vehicle_id", "event_id", "t_us", "kind", F.when(F.col("kind") == "TRIP_END", F.col("distance_km")).alias("distance_km"))
+    events = p.select("trip_id", "vehicle_id", "event_id", "t_us", F.explode(labels).alias("kind"), "distance_km")
+    return events.withColumn("distance_km", F.when(F.col("kind") == "TRIP_END", F.col("distance_km")))
 
 
 def route_points(points: DataFrame) -> DataFrame:

@@ -56,8 +56,7 @@ def viable(s: SparkSession, d: str) -> DataFrame:
 
 
 def of_trips(s: SparkSession, d: str) -> DataFrame:
-    p = segments(s, d)
-    return op.of_trips(p, op.trips(p))
+    return op.of_trips(segments(s, d))
 
 
 def events(s: SparkSession, d: str) -> DataFrame:
