@@ -39,10 +39,6 @@ def split_by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarra
     return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
 
 
-def column(table: pa.Table, name: str) -> list:
-    return table.column(name).to_pylist()
-
-
 def texts(table: pa.Table) -> Iterator[bytes]:
     """The texts of a bucket as UTF-8."""
     for chunk in table.column("text").cast(pa.large_binary()).chunks:

@@ -121,7 +121,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     shared = spark.sparkContext.broadcast(Hashing(dimension, WIDTH * typical))
     blocks = max(1, math.ceil(count / VECTORS_A_BLOCK))
     queries = rows.where(is_query)
-    query_blocks = max(1, math.ceil(count / 100 / QUERIES_A_BLOCK))
+    query_blocks = max(1, math.ceil(queries.count() / QUERIES_A_BLOCK))
     right = _packed(rows.withColumn("at", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")), "at", "vector")
     left = _packed(queries.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")), "at", "query")
     pairs = left.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "block")

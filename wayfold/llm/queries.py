@@ -30,7 +30,7 @@ def op4_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return cover_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
