@@ -5,7 +5,7 @@ of two texts is the size of the intersection over the geometric mean of the size
 texts a language turns it into vectors, on which one-versus-rest kernel ridge regression is solved in closed form. A
 batch of documents is then scored by two matrix products.
 
-Fit: at most ``per_language`` labelled rows a language, those with the least hash of the id; their presence vectors (not
+Fit: at most ``per_language`` labelled rows a language, those with the least hash of id and text; their presence vectors (not
 their texts) come to the driver, at most MAX_LANGUAGES * per_language * DIMENSIONS / 8 bytes.
 """
 
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, training: Column, per_language: int = 400) -> Model:
     """Learns from rows where ``training`` holds, lang is not null and the text has a letter."""
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))  # a row a language
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     # only rows that can be among the first: the share expected to hold eight times as many
     near = rows.withColumn("place", place).join(F.broadcast(sizes), "lang").where(F.col("place") * F.col("size") <= 8 * per_language)
     order = Window.partitionBy("lang").orderBy("place", "doc_id", F.md5("text"))
