@@ -1,14 +1,14 @@
 """Prediction by partial matching over bytes, and the word-frequency score beside it.
 
-Method: a trie of byte contexts of order 0 to ORDER is counted over all training texts. A symbol is coded at the longest
-context that has seen it, after an escape from each longer one (escape method D: half a count of each distinct symbol);
-symbols of the longer contexts are excluded from the shorter ones, as an escape has ruled them out. The trained model
-is static, so each (context, symbol) has a fixed code length and a document's score is a sum of table look-ups.
-
-Size: bytes fall into SYMBOLS classes: end of text, the most frequent bytes, and one class for all others, within which
-a byte is coded by its smoothed share. Contexts of up to DENSE symbols are all kept (at most SYMBOLS**DENSE), longer ones
-if they make up at least RARE of the training bytes (so at most 1 / RARE of each order). The model is bounded whatever
-the corpus, while each of its counts covers the whole training set.
+Method: byte contexts of order 0 to 6 are counted over all training texts. A symbol is coded at the longest context that
+has seen it, after an escape from each longer one (escape method D: half a count of each distinct symbol); symbols of the
+longer contexts are excluded from the shorter ones, as an escape has ruled them out. The trained model is static, so each
+(context, symbol) has a fixed code length and a document's score is a sum of look-ups.
+
+Size: no context is left out, so the counts grow with the corpus. They are never in one place: buckets of text send their
+distinct grams and counts to the parts that own them, which answer with code lengths (module ``contexts``). Only grams of
+two bytes and a symbol come to the driver, at most 256**3. ``train`` and ``Trie`` are a model bounded to SYMBOLS classes
+and to contexts of RARE of the training bytes; ``score`` doesn't use them.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm import contexts
 from wayfold.llm._exchange import bucketed, split_by_part, texts
 from wayfold.llm._hashing import word_hashes
 
@@ -204,6 +206,34 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, Trie]:
     return classes, inner, Trie({k: (code[order == k], n[order == k]) for k in range(DENSE, ORDER + 1)})
 
 
+def _short_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of order LOCAL - 1 of the rows' texts, sorted, and their counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n, waiting, size = np.zeros(0, np.int32), np.zeros(0, np.int64), [], 0
+
+        def settle() -> tuple[np.ndarray, np.ndarray]:
+            fresh, m = np.unique(np.concatenate(waiting), return_counts=True)
+            return _summed(np.concatenate([seen, fresh]), np.concatenate([n, m]))
+
+        for b in batches:
+            for value in b.column(0).cast(pa.large_binary()):
+                waiting.append(contexts.of_order(contexts.grams(lowered(value.as_py())), contexts.LOCAL - 1).astype(np.int32))
+                size += len(waiting[-1])
+                if size >= _CHUNK:
+                    seen, n = settle()
+                    waiting, size = [], 0
+        if waiting:
+            seen, n = settle()
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n, pa.int64())], ["gram", "n"])
+
+    # bounded by the alphabet: 256**LOCAL rows
+    found = rows.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    gram, n = (found.column(c).to_numpy() for c in ("gram", "n"))
+    order = np.argsort(gram)
+    return gram[order].astype(np.uint64), n[order]
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Scores of every whole text by models trained on the rows where ``held_out`` is false.
 
@@ -213,7 +243,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     and are each returned; other columns are not read. Without training rows, every count is 0.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(train(rows.where(~held_out)))
+    short = docs.sparkSession.sparkContext.broadcast(_short_grams(rows.where(~held_out)))
     dealt, parts = bucketed(rows)
     dealt = dealt.withColumn("held_out", held_out)
 
@@ -235,6 +265,28 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             "counts": pa.array([n[bounds[p] : bounds[p + 1]].tobytes() for p in full], pa.binary()),
         })
 
+    def ask_grams(group: pa.Table) -> pa.Table:
+        """The distinct grams of a bucket, with their counts in its training texts."""
+        held = group.column("held_out").to_numpy()
+        each = [contexts.grams(lowered(raw)) for raw in texts(group)]
+        grams, at = np.unique(np.concatenate(each), return_inverse=True)
+        n = np.bincount(at[np.repeat(~held, [len(x) for x in each])], minlength=len(grams))
+        order, bounds = contexts.by_part(grams, parts)
+        grams, n = grams[order], n[order]
+        full = np.flatnonzero(np.diff(bounds))
+        bucket = group.column("bucket")[0].as_py()
+        packed = [contexts.packed(grams[bounds[p] : bounds[p + 1]], n[bounds[p] : bounds[p + 1]]) for p in full]
+        return pa.table({"part": pa.array(full, pa.int32()), "bucket": pa.array([bucket] * len(full), pa.int32()), "grams": pa.array(packed, pa.binary())})
+
+    def answer_grams(group: pa.Table) -> pa.Table:
+        """The code length of each gram that each bucket asked for, by the corpus's counts."""
+        asked = [contexts.unpacked(x) for x in group.column("grams").to_pylist()]
+        ends = np.cumsum([len(x) for x, _ in asked])[:-1]
+        grams, at = np.unique(np.concatenate([x for x, _ in asked]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([m for _, m in asked]), len(grams)).astype(np.int64)
+        value = contexts.code_lengths(grams, grams[n > 0], n[n > 0], short.value).astype(np.float32)
+        return pa.table({"bucket": group.column("bucket"), "part": group.column("part"), "values": pa.array([x.tobytes() for x in np.split(value[at], ends)], pa.binary())})
+
     def answer(group: pa.Table) -> pa.Table:
         """The corpus's count of each word that each bucket asked for, and the part's sums on the first row."""
         asked = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
@@ -253,24 +305,34 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         })
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        classes, inner, trie = model.value
-        words = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("words").to_pylist()] or [np.zeros(0, np.uint64)])
-        count = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
+        whole = answers.filter(pc.is_null(answers.column("part")))
+        coded = answers.filter(pc.is_valid(answers.column("part"))).sort_by("part")
+        words = np.concatenate([np.frombuffer(x, np.uint64) for x in whole.column("words").to_pylist()] or [np.zeros(0, np.uint64)])
+        count = np.concatenate([np.frombuffer(x, np.int64) for x in whole.column("values").to_pylist()] or [np.zeros(0, np.int64)])
         order = np.argsort(words)
         words, count = words[order], count[order]
         value = np.log10(count + 0.5)
+        each = [contexts.grams(lowered(raw)) for raw in texts(group)]
+        if not each:
+            return pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+        grams, at = np.unique(np.concatenate(each), return_inverse=True)
+        lengths = np.zeros(len(grams))
+        lengths[contexts.by_part(grams, parts)[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in coded.column("values").to_pylist()])
+        ppm = np.add.reduceat(lengths[at], np.cumsum([0, *(len(x) for x in each[:-1])]))
         out = []
         for raw in texts(group):
-            raw = lowered(raw)
-            at = np.searchsorted(words, np.append(word_hashes(raw)[0], _END))
-            ppm = trie.log10(symbols(raw, classes)) + float(inner[np.frombuffer(raw, np.uint8)].sum())
-            out.append((len(at), int((count[at] > 0).sum()), float(value[at].sum()), ppm))
-        n, known, base, ppm = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
-        return pa.table({"doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(ppm, pa.float64())})
+            at = np.searchsorted(words, np.append(word_hashes(lowered(raw))[0], _END))
+            out.append((len(at), int((count[at] > 0).sum()), float(value[at].sum())))
+        n, known, base = (list(x) for x in zip(*out, strict=True))
+        return pa.table({"doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(ppm)})
 
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
     asked = dealt.groupBy("bucket").applyInArrow(ask, "part int, bucket int, words binary, counts binary")
     answered = asked.groupBy("part").applyInArrow(answer, "bucket int, words binary, counts binary, tokens long, distinct long")
-    scored = dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    coded = dealt.groupBy("bucket").applyInArrow(ask_grams, "part int, bucket int, grams binary").groupBy("part").applyInArrow(answer_grams, "bucket int, part int, values binary")
+    empty = F.lit(None).cast("binary")
+    answers = answered.select("bucket", F.lit(None).cast("int").alias("part"), "words", F.col("counts").alias("values")).union(coded.select("bucket", "part", empty.alias("words"), "values"))
+    scored = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     sums = answered.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"))
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", "base", "score",
