@@ -69,3 +69,14 @@ def test_odd_rows(odd):
     kept = omh.one_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 2), (False, 5), (True, 0)]
+
+
+def test_a_bucket_of_many_families_joins_each(spark, monkeypatch):
+    monkeypatch.setattr(omh, "sketch", lambda words: np.arange(32, dtype=np.uint64))
+    r = random.Random(7)
+    rows = []
+    for family in range(7):
+        base = [f"f{family}w{r.randint(0, 5000)}" for _ in range(40)]
+        rows += [(10 * family, " ".join(base)), (10 * family + 1, " ".join([*base[:20], "new", *base[21:]]))]
+    got = {x.doc_id: x.class_id for x in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}

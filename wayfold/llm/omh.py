@@ -5,14 +5,14 @@ SKETCHES hash functions picks the TUPLE least labelled k-mers, and the sketch is
 stand in the text, so that equal sketches tell of a small edit distance and not merely of common k-mers. Texts with an
 equal sketch are candidates: each is compared with one of its bucket, the centre, so that a bucket of n texts gives n - 1
 pairs. Members that differ from the centre and are not in its group by other links are compared again around a new
-centre, for ROUNDS rounds at most, after which next to no groups are joined; two similar texts share many buckets, and
-one of them is the centre of some. A candidate pair is a link if its banded word alignment gives an edit similarity of
+centre, until no bucket has two of them. A candidate pair is a link if its banded word alignment gives an edit similarity of
 at least 0.8.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,6 @@ SKETCHES = 32
 TUPLE = 3
 SIMILARITY = 0.8
 EARLY = 8
-ROUNDS = 3
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -198,7 +197,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     words = saved(one.select("node", "text").mapInArrow(words_of, "node binary, words binary").dropDuplicates(["node"]))
 
     labels, tried = None, None
-    for k in range(ROUNDS + 1):
+    for k in itertools.count():
         # the early sketches join most of each group; the others are compared only where they could join more
         here = members.where("early") if k == 0 else members
         if labels is None:
@@ -210,12 +209,14 @@ def _classes(docs: DataFrame) -> DataFrame:
             here = here.join(of_centre, "key").where("label != apart").select("key", "node", "centre")
             if k > 1:  # those that the last centre did not join get a centre of their own
                 centres = saved(_centres(here))
+                if not centres.limit(1).count():
+                    break
                 members = saved(here.select("key", "node").join(centres.select("key"), "key"))
                 here = members.join(centres, "key")
         pairs = here.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
-            if k > 1:
+            if k and labels is None:  # no bucket at all
                 break
             continue
         tried = pairs if tried is None else tried.union(pairs)
@@ -228,8 +229,6 @@ def _classes(docs: DataFrame) -> DataFrame:
         ends = links.select(F.col("a").alias("node"), F.col("label_a").alias("label")).union(links.select("b", "label_b"))
         between = saved(links.where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
         if not between.limit(1).count():
-            if k > 1:
-                break
             continue
         merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = saved(labels.union(ends).distinct().join(merged, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
