@@ -3,7 +3,9 @@
 Method: a page is cut at block tags into blocks of text, each with its length, the share of it inside links, and the
 share of its words that are stop words. The first pass decides what it can: blocks in structural boilerplate (menus,
 footers, forms, adverts, comments and the like, by element or by class and id) and blocks that are mostly links are out;
-long blocks rich in stop words are in. The second pass gives each block left over, short or poor in stop words, the
+long blocks rich in stop words are in, or all long ones where a page has neither these nor an article, as in a language
+without stop words here. A name is boilerplate if all its words are, besides those of place and layout ("main-nav", not
+"no-sidebar"); html and body never are, and an article or main in a container that only its name leaves out is in. The second pass gives each block left over, short or poor in stop words, the
 label of the nearest decided block of the same container, the one before winning a tie; where its container has none, a block is in if
 the container is an article.
 """
@@ -36,6 +38,8 @@ STOP_WORDS = frozenset(
 _DROPPED = "script|style|noscript|template|svg|title|textarea|iframe|object|select|button|canvas|math|audio|video"
 _OUTSIDE = frozenset("nav footer aside form menu dialog fieldset legend label option datalist".split())
 _INSIDE = frozenset("article main".split())
+_WHOLE = frozenset("html body".split())
+_OUT = frozenset("out named".split())
 _BLOCKS = frozenset(
     """
     address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form
@@ -47,12 +51,14 @@ _CONTAINERS = frozenset("article main nav header footer aside form menu dialog f
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 
 _BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adverti[sz]ing|banners?|sponsor(?:ed|s)?|promo(?:tion)?s?|menus?|nav|navbar|navigation|breadcrumbs?|"
+    r"(?:ads?|adverts?|advertisements?|adverti[sz]ing|banners?|sponsor(?:ed|s)?|promo(?:tion)?s?|menus?|nav|navbar|navigation|breadcrumbs?|"
     r"side-?bars?|footer|masthead|(?:site|page|top|global)[_-]?header|top-?bar|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|"
     r"share|sharing|social|comments?|comment-?list|discussion|repl(?:y|ies)|respond|disqus|related|recommend(?:ed|ations?)?|widgets?|search|pagination|pager|"
-    r"copyright|disclaimer|legal|toolbar|skip|hidden|teasers?|trending)(?=$|[\s_-])",
+    r"copyright|disclaimer|legal|toolbar|skip|hidden|teasers?|trending)",
     re.I,
 )
+_PLACE = r"(?:areas?|bar|block|bottom|box|column|container|content|entry|form|global|group|header|inner|items?|left|links?|list|main|outer|page|post|primary|right|secondary|section|site|to|top|wrap(?:per)?|\d+)"
+_BAD_TOKEN = re.compile(rf"(?:{_PLACE}[_-]+)*{_BAD_NAME.pattern}(?:[_-]+(?:{_BAD_NAME.pattern}|{_PLACE}))*", re.I)
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body)(?=$|[\s_-])", re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
@@ -63,8 +69,11 @@ _TOKEN = re.compile(
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
-def _kind(tag: str, attributes: str, within: str) -> str:
-    """Whether a container is "out" of articles, a text of its own ("in"), or like what it stands in."""
+def _kind(tag: str, attributes: str, within: str, held: bool) -> str:
+    """Whether a container is "out" of articles, out by its name only ("named"), a text of its own ("in"), or like what it stands in.
+
+    ``held``: it stands in an article or main, whose parts stay out if they are named so.
+    """
     if within == "out" or tag in _OUTSIDE or tag == "header" and within != "in":
         return "out"
     if attributes.strip():
@@ -79,9 +88,10 @@ def _kind(tag: str, attributes: str, within: str) -> str:
                 return "out"
         if role in _BAD_ROLE:
             return "out"
-        if tag not in _INSIDE and any(_BAD_NAME.search(n) for n in names):
-            return "out"
-        if any(_GOOD_NAME.search(n) for n in names):
+        bad = any(_BAD_TOKEN.fullmatch(t) for n in names for t in n.split())
+        if bad and (tag not in _INSIDE or within == "named"):
+            return "out" if held else "named"
+        if within != "named" and any(_GOOD_NAME.search(n) for n in names):
             return "in"
     return "in" if tag in _INSIDE else within
 
@@ -123,14 +133,14 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
                 kind = stack[-1][1] if stack else ""
         if tag in _CONTAINERS:
             if not closing:
-                kind = _kind(tag, m[4], kind)
+                kind = _kind(tag, m[4], kind, any(t in _INSIDE for t, _ in stack))
                 stack.append((tag, kind))
             elif any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
                 kind = stack[-1][1] if stack else ""
                 links = 0
-        elif not closing and tag not in _VOID and m[4] and kind != "out" and tag in _BLOCKS and _kind(tag, m[4], kind) == "out":
+        elif not closing and tag not in _VOID and tag not in _WHOLE and m[4] and kind not in _OUT and tag in _BLOCKS and _kind(tag, m[4], kind, True) == "out":
             stack.append((tag, "out"))  # a paragraph or heading that is marked as boilerplate
             kind = "out"
         elif closing and stack and stack[-1][0] == tag:
@@ -147,7 +157,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     label: list[bool | None] = []
     for text, kind, links in found:
-        if kind == "out" or links > LINK_SHARE:
+        if kind in _OUT or links > LINK_SHARE:
             label.append(False)
         elif len(text) >= LONG:
             words = [_EDGES.sub("", w).lower() for w in text.split()]
@@ -155,6 +165,8 @@ def main_text(page: str | None) -> str:
             label.append(True if words and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words) else None)
         else:
             label.append(None)
+    if True not in label and not any(kind == "in" for _, kind, _ in found):
+        label = [True if own is None and len(text.encode()) >= LONG else own for (text, _, _), own in zip(found, label, strict=True)]
     before: list[int | None] = []
     last: dict[str, int] = {}
     for i, (_, kind, _) in enumerate(found):
