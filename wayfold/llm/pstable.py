@@ -4,7 +4,8 @@ Method: TABLES tables each hash a vector by HASHES random projections cut into s
 own bucket and then the perturbed buckets (one slot up or down in some projections) in the order in which they are
 likely to hold neighbours: by the squared distances from the query to the slot borders it would cross. The sequence of
 border sets is generated once, over the expected distances by rank; a query only ranks its own borders. The candidates
-of all tables are merged and reranked by exact distance in double precision.
+of all tables are merged and reranked by exact distance in double precision. A query that finds fewer than k ids, as one
+far from the rest, is compared with all vectors.
 
 The index is sharded: each block of vectors has its own tables, and each block of queries visits every block of vectors.
 Block sizes are fixed, so tasks stay alike and there are more of them. Slot width is WIDTH times the median distance
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.llm._store import saved
+
 TABLES = 10
 HASHES = 8
 PROBES = 400
@@ -121,33 +124,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     shared = spark.sparkContext.broadcast(Hashing(dimension, WIDTH * typical))
     blocks = max(1, math.ceil(count / VECTORS_A_BLOCK))
     queries = rows.where(is_query)
-    query_blocks = max(1, math.ceil(queries.count() / QUERIES_A_BLOCK))
     right = _packed(rows.withColumn("at", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")), "at", "vector")
-    left = _packed(queries.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")), "at", "query")
-    pairs = left.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "block")
 
-    def visit(batches):
+    def visit(batches, whole):
         hashing = shared.value
         for batch in batches:
             for query_ids, query_vectors, ids, block in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 query_ids, ids = np.frombuffer(query_ids, np.int64), np.frombuffer(ids, np.int64)
                 q, x = np.frombuffer(query_vectors).reshape(len(query_ids), -1), np.frombuffer(block).reshape(len(ids), -1)
-                codes = hashing.codes(x)
-                tables = [np.unique(codes[:, t], return_inverse=True) for t in range(TABLES)]
+                codes = None if whole else hashing.codes(x)
+                tables = [] if whole else [np.unique(codes[:, t], return_inverse=True) for t in range(TABLES)]
                 squares = (x**2).sum(1)
                 out = []
                 for at in range(0, len(q), 64):
                     part = q[at : at + 64]
-                    probes = hashing.probes(part)
+                    probes = None if whole else hashing.probes(part)
                     rough = (part**2).sum(1)[:, None] + squares - 2 * part @ x.T
                     for i in range(len(part)):
-                        candidate = np.zeros(len(ids), bool)
+                        candidate = np.full(len(ids), whole)
                         for t, (buckets, member) in enumerate(tables):
                             candidate |= np.isin(buckets, probes[i, t])[member]
                         found = np.flatnonzero(candidate & (ids != query_ids[at + i]))
-                        if len(found) > 4 * k:
+                        edge = np.flatnonzero(np.diff(ids[found], prepend=ids[found[0]] - 1)) if len(found) else found
+                        if len(edge) > 4 * k:  # by ids, each at its nearest row
                             value = rough[i, found]
-                            found = found[value <= np.partition(value, 2 * k)[2 * k] + 1e-9 * (1 + squares.max())]
+                            nearest = np.partition(np.minimum.reduceat(value, edge), 2 * k)[2 * k]
+                            found = found[value <= nearest + 1e-9 * (1 + squares.max() + part[i] @ part[i])]
                         exact = np.sqrt(((x[found] - part[i]) ** 2).sum(1))
                         # by distance, then id; repeated rows of an id once
                         order = np.lexsort((ids[found], exact))
@@ -157,6 +159,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("query_ids", "query_vectors", "vector_ids", "vector_vectors").mapInArrow(visit, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(asked: DataFrame, n: int, whole: bool) -> DataFrame:
+        query_blocks = max(1, math.ceil(n / QUERIES_A_BLOCK))
+        left = _packed(asked.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")), "at", "query")
+        pairs = left.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "block")
+        found = pairs.select("query_ids", "query_vectors", "vector_ids", "vector_vectors").mapInArrow(lambda batches: visit(batches, whole), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    probed = saved(ranked(queries, queries.count(), False))
+    enough = probed.where(F.col("rank") == k).select("query_id")
+    lacking = queries.join(enough, queries.vec_id == enough.query_id, "left_anti")
+    n = lacking.count()
+    if not n:
+        return probed
+    return probed.join(enough, "query_id", "left_semi").select(*probed.columns).union(ranked(lacking, n, True))
