@@ -29,8 +29,8 @@ def remove_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled by calibrated probabilities."""
-    return mixing.mix(docs).where("sampled").select(*docs.columns)
+    """Documents are sampled by calibrated probabilities, half of the tokens."""
+    return mixing.mix(docs, share=0.5).where("sampled").select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Method: the tokens of each cell (source, language, topic) are summed over the corpus; the table of cells is then raked,
 one marginal after the other, until its sums by source, by language and by topic meet the targets. A cell's ratio of
 raked to present tokens is the weight of its documents, and the share of them that is sampled is that weight divided by
-the largest one (times ``rate``). Whether a document is sampled depends only on a hash of its id and text.
+the largest one (times ``rate``), or, where a ``share`` of the tokens is given, what brings the sample to that size whatever
+the largest weight is: probabilities in proportion to the weights, clipped at 1, the excess spread over the other cells.
+Whether a document is sampled depends only on a hash of its id and text.
 
 Only DataFrame functions are used. The corpus is shuffled only as partial sums by cell.
 """
@@ -67,6 +69,25 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     return saved(current.select(*cells.columns, "raked"))
 
 
+def to_share(raked: DataFrame, share: float) -> DataFrame:
+    """Adds ``probability`` to the raked cells: least(1, factor * weight), so that ``share`` of all tokens is expected.
+
+    With cells by falling weight, the factor follows from the first cells, kept whole, and what is left for the others;
+    it is the first one under which the next cell is not clipped. Cells of weight 0 give nothing, even for a large share.
+    """
+    falling = Window.orderBy(F.desc("weight"), *MARGINS)
+    before = falling.rowsBetween(Window.unboundedPreceding, -1)
+    rest = falling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    steps = raked.where("weight > 0").coalesce(1).select(
+        "weight", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("whole_cells"), F.sum("raked").over(rest).alias("others"),
+    )
+    wanted = raked.agg((F.sum("tokens") * share).alias("wanted"))
+    steps = steps.withColumn("factor", (wanted.scalar() - F.col("whole_cells")) / F.col("others"))
+    # null if even whole cells don't reach the share
+    factor = steps.where(F.col("factor") * F.col("weight") <= 1).agg(F.max(F.struct("weight", "factor")).alias("best")).select("best.factor")
+    return raked.withColumn("probability", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.coalesce(factor.scalar() * F.col("weight"), F.lit(1.0)))).otherwise(0.0))
+
+
 def sampling_position() -> Column:
     """A number in [0, 1) from the document's id and text."""
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
@@ -79,13 +100,14 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.select(*kept, F.coalesce("source", F.lit(UNKNOWN)).alias("cell_source"), F.coalesce("lang", F.lit(UNKNOWN)).alias("cell_lang"), topic().alias("topic"), tokens().alias("tokens"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = 1.0, sweeps: int = SWEEPS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = 1.0, sweeps: int = SWEEPS, share: float | None = None) -> DataFrame:
     """Every document with its cell, weight, probability and whether it is sampled.
 
     Adds topic, tokens, weight, probability and sampled to the columns of ``docs`` (which lose columns of these names).
     ``targets``: shares by "source", "lang" and "topic" as tables (margin, target); by default the corpus's own shares,
     tempered. Null sources and languages form the value "unknown". A document without tokens, as one with a null text,
-    has weight and probability 0. Equal rows are sampled alike.
+    has weight and probability 0. Equal rows are sampled alike. ``share``: the part of all tokens to expect in the sample;
+    without it the cell of the largest weight is kept at ``rate`` and sets the size of the sample.
     """
     names = ["topic", "tokens", "weight", "probability", "sampled"]
     rows = labelled(docs.drop(*names))
@@ -94,8 +116,12 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: floa
     powers = dict(zip(MARGINS, (SOURCE_POWER, LANGUAGE_POWER, TOPIC_POWER), strict=True))
     targets = targets or {m: tempered(cells, m, p) for m, p in powers.items()}
     raked = rake(cells, targets, sweeps).withColumn("weight", F.col("raked") / F.col("tokens"))
-    largest = raked.agg(F.max("weight").alias("largest")).select("largest").scalar()
-    weights = raked.select(F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), "topic", "weight", F.least(F.lit(1.0), F.col("weight") / largest * rate).alias("probability"))
+    if share is None:
+        largest = raked.agg(F.max("weight").alias("largest")).select("largest").scalar()
+        raked = raked.withColumn("probability", F.least(F.lit(1.0), F.col("weight") / largest * rate))
+    else:
+        raked = to_share(raked, share)
+    weights = raked.select(F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), "topic", "weight", "probability")
     placed = rows.join(weights, ["cell_source", "cell_lang", "topic"], "left")
     zero = F.col("tokens") == 0
     weight, probability = (F.when(zero, 0.0).otherwise(F.coalesce(c, F.lit(0.0))) for c in (F.col("weight"), F.col("probability")))
