@@ -1,18 +1,24 @@
 """Near-duplicate groups by Order MinHash.
 
-Method: a text is the sequence of its 5-word k-mers, each labelled with its occurrence so that repeats differ. Each of
+Method: a text is the sequence of its k-mers of words, each labelled with its occurrence so that repeats differ. Each of
 SKETCHES hash functions picks the TUPLE least labelled k-mers, and the sketch is their hash in the order in which they
-stand in the text, so that equal sketches tell of a small edit distance and not merely of common k-mers. Texts with an
-equal sketch are candidates: each is compared with one of its bucket, the centre, so that a bucket of n texts gives n - 1
-pairs. Members that differ from the centre and are not in its group by other links are compared again around a new
-centre, until no bucket has two of them. A candidate pair is a link if its banded word alignment gives an edit similarity of
-at least 0.8.
+stand in the text, so that equal sketches tell of a small edit distance and not merely of common k-mers. Two texts with an
+equal sketch are candidates, and linked if their banded word alignment gives an edit similarity of at least 0.8.
+
+k-mers are of two words: at an edit similarity of 0.8 nearly half of the union of two texts' two-word k-mers is common, but
+only a fifth of the five-word ones. Texts of a few words have k-mers of one word; those of MIDDLE lengths have both, so
+that two texts whose lengths allow a link always share a kind.
+
+Not every candidate pair is aligned, yet no link is lost: first each text is compared with the centre of each of its
+buckets, so that a bucket of n texts gives n - 1 pairs, and the links give groups. Texts of a bucket that is not one group
+then meet in blocks of at most about BLOCK texts, where a bound on the distance (lengths, and counts of words by BINS
+hashed bins) rules out nearly all pairs of different groups; those left are aligned.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,26 +27,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm._hashing import Slices, mix, word_hashes
-from wayfold.llm._store import saved
+from wayfold.llm._store import Scratch
 from wayfold.llm.components import components
 
-WORDS = 5
-SKETCHES = 32
+SKETCHES = 40
 TUPLE = 3
+MIDDLE = (24, 32)  # words: shorter texts have k-mers of one word, longer ones of two; the ratio is beyond 1 / SIMILARITY
 SIMILARITY = 0.8
-EARLY = 8
+BINS = 64
+BLOCK = 2048
+_ROWS = 1024
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def sketch(words: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes of a sequence of word hashes. Fewer than five words are one k-mer."""
-    x = Slices(words).windows(WORDS) if len(words) >= WORDS else Slices(words).hash(np.zeros(1, np.int64), np.array([len(words)]))
+def _sketch(words: np.ndarray, k: int) -> np.ndarray:
+    """SKETCHES hashes of a sequence of word hashes by its k-mers; a text of fewer words is one k-mer."""
+    x = Slices(words).windows(k) if len(words) >= k else Slices(words).hash(np.zeros(1, np.int64), np.array([len(words)]))
     order = np.argsort(x, kind="stable")
     s = x[order]
     n = np.arange(len(s))
     label = n - np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), n, 0))
     x = np.empty_like(s)
-    x[order] = mix(s + label.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    x[order] = mix(s + label.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), k)
     out = np.empty(SKETCHES, np.uint64)
     step = max(1, (1 << 21) // len(x))
     for at in range(0, SKETCHES, step):
@@ -57,12 +65,24 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(words: np.ndarray) -> np.ndarray:
+    """The sketches of a sequence of word hashes: SKETCHES of each kind of k-mer that its length calls for."""
+    kinds = [k for k, wanted in ((1, len(words) < MIDDLE[1]), (2, len(words) >= MIDDLE[0])) if wanted]
+    return np.concatenate([_sketch(words, k) for k in kinds])
+
+
+def bins(words: np.ndarray) -> np.ndarray:
+    """How many words fall into each bin, up to 65,535."""
+    return np.minimum(np.bincount((words >> np.uint64(58)).astype(np.intp), minlength=BINS), 65535).astype(np.uint16)
+
+
 def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """1 - distance / length of the longer, over words; 0 if it is below ``least``.
 
     Only cells within the distance allowed of the main diagonal (a band) are computed, a column at a time, as the bits of
     integers: each bit tells whether a cell is one more or one less than the cell above it. Cells outside of the band
-    count as one more than their neighbours inside, which cannot lead to a distance within the band.
+    count as one more than their neighbours inside, which cannot lead to a distance within the band. The band begins narrow and
+    is widened up to the distance allowed, so that long texts that are nearly the same take little.
     """
     longer = max(len(a), len(b))
     if not longer:
@@ -74,30 +94,55 @@ def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) ->
     common = np.minimum(np.bincount(at[: len(a)], minlength=len(values)), np.bincount(at[len(a) :], minlength=len(values))).sum()
     if longer - common > allowed:  # an alignment leaves at least the words that the other lacks
         return 0.0
-    rows, columns = at[: len(a)].tolist(), at[len(a) :].tolist()
-    where: dict[int, int] = {}  # the rows of each word, shifted so that row j - allowed is the lowest bit in column j
+    x, y = at[: len(a)], at[len(a) :]
+    for _ in range(2):  # an alignment may keep the words that both begin or end with
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(x[:n] != y[:n])
+        same = int(differ[0]) if len(differ) else n
+        x, y = x[same:][::-1], y[same:][::-1]
+    rows, columns, band = x.tolist(), y.tolist(), min(32, allowed)
+    while (distance := _banded(rows, columns, band)) is None:
+        if band == allowed:
+            return 0.0
+        band = min(4 * band, allowed)
+    return 1 - distance / longer
+
+
+def _banded(rows: list[int], columns: list[int], allowed: int) -> int | None:
+    """The edit distance of two sequences if it is at most ``allowed``."""
+    gap = len(rows) - len(columns)
+    if abs(gap) > allowed:
+        return None
+    blocks = len(rows) // _ROWS + 1
+    where: dict[int, int] = {}  # the rows of each word, as bits by block of rows
     for i, word in enumerate(rows, 1):
-        where[word] = where.get(word, 0) | 1 << i + allowed
+        at = word * blocks + i // _ROWS
+        where[at] = where.get(at, 0) | 1 << i % _ROWS
     mask = (1 << 2 * allowed + 1) - 1
     top = 1 << 2 * allowed
     more, fewer = mask >> allowed + 1 << allowed + 1, 0  # column 0: each row one more than the row above, from row 1 on
     more, fewer = more >> 1 | top, 0
-    gap = len(rows) - len(columns)
     watched, distance = 1 << allowed + gap, max(gap, 0)  # the diagonal that ends in the last cell
     for j, word in enumerate(columns, 1):
-        equal = where.get(word, 0) >> j & mask
+        low, equal = j - allowed, 0  # the row of the lowest bit
+        for k in range(max(low, 0) // _ROWS, min((j + allowed) // _ROWS, blocks - 1) + 1):
+            bits = where.get(word * blocks + k)
+            if bits is not None:
+                shift = k * _ROWS - low
+                equal |= bits << shift if shift >= 0 else bits >> -shift
+        equal &= mask
         diagonal = ((equal & more) + more ^ more) & mask | equal | fewer
         right_more = fewer | mask & ~(diagonal | more)
         right_fewer = diagonal & more
         if not diagonal & watched:
             distance += 1
             if distance > allowed:
-                return 0.0
+                return None
         right_more = right_more << 1 | 1
         more = (right_fewer << 1 | mask & ~(diagonal | right_more)) & mask
         fewer = diagonal & right_more & mask
         more, fewer = more >> 1 | top, fewer >> 1
-    return 1 - distance / longer
+    return distance
 
 
 def _text_key(docs: DataFrame) -> DataFrame:
@@ -107,65 +152,128 @@ def _text_key(docs: DataFrame) -> DataFrame:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, node, number of words, counts by bin, and sketches of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, packed = [], []
+            nodes, sizes, counts, packed = [], [], [], []
             for value in b.column(1).cast(pa.large_binary()):
                 raw = value.as_py()
+                words = word_hashes(raw)[0]
                 nodes.append(hashlib.md5(raw).digest())
-                packed.append(sketch(word_hashes(raw)[0]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "node", "sketches"])
+                sizes.append(len(words))
+                counts.append(bins(words).tobytes())
+                packed.append(sketch(words).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "node", "n_words", "bins", "sketches"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return rows.mapInArrow(run, "doc_id long, node binary, sketches binary")
+    return rows.mapInArrow(run, "doc_id long, node binary, n_words long, bins binary, sketches binary")
 
 
 def _keys(texts: DataFrame) -> DataFrame:
-    """(key, early, node): a row for each sketch of each distinct text; the first EARLY sketches are early."""
+    """(key, node): a row for each sketch of each distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in b.column(1)] or [np.zeros(0, np.int64)])
-            early = np.tile(np.arange(SKETCHES) < EARLY, len(b))
-            nodes = b.column(0).take(pa.array(np.repeat(np.arange(len(b)), SKETCHES)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(early), nodes], ["key", "early", "node"])
+            each = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
+            nodes = b.column(0).take(pa.array(np.repeat(np.arange(len(b)), [len(x) for x in each])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each or [np.zeros(0, np.int64)])), nodes], ["key", "node"])
 
-    return texts.select("node", "sketches").mapInArrow(run, "key long, early boolean, node binary")
+    return texts.select("node", "sketches").mapInArrow(run, "key long, node binary")
 
 
-def _centres(keys: DataFrame) -> DataFrame:
-    """(key, centre): the least node of each key that several nodes have."""
-    return keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-
-
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the edit similarity of their texts, where it is enough."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose texts are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = b.column(2), b.column(3)
-            value = np.array([edit_similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(left, right, strict=True)], np.float64)
+            left, right = (b.column(i).cast(pa.large_binary()) for i in (2, 3))
+            value = np.array([edit_similarity(word_hashes(x.as_py())[0], word_hashes(y.as_py())[0]) for x, y in zip(left, right, strict=True)], np.float64)
             keep = pa.array(value >= SIMILARITY - 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(value).filter(keep)], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
-    left = words.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
-    right = words.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary, similarity double")
+
+def close_pairs(labels: np.ndarray, sizes: np.ndarray, counts: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels that may be similar enough, by their numbers of words and counts by bin.
+
+    An alignment leaves at least the words of the longer text that the shorter one lacks, and these are no fewer than the
+    bins show. Counts at their limit say nothing. ``second``: where it varies, only pairs of different values are looked at.
+    """
+    order = np.argsort(sizes, kind="stable")
+    labels, sizes, counts, second = labels[order], sizes[order], counts[order], second[order]
+    full, across = sizes >= 65535, second.min() != second.max()
+    allowed = ((1 - SIMILARITY) * sizes + 1e-9).astype(np.int64)  # of the longer, which comes later
+    stop = np.searchsorted(sizes - allowed, sizes, "right")
+    left, right = [], []
+    for i in range(len(sizes) - 1):
+        j = np.arange(i + 1, stop[i])
+        j = j[labels[j] != labels[i]]
+        if across:
+            j = j[second[j] != second[i]]
+        if len(j):
+            common = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64)
+            j = j[(sizes[j] - common <= allowed[j]) | full[j]]
+            left.append(np.full(len(j), i))
+            right.append(j)
+    none = [np.zeros(0, np.intp)]
+    return order[np.concatenate(left or none)], order[np.concatenate(right or none)]
+
+
+def _between(members: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of a bucket that are in different groups and may be similar enough."""
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    placed = scratch.saved(placed)
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    here = placed.join(mixed.select("key", "n"), "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    # a text goes to each pair of blocks that its own is one of
+    at = F.explode(F.sequence(F.lit(0), blocks - 1))
+    here = here.select("key", "node", "label", "own", at.alias("other"))
+    here = here.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "label", "own")
+    here = scratch.saved(here.join(texts.select("node", "n_words", "bins"), "node"))
+    parts = math.ceil(here.count() / 50_000) + 1
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        cell, own = group.column("cell").to_numpy(), group.column("own").to_numpy()
+        sizes = group.column("n_words").to_numpy()
+        counts = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint16).reshape(len(cell), BINS)
+        labels = np.unique(np.array(group.column("label").to_pylist(), "S16"), return_inverse=True)[1]
+        order = np.argsort(cell, kind="stable")
+        left, right = [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            i, j = close_pairs(labels[rows], sizes[rows], counts[rows], own[rows])
+            left.append(rows[i])
+            right.append(rows[j])
+        nodes = group.column("node")
+        return pa.table({"a": nodes.take(pa.array(np.concatenate(left))), "b": nodes.take(pa.array(np.concatenate(right)))})
+
+    found = here.withColumn("part", F.pmod("cell", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(compare, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and class_size of every row: the group of texts that links join, named by its least doc_id.
 
     Equal texts share a class; two texts are linked if their word edit similarity is at least 0.8 and they share a
-    sketch. Null texts count as empty, and texts without words are linked to each other. Rows with a null doc_id get
-    a class; its name is null if no other row is in it. Repeated rows are repeated in the result; other columns are not
-    read. Tables of sketches, candidates and links are written to the shared folder.
+    sketch. Whole texts count, however long: the band of an alignment is a fifth of their words. Null texts count as
+    empty, and texts without words are linked to each other. Rows with a null doc_id get a class; its name is null if no
+    other row is in it. Repeated rows are repeated in the result, and ties of any kind don't change the classes; other
+    columns are not read. An empty table gives no rows. Tables of sketches, candidates and links are written to the
+    shared folder and dropped, but for the two that the result reads.
     """
     return _classes(docs).select("doc_id", "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of each near-duplicate group left, that of the least doc_id; nulls come last."""
+    """The rows of ``docs`` with one of each near-duplicate group left, that of the least doc_id; nulls come last.
+
+    A tie of doc_id goes to the lesser digest of the text, and of repeated rows one stays.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")))
     kept = _classes(docs).groupBy("label").agg(first.alias("kept")).select("kept.kept_id", "kept.kept_node")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
@@ -177,65 +285,33 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, label, class_id and class_size of every row; nodes with one label are one group."""
-    rows = saved(_sketched(docs))
-    # copies of a text are met before the shuffle and after it, and count once from here on
-    texts = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches"))
-    texts = saved(texts)
-    keys = _keys(texts)
-    centres = saved(_centres(keys))
-    members = saved(keys.join(centres.select("key"), "key"))
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [word_hashes(x.as_py())[0].tobytes() for x in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["node", "words"])
-
-    # the words of the texts in buckets, one row of each
-    wanted = members.select("node").distinct().join(texts.select("node", "least_id"), "node")
-    source = _text_key(docs)
-    one = source.join(wanted.withColumnRenamed("node", "wanted"), (source.node == F.col("wanted")) & source.doc_id.eqNullSafe(F.col("least_id")))
-    words = saved(one.select("node", "text").mapInArrow(words_of, "node binary, words binary").dropDuplicates(["node"]))
-
-    labels, tried = None, None
-    for k in itertools.count():
-        # the early sketches join most of each group; the others are compared only where they could join more
-        here = members.where("early") if k == 0 else members
-        if labels is None:
-            here = here.join(centres, "key")
-        else:
-            # a centre stands once a key, so that its label is found without gathering its members
-            of_centre = centres.join(labels.withColumnRenamed("node", "centre"), "centre", "left").select("key", "centre", F.coalesce("label", "centre").alias("apart"))
-            here = here.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            here = here.join(of_centre, "key").where("label != apart").select("key", "node", "centre")
-            if k > 1:  # those that the last centre did not join get a centre of their own
-                centres = saved(_centres(here))
-                if not centres.limit(1).count():
-                    break
-                members = saved(here.select("key", "node").join(centres.select("key"), "key"))
-                here = members.join(centres, "key")
-        pairs = here.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            if k and labels is None:  # no bucket at all
-                break
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        links = saved(_verified(pairs, words))
-        if labels is None:
-            labels = components(links)
-            continue
-        for end in ("a", "b"):  # links between groups, and the groups that they join
-            links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-        ends = links.select(F.col("a").alias("node"), F.col("label_a").alias("label")).union(links.select("b", "label_b"))
-        between = saved(links.where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-        if not between.limit(1).count():
-            continue
-        merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = saved(labels.union(ends).distinct().join(merged, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
-    if labels is None:
-        labels = texts.select("node", F.col("node").alias("label")).limit(0)
-
-    placed = texts.select("node", "least_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    with Scratch(docs.sparkSession) as scratch:
+        sketched = scratch.saved(_sketched(docs))
+        rows = scratch.kept(sketched.select("doc_id", "node"))
+        # copies of a text are met before the shuffle and after it, and count once from here on
+        alike = [F.first(c).alias(c) for c in ("n_words", "bins", "sketches")]
+        texts = scratch.saved(sketched.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), *alike))
+        keys = _keys(texts)
+        centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
+        members = scratch.saved(keys.join(centres, "key"))
+
+        # the texts in buckets, one row of each
+        wanted = members.select("node").distinct().join(texts.select("node", "least_id"), "node")
+        source = _text_key(docs)
+        one = source.join(wanted.withColumnRenamed("node", "wanted"), (source.node == F.col("wanted")) & source.doc_id.eqNullSafe(F.col("least_id")))
+        bodies = scratch.saved(one.select("node", "text").dropDuplicates(["node"]))
+
+        pairs = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = scratch.saved(pairs)
+        groups = components(scratch.saved(_verified(pairs, bodies)), scratch)
+        left = scratch.saved(_between(members.select("key", "node"), groups, texts, scratch).join(pairs, ["a", "b"], "left_anti"))
+        more = _verified(left, bodies)
+        for end in ("a", "b"):
+            more = more.join(groups.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+        more = scratch.saved(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+        merged = components(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("next"))
+        placed = texts.select("node", "least_id", "copies").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = scratch.kept(placed.join(merged, "label", "left").select("node", "least_id", "copies", F.coalesce("next", "label").alias("label")))
     classes = placed.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_text = placed.select("node", "label").join(classes, "label")
-    return rows.select("doc_id", "node").join(by_text, "node").select("doc_id", "node", "label", "class_id", "class_size")
+    return rows.join(by_text, "node").select("doc_id", "node", "label", "class_id", "class_size")
