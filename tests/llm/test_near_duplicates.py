@@ -108,16 +108,21 @@ def test_pairs_at_the_threshold_share_a_sketch(n, similarity):
     assert wanted >= 10 and hits >= 0.95 * wanted
 
 
-def test_the_bound_rules_out_no_link():
+def test_groups_are_joined_by_every_link_between_them():
     r = random.Random(9)
     base = [[r.getrandbits(64) for _ in range(30)] for _ in range(5)]
     words = [np.array(edited(r, r.choice(base), r.randint(0, 9)), np.uint64) for _ in range(120)]
-    sizes, counts = np.array([len(x) for x in words]), np.array([omh.bins(x) for x in words])
-    for second in (np.zeros(120, int), np.arange(120) % 2):
-        labels = np.arange(120) // 2
-        found = {frozenset(p) for p in zip(*(x.tolist() for x in omh.close_pairs(labels, sizes, counts, second)), strict=True)}
-        links = {frozenset((i, j)) for i in range(120) for j in range(i) if labels[i] != labels[j] and (second[i] != second[j] or not second.any()) and omh.edit_similarity(words[i], words[j])}
-        assert links and links <= found
+    sketches = np.zeros((120, 1), np.uint64)
+    for side in (np.zeros(120, int), np.arange(120) % 2):
+        for labels in (np.arange(120), np.arange(120) // 2):
+            want, got = list(labels), list(labels)
+            links = [(i, j) for i in range(120) for j in range(i) if (side[i] != side[j] or not side.any()) and omh.edit_similarity(words[i], words[j])]
+            for group, pairs in ((want, links), (got, omh.links_between(labels, words, sketches, side))):
+                for i, j in pairs:
+                    old, new = group[i], group[j]
+                    group[:] = [new if v == old else v for v in group]
+            assert len(set(want)) < len(set(labels)) and len({*zip(want, got, strict=True)}) == len(set(want)) == len(set(got))
+    assert omh.links_between(np.arange(120), words, np.arange(120, dtype=np.uint64)[:, None], np.zeros(120, int)) == []
 
 
 def test_a_large_bucket_goes_by_blocks(spark, monkeypatch):

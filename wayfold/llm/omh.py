@@ -10,9 +10,10 @@ only a fifth of the five-word ones. Texts of a few words have k-mers of one word
 that two texts whose lengths allow a link always share a kind.
 
 Not every candidate pair is aligned, yet no link is lost: first each text is compared with the centre of each of its
-buckets, so that a bucket of n texts gives n - 1 pairs, and the links give groups. Texts of a bucket that is not one group
-then meet in blocks of at most about BLOCK texts, where a bound on the distance (lengths, and counts of words by BINS
-hashed bins) rules out nearly all pairs of different groups; those left are aligned.
+buckets, so that a bucket of n texts gives n - 1 pairs, and the links give groups. Texts with a common centre that are not
+one group then meet in pairs of blocks of about BLOCK texts, where those with an equal sketch are aligned, unless a bound
+(lengths, and counts of words by BINS hashed bins) rules a link out or their groups are joined by then. Pairs stay in the
+task; only links leave it. Texts of a large family that belong to none of its groups are thus compared with much of it.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ TUPLE = 3
 MIDDLE = (24, 32)  # words: shorter texts have k-mers of one word, longer ones of two; the ratio is beyond 1 / SIMILARITY
 SIMILARITY = 0.8
 BINS = 64
-BLOCK = 2048
+BLOCK = 1024
 _ROWS = 1024
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -72,8 +73,8 @@ def sketch(words: np.ndarray) -> np.ndarray:
 
 
 def bins(words: np.ndarray) -> np.ndarray:
-    """How many words fall into each bin, up to 65,535."""
-    return np.minimum(np.bincount((words >> np.uint64(58)).astype(np.intp), minlength=BINS), 65535).astype(np.uint16)
+    """How many words fall into each bin."""
+    return np.bincount((words >> np.uint64(58)).astype(np.intp), minlength=BINS)
 
 
 def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -152,22 +153,19 @@ def _text_key(docs: DataFrame) -> DataFrame:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node, number of words, counts by bin, and sketches of every row."""
+    """doc_id, node and sketches of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, counts, packed = [], [], [], []
+            nodes, packed = [], []
             for value in b.column(1).cast(pa.large_binary()):
                 raw = value.as_py()
-                words = word_hashes(raw)[0]
                 nodes.append(hashlib.md5(raw).digest())
-                sizes.append(len(words))
-                counts.append(bins(words).tobytes())
-                packed.append(sketch(words).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "node", "n_words", "bins", "sketches"])
+                packed.append(sketch(word_hashes(raw)[0]).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "node", "sketches"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return rows.mapInArrow(run, "doc_id long, node binary, n_words long, bins binary, sketches binary")
+    return rows.mapInArrow(run, "doc_id long, node binary, sketches binary")
 
 
 def _keys(texts: DataFrame) -> DataFrame:
@@ -197,63 +195,80 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def close_pairs(labels: np.ndarray, sizes: np.ndarray, counts: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different labels that may be similar enough, by their numbers of words and counts by bin.
+def links_between(labels: np.ndarray, words: list[np.ndarray], sketches: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the groups of some texts, as far as pairs with an equal sketch join them.
 
-    An alignment leaves at least the words of the longer text that the shorter one lacks, and these are no fewer than the
-    bins show. Counts at their limit say nothing. ``second``: where it varies, only pairs of different values are looked at.
+    Pairs of different groups are aligned, unless lengths and counts of words by bin rule a link out: an alignment leaves at
+    least the words of the longer text that the shorter one lacks, and these are no fewer than the bins show. Pairs that
+    lack the fewest come first, and pairs of groups that are joined by then are left out. ``side``: where it varies, only
+    pairs of different values are looked at.
     """
+    sizes = np.array([len(w) for w in words])
     order = np.argsort(sizes, kind="stable")
-    labels, sizes, counts, second = labels[order], sizes[order], counts[order], second[order]
-    full, across = sizes >= 65535, second.min() != second.max()
+    labels, sizes, sketches, side = np.unique(labels[order], return_inverse=True)[1], sizes[order], sketches[order], side[order]
+    words = [words[i] for i in order]
+    counts = np.array([bins(w) for w in words])
+    across = side.min() != side.max()
     allowed = ((1 - SIMILARITY) * sizes + 1e-9).astype(np.int64)  # of the longer, which comes later
     stop = np.searchsorted(sizes - allowed, sizes, "right")
-    left, right = [], []
+    none = np.zeros(0, np.int64)
+    left, right, lacks = [none], [none], [none]
     for i in range(len(sizes) - 1):
         j = np.arange(i + 1, stop[i])
-        j = j[labels[j] != labels[i]]
-        if across:
-            j = j[second[j] != second[i]]
+        j = j[(labels[j] != labels[i]) & (side[j] != side[i])] if across else j[labels[j] != labels[i]]
         if len(j):
-            common = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64)
-            j = j[(sizes[j] - common <= allowed[j]) | full[j]]
-            left.append(np.full(len(j), i))
-            right.append(j)
-    none = [np.zeros(0, np.intp)]
-    return order[np.concatenate(left or none)], order[np.concatenate(right or none)]
-
-
-def _between(members: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of a bucket that are in different groups and may be similar enough."""
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    placed = scratch.saved(placed)
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+            lack = sizes[j] - np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64)
+            keep = (lack <= allowed[j]) & (sketches[i] == sketches[j]).any(1)
+            left.append(np.full(int(keep.sum()), i))
+            right.append(j[keep])
+            lacks.append(lack[keep])
+    left, right = np.concatenate(left), np.concatenate(right)
+    root, found = list(range(int(labels.max(initial=0)) + 1)), []
+
+    def leads(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for at in np.argsort(np.concatenate(lacks), kind="stable").tolist():
+        i, j = int(left[at]), int(right[at])
+        x, y = leads(int(labels[i])), leads(int(labels[j]))
+        if x != y and edit_similarity(words[i], words[j]) >= SIMILARITY - 1e-12:
+            root[x] = y
+            found.append((int(order[i]), int(order[j])))
+    return found
+
+
+def _between(pairs: DataFrame, groups: DataFrame, bodies: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between the groups that texts with a common centre are in; texts with an equal sketch have one."""
+    members = pairs.select(F.col("a").alias("centre"), F.col("b").alias("node")).union(pairs.select(F.col("a").alias("centre"), "a").distinct())
+    members = scratch.saved(members.join(groups, "node"))
+    mixed = members.groupBy("centre").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    here = placed.join(mixed.select("key", "n"), "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    here = members.join(mixed.select("centre", "n"), "centre").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     # a text goes to each pair of blocks that its own is one of
-    at = F.explode(F.sequence(F.lit(0), blocks - 1))
-    here = here.select("key", "node", "label", "own", at.alias("other"))
-    here = here.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "label", "own")
-    here = scratch.saved(here.join(texts.select("node", "n_words", "bins"), "node"))
-    parts = math.ceil(here.count() / 50_000) + 1
+    here = here.select("centre", "node", "label", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    here = scratch.saved(here.select(F.xxhash64("centre", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "label", "own"))
+    parts = math.ceil(here.count() / BLOCK) + 1
+    here = here.join(bodies, "node").withColumn("part", F.pmod("cell", F.lit(parts)).cast("int"))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        cell, own = group.column("cell").to_numpy(), group.column("own").to_numpy()
-        sizes = group.column("n_words").to_numpy()
-        counts = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint16).reshape(len(cell), BINS)
+        cell, own, nodes = group.column("cell").to_numpy(), group.column("own").to_numpy(), group.column("node")
+        words = [word_hashes(x.as_py())[0] for x in group.column("text").cast(pa.large_binary())]
         labels = np.unique(np.array(group.column("label").to_pylist(), "S16"), return_inverse=True)[1]
-        order = np.argsort(cell, kind="stable")
-        left, right = [], []
+        sketches = np.repeat(np.arange(len(cell), dtype=np.uint64)[:, None], 2 * SKETCHES, 1)  # equal to none where a kind is missing
+        for i, (x, w) in enumerate(zip(group.column("sketches").to_pylist(), words, strict=True)):
+            own_sketches = np.frombuffer(x, np.uint64)
+            first = 0 if len(w) < MIDDLE[1] else SKETCHES
+            sketches[i, first : first + len(own_sketches)] = own_sketches
+        order, found = np.argsort(cell, kind="stable"), []
         for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-            i, j = close_pairs(labels[rows], sizes[rows], counts[rows], own[rows])
-            left.append(rows[i])
-            right.append(rows[j])
-        nodes = group.column("node")
-        return pa.table({"a": nodes.take(pa.array(np.concatenate(left))), "b": nodes.take(pa.array(np.concatenate(right)))})
+            found += [(int(rows[i]), int(rows[j])) for i, j in links_between(labels[rows], [words[k] for k in rows], sketches[rows], own[rows])]
+        left, right = (np.array([x[k] for x in found], np.int64) for k in range(2))
+        return pa.table({"a": nodes.take(pa.array(left)), "b": nodes.take(pa.array(right))})
 
-    found = here.withColumn("part", F.pmod("cell", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(compare, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return here.groupBy("part").applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -289,29 +304,28 @@ def _classes(docs: DataFrame) -> DataFrame:
         sketched = scratch.saved(_sketched(docs))
         rows = scratch.kept(sketched.select("doc_id", "node"))
         # copies of a text are met before the shuffle and after it, and count once from here on
-        alike = [F.first(c).alias(c) for c in ("n_words", "bins", "sketches")]
-        texts = scratch.saved(sketched.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), *alike))
+        texts = scratch.saved(sketched.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches")))
         keys = _keys(texts)
         centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
         members = scratch.saved(keys.join(centres, "key"))
 
         # the texts in buckets, one row of each
-        wanted = members.select("node").distinct().join(texts.select("node", "least_id"), "node")
+        wanted = members.select("node").distinct().join(texts.select("node", "least_id", "sketches"), "node")
         source = _text_key(docs)
         one = source.join(wanted.withColumnRenamed("node", "wanted"), (source.node == F.col("wanted")) & source.doc_id.eqNullSafe(F.col("least_id")))
-        bodies = scratch.saved(one.select("node", "text").dropDuplicates(["node"]))
+        bodies = scratch.saved(one.select("node", "text", "sketches").dropDuplicates(["node"]))
 
-        pairs = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = scratch.saved(pairs)
-        groups = components(scratch.saved(_verified(pairs, bodies)), scratch)
-        left = scratch.saved(_between(members.select("key", "node"), groups, texts, scratch).join(pairs, ["a", "b"], "left_anti"))
-        more = _verified(left, bodies)
+        pairs = scratch.saved(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+        linked = components(scratch.saved(_verified(pairs, bodies)), scratch)
+        groups = scratch.saved(bodies.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        links = _between(pairs, groups, bodies.select("node", "text", "sketches"), scratch)
         for end in ("a", "b"):
-            more = more.join(groups.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-        more = scratch.saved(more.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-        merged = components(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("next"))
-        placed = texts.select("node", "least_id", "copies").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        placed = scratch.kept(placed.join(merged, "label", "left").select("node", "least_id", "copies", F.coalesce("next", "label").alias("label")))
+            links = links.join(groups.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
+        merged = components(scratch.saved(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))), scratch)
+        merged = merged.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        groups = groups.join(merged, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        placed = texts.select("node", "least_id", "copies").join(groups, "node", "left")
+        placed = scratch.kept(placed.select("node", "least_id", "copies", F.coalesce("label", "node").alias("label")))
     classes = placed.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_text = placed.select("node", "label").join(classes, "label")
     return rows.join(by_text, "node").select("doc_id", "node", "label", "class_id", "class_size")
