@@ -44,17 +44,26 @@ def by_part(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
 
 
+def squeezed(v: np.ndarray) -> bytes:
+    """The bytes of numbers by plane, which sorts the like ones together, compressed."""
+    return len(v).to_bytes(4, "little") + _CODEC.compress(v.view(np.uint8).reshape(-1, v.itemsize).T.tobytes(), asbytes=True)
+
+
+def restored(blob: bytes, kind: type) -> np.ndarray:
+    size, width = int.from_bytes(blob[:4], "little"), np.dtype(kind).itemsize
+    flat = np.frombuffer(_CODEC.decompress(blob[4:], decompressed_size=width * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, size).T).view(kind).ravel()
+
+
 def packed(x: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted grams as steps, and their counts, by planes of bytes."""
-    planes = [v.view(np.uint8).reshape(-1, v.itemsize).T.tobytes() for v in (np.diff(x, prepend=np.uint64(0)), n.astype(np.uint32))]
-    return len(x).to_bytes(4, "little") + _CODEC.compress(b"".join(planes), asbytes=True)
+    """Sorted numbers as steps, and their counts."""
+    steps = squeezed(np.diff(x, prepend=np.uint64(0)))
+    return len(steps).to_bytes(4, "little") + steps + squeezed(n.astype(np.uint32))
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int.from_bytes(blob[:4], "little")
-    flat = np.frombuffer(_CODEC.decompress(blob[4:], decompressed_size=12 * size, asbytes=True), np.uint8)
-    step, n = (np.ascontiguousarray(v.reshape(-1, size).T).view(t).ravel() for v, t in ((flat[: 8 * size], np.uint64), (flat[8 * size :], np.uint32)))
-    return np.cumsum(step, dtype=np.uint64), n
+    end = 4 + int.from_bytes(blob[:4], "little")
+    return np.cumsum(restored(blob[4:end], np.uint64), dtype=np.uint64), restored(blob[end:], np.uint32)
 
 
 def summed(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -247,23 +247,25 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     dealt, parts = bucketed(rows)
     dealt = dealt.withColumn("held_out", held_out)
 
+    def distinct_words(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words of a bucket by part, the parts' bounds, and the place of each word of its texts."""
+        words, at = np.unique(np.concatenate(each), return_inverse=True)
+        order, bounds = split_by_part(words, parts)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return words[order], bounds, place[at]
+
     def ask(group: pa.Table) -> pa.Table:
         """The distinct words of a bucket, with their counts in its training texts."""
         held = group.column("held_out").to_numpy()
         each = [np.append(word_hashes(lowered(raw))[0], _END) for raw in texts(group)]
-        words, at = np.unique(np.concatenate(each), return_inverse=True)
+        words, bounds, at = distinct_words(each)
         training = np.repeat(~held, [len(x) for x in each])
-        n = np.bincount(at[training], minlength=len(words)).astype(np.uint32)
-        order, bounds = split_by_part(words, parts)
-        words, n = words[order], n[order]
+        n = np.bincount(at[training], minlength=len(words))
         full = np.flatnonzero(np.diff(bounds))
         bucket = group.column("bucket")[0].as_py()
-        return pa.table({
-            "part": pa.array(full, pa.int32()),
-            "bucket": pa.array([bucket] * len(full), pa.int32()),
-            "words": pa.array([words[bounds[p] : bounds[p + 1]].tobytes() for p in full], pa.binary()),
-            "counts": pa.array([n[bounds[p] : bounds[p + 1]].tobytes() for p in full], pa.binary()),
-        })
+        packed = [contexts.packed(words[bounds[p] : bounds[p + 1]], n[bounds[p] : bounds[p + 1]]) for p in full]
+        return pa.table({"part": pa.array(full, pa.int32()), "bucket": pa.array([bucket] * len(full), pa.int32()), "words": pa.array(packed, pa.binary())})
 
     def ask_grams(group: pa.Table) -> pa.Table:
         """The distinct grams of a bucket, with their counts in its training texts."""
@@ -285,53 +287,48 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         grams, at = np.unique(np.concatenate([x for x, _ in asked]), return_inverse=True)
         n = np.bincount(at, np.concatenate([m for _, m in asked]), len(grams)).astype(np.int64)
         value = contexts.code_lengths(grams, grams[n > 0], n[n > 0], short.value).astype(np.float32)
-        return pa.table({"bucket": group.column("bucket"), "part": group.column("part"), "values": pa.array([x.tobytes() for x in np.split(value[at], ends)], pa.binary())})
+        return pa.table({"bucket": group.column("bucket"), "part": group.column("part"), "values": pa.array([contexts.squeezed(x) for x in np.split(value[at], ends)], pa.binary())})
 
     def answer(group: pa.Table) -> pa.Table:
         """The corpus's count of each word that each bucket asked for, and the part's sums on the first row."""
-        asked = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
-        words, at = np.unique(np.concatenate(asked), return_inverse=True)
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()])
-        total = np.bincount(at, n, len(words)).astype(np.int64)
-        ends = np.cumsum([len(x) for x in asked])[:-1]
+        asked = [contexts.unpacked(x) for x in group.column("words").to_pylist()]
+        words, at = np.unique(np.concatenate([x for x, _ in asked]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([n for _, n in asked]), len(words)).astype(np.int64)
+        ends = np.cumsum([len(x) for x, _ in asked])[:-1]
         first = np.zeros(len(asked), np.int64)
         first[0] = 1
         return pa.table({
-            "bucket": group.column("bucket"),
-            "words": group.column("words"),
-            "counts": pa.array([x.tobytes() for x in np.split(total[at], ends)], pa.binary()),
+            "bucket": group.column("bucket"), "part": group.column("part"),
+            "values": pa.array([contexts.squeezed(x) for x in np.split(total[at], ends)], pa.binary()),
             "tokens": pa.array(first * total.sum()),
             "distinct": pa.array(first * (total > 0).sum()),
         })
 
+    def in_order(answers: pa.Table, kind: str, number: type) -> np.ndarray:
+        here = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("part")
+        return np.concatenate([contexts.restored(x, number) for x in here.column("values").to_pylist()] or [np.zeros(0, number)])
+
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        whole = answers.filter(pc.is_null(answers.column("part")))
-        coded = answers.filter(pc.is_valid(answers.column("part"))).sort_by("part")
-        words = np.concatenate([np.frombuffer(x, np.uint64) for x in whole.column("words").to_pylist()] or [np.zeros(0, np.uint64)])
-        count = np.concatenate([np.frombuffer(x, np.int64) for x in whole.column("values").to_pylist()] or [np.zeros(0, np.int64)])
-        order = np.argsort(words)
-        words, count = words[order], count[order]
-        value = np.log10(count + 0.5)
-        each = [contexts.grams(lowered(raw)) for raw in texts(group)]
-        if not each:
+        raw = [lowered(x) for x in texts(group)]
+        if not raw:
             return pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+        each = [np.append(word_hashes(x)[0], _END) for x in raw]
+        n = np.array([len(x) for x in each])
+        start = np.cumsum(n) - n
+        count = in_order(answers, "words", np.int64)[distinct_words(each)[2]]
+        known, base = np.add.reduceat(count > 0, start, dtype=np.int64), np.add.reduceat(np.log10(count + 0.5), start)
+        each = [contexts.grams(x) for x in raw]
         grams, at = np.unique(np.concatenate(each), return_inverse=True)
         lengths = np.zeros(len(grams))
-        lengths[contexts.by_part(grams, parts)[0]] = np.concatenate([np.frombuffer(x, np.float32) for x in coded.column("values").to_pylist()])
+        lengths[contexts.by_part(grams, parts)[0]] = in_order(answers, "grams", np.float32)
         ppm = np.add.reduceat(lengths[at], np.cumsum([0, *(len(x) for x in each[:-1])]))
-        out = []
-        for raw in texts(group):
-            at = np.searchsorted(words, np.append(word_hashes(lowered(raw))[0], _END))
-            out.append((len(at), int((count[at] > 0).sum()), float(value[at].sum())))
-        n, known, base = (list(x) for x in zip(*out, strict=True))
-        return pa.table({"doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(ppm)})
+        return pa.table({"doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(ppm)})
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-    asked = dealt.groupBy("bucket").applyInArrow(ask, "part int, bucket int, words binary, counts binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "bucket int, words binary, counts binary, tokens long, distinct long")
+    asked = dealt.groupBy("bucket").applyInArrow(ask, "part int, bucket int, words binary")
+    answered = asked.groupBy("part").applyInArrow(answer, "bucket int, part int, values binary, tokens long, distinct long")
     coded = dealt.groupBy("bucket").applyInArrow(ask_grams, "part int, bucket int, grams binary").groupBy("part").applyInArrow(answer_grams, "bucket int, part int, values binary")
-    empty = F.lit(None).cast("binary")
-    answers = answered.select("bucket", F.lit(None).cast("int").alias("part"), "words", F.col("counts").alias("values")).union(coded.select("bucket", "part", empty.alias("words"), "values"))
+    answers = answered.select(F.lit("words").alias("kind"), "bucket", "part", "values").union(coded.select(F.lit("grams"), "bucket", "part", "values"))
     scored = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     sums = answered.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"))
     return scored.select(
