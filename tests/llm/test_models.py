@@ -29,6 +29,33 @@ def test_language_of_odd_rows(spark, odd, documents):
     assert set(langid.identify(odd, model, keep=tuple(odd.columns)).columns) == {*odd.columns, "lang_pred"}
 
 
+def test_many_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS", 210)
+    rows = [(100 * k + i, f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} " * 5, f"l{k}") for k in range(70) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert len(model.languages) == 70
+    assert langid.identify(docs, model, ("doc_id", "lang")).where("lang != lang_pred").count() == 0
+
+
+def test_scores_are_those_of_the_dense_kernel():
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("abcdefgh "), 60)) for _ in range(20)] + ["".join(r.choice(list("klmnopq "), 60)) for _ in range(20)]
+    labels = ["x"] * 20 + ["y"] * 20
+    x = langid.presence(texts)
+    model = langid.Model(x, labels, landmarks=20)
+    sets = [set(langid.ngram_slots(t).tolist()) for t in texts]
+    kernel = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    value, vector = np.linalg.eigh(kernel)
+    z = np.hstack([kernel @ vector @ np.diag(value**-0.5) @ vector.T, np.ones((40, 1))])  # all rows are landmarks
+    target = np.where(np.array(labels)[:, None] == np.array(["x", "y"]), 1.0, -1.0)
+    out = z @ np.linalg.solve(z.T @ z / 20 + 1e-2 / 40 * np.eye(41), z.T @ target / 20)
+    power = np.exp(4 * (out - out.max(1, keepdims=True)))
+    names, scores = model.predict(texts)
+    assert names == [["x", "y"][k] for k in out.argmax(1)]
+    assert np.allclose(scores, power.max(1) / power.sum(1), atol=1e-4)
+
+
 def test_scores_against_brute_force(spark, sf_dir, texts):
     got = {r.doc_id: r for r in queries.op10_ppm_score(spark, sf_dir).collect()}
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)

@@ -82,3 +82,42 @@ def test_mixing_odd_rows(odd):
     assert len({r.sampled for r in rows.where("doc_id = 5").collect()}) == 1
     assert mixing.mix(odd.limit(0)).count() == 0
     assert mixing.mix(odd.drop("source", "lang").withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit(None).cast("string"))).count() == odd.count()
+
+
+def test_padding_is_the_same_on_any_cluster(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows = bm25_pack.pack(docs)
+        found.append(sorted(tuple(r) for r in rows.drop("ids").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    used = collections.Counter()
+    for r in found[0]:
+        used[r[5]] += r[2]
+    assert sum(1024 - n for n in used.values()) <= 0.01 * 1024 * len(used)
+
+
+def test_scores_are_bm25_of_the_queries():
+    r = np.random.default_rng(2)
+    ids = [r.integers(1, 60, r.integers(20, 80)).astype(np.uint16) for _ in range(30)]
+    idf, mean = r.random(64), 50.0
+    index = bm25_pack.Index(ids, idf, mean)
+
+    def weight(t, x):
+        tf = int((x == t).sum())
+        return idf[t] * tf * (bm25_pack.K1 + 1) / (tf + bm25_pack.K1 * (1 - bm25_pack.B + bm25_pack.B * len(x) / mean))
+
+    for i, x in enumerate(ids):
+        query = sorted(set(x.tolist()), key=lambda t: (-weight(t, x), t))[: bm25_pack.QUERY_TERMS]
+        assert np.allclose(index.scores(i), [sum(weight(t, y) for t in query) for y in ids])
+
+
+def test_raking_of_many_cells_is_that_of_few(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", "p", 100), ("a", "y", "q", 300), ("b", "x", "q", 500), ("b", "y", "p", 100)], "source string, lang string, topic string, tokens long")
+    targets = {m: mixing.tempered(cells, m, 0.5) for m in mixing.MARGINS}
+    few = sorted(tuple(r) for r in mixing.rake(cells, targets, 2).collect())
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    many = sorted(tuple(r) for r in mixing.rake(cells, targets, 2).collect())
+    assert [r[:4] for r in few] == [r[:4] for r in many] and np.allclose([r[4] for r in few], [r[4] for r in many])

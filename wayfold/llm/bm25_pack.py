@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from wayfold.llm._store import saved
 
 WINDOW = 1024
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 QUERY_TERMS = 16
 END = 0
 K1, B = 1.2, 0.75
@@ -135,7 +135,9 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
 
     Each id of each row lies in one piece. A null text is the closing id alone; a row with a null doc_id is packed like any
     other; repeated rows are separate documents; ties go to the lesser id. ``ids`` holds the piece's ids as
-    little-endian 16-bit values. sequence_id is the shard times 2**32 plus a count within it. Other columns are not read.
+    little-endian 16-bit values. sequence_id is the shard times 2**32 plus a count within it. Whole texts are packed, however
+    long; neighbours of equal score go by the order of the shard (doc_id, then a hash). Other columns are not read, and an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     tokens = saved(tokenized(docs))
@@ -143,7 +145,7 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
     seen = document_frequencies(tokens, encoder().max_token_value + 1)
     idf = np.log1p((n_docs - seen + 0.5) / (seen + 0.5))
     shared = spark.sparkContext.broadcast((idf, n_tokens / max(1, n_docs)))
-    shards = max(math.ceil(n_tokens / shard_tokens), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, math.ceil(n_tokens / shard_tokens))  # by tokens alone, so that the padding is the same on any cluster
 
     def pack_shard(group: pa.Table) -> pa.Table:
         idf, mean_length = shared.value

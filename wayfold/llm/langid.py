@@ -5,8 +5,9 @@ of two texts is the size of the intersection over the geometric mean of the size
 texts a language turns it into vectors, on which one-versus-rest kernel ridge regression is solved in closed form. A
 batch of documents is then scored by two matrix products.
 
-Fit: at most ``per_language`` labelled rows a language, those with the least hash of id and text; their presence vectors (not
-their texts) come to the driver, at most MAX_LANGUAGES * per_language * DIMENSIONS / 8 bytes.
+Fit: at most ``per_language`` labelled rows a language, those with the least hash of id and text, and fewer where there are
+so many languages that all would be more than ROWS; their presence vectors (not their texts) come to the driver, a row a
+language or ROWS * DIMENSIONS / 8 bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 8192
-MAX_LANGUAGES = 64
+ROWS = 25_600
 UNDETERMINED = "und"
 _BATCH = 256
 
@@ -82,9 +83,10 @@ def fit(docs: DataFrame, training: Column, per_language: int = 400) -> Model:
     """Learns from rows where ``training`` holds, lang is not null and the text has a letter."""
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))  # a row a language
+    per_language = max(1, min(per_language, ROWS // max(1, sizes.count())))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     # only rows that can be among the first: the share expected to hold eight times as many
-    near = rows.withColumn("place", place).join(F.broadcast(sizes), "lang").where(F.col("place") * F.col("size") <= 8 * per_language)
+    near = rows.withColumn("place", place).join(sizes, "lang").where(F.col("place") * F.col("size") <= 8 * per_language)
     order = Window.partitionBy("lang").orderBy("place", "doc_id", F.md5("text"))
     sample = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "n", "text")
 
@@ -95,8 +97,6 @@ def fit(docs: DataFrame, training: Column, per_language: int = 400) -> Model:
 
     rows = sample.mapInArrow(pack, "lang string, n int, bits binary").collect()
     rows = sorted(rows, key=lambda r: (r.lang, r.n))
-    if len({r.lang for r in rows}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
     x = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows], np.float32).reshape(-1, DIMENSIONS)
     return Model(x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)), [r.lang for r in rows])
 

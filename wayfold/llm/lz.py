@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from wayfold.llm._hashing import Slices
 
 BINS = 128
+TASK_CHARS = 32_000_000
+MOST_BLOCKS = 100_000  # whose bounds reach the driver; blocks are larger then, which takes no more memory
 _EMPTY = 0xFFFF
 _BITS = 7  # of the hash that choose one of the BINS
 
@@ -120,7 +122,7 @@ def next_in_order(docs: DataFrame, blocks: int) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints(docs: DataFrame, blocks: int = 1024) -> DataFrame:
+def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Fingerprint of each whole text and of its edited text, and their likeness.
 
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of the next document in
@@ -128,7 +130,9 @@ def fingerprints(docs: DataFrame, blocks: int = 1024) -> DataFrame:
     follow each other by a hash of their text, and a single row follows itself. Other columns are not read. Rows stream
     through a task in order: a task holds two documents, whatever the size of a block.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // TASK_CHARS)
+    blocks = blocks or max(1024, min(4 * n, MOST_BLOCKS))
     rows = next_in_order(docs, blocks).repartition(n, "block").sortWithinPartitions("block", "carried", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
