@@ -3,11 +3,12 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import contracts, fleet, ingest, mapping, payloads
+from wayfold.plans import fleet_queries
 from wayfold.sources import files
-from wayfold.sources.simulator import Generator, drive
 
 
 def frame(rows):
@@ -80,7 +81,23 @@ def test_latest_by_key(spark):
     assert [tuple(r) for r in files.insert_new(a, spark.createDataFrame([(2, 1, "x"), (3, 1, "y")], "k int, rev int, v string"), "k").collect()] == [(3, 1, "y")]
 
 
-def test_simulator_is_seeded_and_stays_in_range():
-    assert Generator(0).next() == 1013904223 / 2**32
-    a, b = list(drive(3, 300, 42)), list(drive(3, 300, 42))
-    assert a == b and all(0 <= s[3] <= 120 and 0 <= s[4] <= 100 for s in a)
+def test_failures_by_their_signs(spark):
+    df = spark.createDataFrame([(r, c) for r, c in fleet_queries.REASONS] + [(None, "SCHEMA_CHANGE"), ("", "SCHEMA_CHANGE")], "reason string, want string")
+    assert df.withColumn("got", fleet.categorize(F.col("reason"))).where("got != want").count() == 0
+
+
+def test_makers_of_vehicle_numbers(spark):
+    rows = spark.createDataFrame([(1, " 3nv00000000000000 "), (2, "3N200000000000000"), (3, "1V"), (4, None), (5, "ZZZ")], "row int, vin string")
+    got = {r.row: (r.maker, r.maker_id, r.confidence) for r in fleet_queries.vin_decoded(spark, rows).collect()}
+    assert got == {1: ("Maker C", "C", "HIGH"), 2: ("Maker C (uncertain)", "C", "LOW"), 3: ("Maker A (uncertain)", "A", "LOW"), 4: (None, None, "NONE"), 5: (None, None, "NONE")}
+
+
+def test_records_leave_out_what_is_tried_again(spark):
+    rows = [(1, 1, 1, "c", 0, "INFRA_ERROR:timeout", "UNRESOLVED", 0, None), (2, 1, 1, "c", 0, "TYPE_ERROR:soc", "UNRESOLVED", 0, 1)]
+    df = spark.createDataFrame(rows, "event_id long, vehicle_id long, fleet_id long, connection_id string, t_us long, verdict string, status string, attempt int, known_vehicle long")
+    assert [(r.event_id, r.category, r.reason) for r in fleet.quarantine_records(df).collect()] == [(2, "TYPE_ERROR", "soc")]
+
+
+def test_unknown_conversions_are_refused():
+    with pytest.raises(ValueError, match="unknown conversion"):
+        mapping.convert(F.lit(1.0), "FURLONGS")

@@ -34,11 +34,11 @@ def _f(path: str, type_: str = NUMBER, required: bool = False, low: float | None
     return Field(path, type_, required, low, high, place)
 
 
-#: The known formats of the three vendors, the newest version of each first.
+#: The known formats of the three vendors, the newest version of each first.
 CONTRACTS = (
     Contract("A", "2", (_f("data.speed_mph", required=True, low=0, high=250), _f("data.charge_fraction", required=True, low=0, high=1), _f("data.lat", required=True, low=-90, high=90, place=True), _f("data.lon", required=True, low=-180, high=180, place=True), _f("metadata.timestamp", TIME, True), _f("metadata.odo_miles", low=0), _f("metadata.status", STRING), _f("metadata.fault_code", STRING))),
     Contract("A", "1", (_f("speed_mph", required=True, low=0, high=250), _f("charge_fraction", required=True, low=0, high=1), _f("timestamp", TIME, True), _f("lat", low=-90, high=90, place=True), _f("lon", low=-180, high=180, place=True), _f("odo_miles", low=0), _f("status", STRING), _f("altitude"), _f("heading"), _f("harsh_brake", BOOLEAN), _f("fault_code", STRING))),
-    Contract("B", "1", (_f("state.velocity_kmh", required=True, low=0, high=350), _f("state.battery_pct", required=True, low=0, high=100), _f("state.gps_lat", required=True, low=-90, high=90, place=True), _f("state.gps_lon", required=True, low=-180, high=180, place=True), _f("time_measured", TIME, True), _f("state.distance_km", low=0), _f("ignition", BOOLEAN), _f("gps_heading"), _f("harsh_braking", BOOLEAN), _f("charging", BOOLEAN), _f("fault", STRING))),
+    Contract("B", "1", (_f("state.velocity_kmh", required=True, low=0, high=350), _f("state.battery_pct", required=True, low=0, high=100), _f("state.gps_lat", required=True, low=-90, high=90, place=True), _f("state.gps_lon", required=True, low=-180, high=180, place=True), _f("time_measured", TIME, True), _f("state.distance_km"), _f("state.ignition", BOOLEAN), _f("state.gps_heading"), _f("state.harsh_braking", BOOLEAN), _f("state.charging", BOOLEAN), _f("state.fault", STRING))),
     Contract("C", "1", (_f("vehicle_id", STRING, True), _f("timestamp", TIME, True), _f("speed", required=True, low=0, high=300), _f("soc", required=True, low=0, high=100), _f("odometer"), _f("lat", low=-90, high=90, place=True), _f("lon", low=-180, high=180, place=True), _f("status", STRING))),
 )
 

@@ -12,18 +12,19 @@ WEEK_US = 7 * 86400 * SECOND
 LOW_CHARGE = 20
 CLAIM_AGE_US = 600 * SECOND
 
-#: Signs of each failure in its reason, the first that fits decides; anything else is a change of schema.
+#: Signs of each failure in its reason, the first that fits decides; anything else is a change of schema.
 FAILURE_SIGNS = (
     ("INVALID_COORDINATES", ("coordinate", "latitude", "longitude")),
-    ("INVALID_TIME", ("timestamp", "event time")),
+    ("INVALID_TIME", ("timestamp", "invalid event time", "time format", "invalid time")),
+    ("INVALID_VALUE", ("invalid number", "below min", "above max", "invalid value")),
+    ("TYPE_ERROR", ("type error", "invalid type")),
+    ("IDEMPOTENCY_CONFLICT", ("conflict", "idempotency")),
+    ("MISSING_VEHICLE_MAPPING", ("vehicle not mapped", "vehicle id not found", "not mapped")),
+    ("EXPIRED_AUTH", ("expired", "unauthori", "auth")),
     ("UNSUPPORTED_OEM", ("unsupported oem",)),
-    ("EXPIRED_AUTH", ("expired", "401")),
-    ("MISSING_VEHICLE_MAPPING", ("vehicle mapping",)),
-    ("IDEMPOTENCY_CONFLICT", ("idempotency",)),
-    ("TYPE_ERROR", ("type mismatch", "not a number")),
-    ("INVALID_VALUE", ("above maximum", "below minimum", "out of range")),
-    ("INFRA_ERROR", ("timeout", "database")),
+    ("INFRA_ERROR", ("timeout", "connection refused", "unavailable")),
 )
+RETRYABLE = ("INFRA_ERROR",)
 
 
 def categorize(reason: Column) -> Column:
@@ -37,13 +38,15 @@ def categorize(reason: Column) -> Column:
 
 
 def quarantine_records(rejected: DataFrame) -> DataFrame:
-    """A record of each rejected event; ``rejected`` has its verdict as category:reason."""
-    status = F.when(F.col("event_id") % 5 == 0, RESOLVED).when(F.col("event_id") % 7 == 0, ACKNOWLEDGED).otherwise(UNRESOLVED)
+    """A record of each rejected event, but for those that are tried again by themselves.
+
+    ``rejected`` has its verdict as category:reason, and status, attempt and known_vehicle of its record.
+    """
     parts = F.split("verdict", ":")
-    return rejected.select(
-        "event_id", "vehicle_id", "fleet_id", "connection_id", "t_us", parts[0].alias("category"), parts[1].alias("reason"), status.alias("status"),
-        (F.col("event_id") % 3).cast("int").alias("attempt"), F.when(F.col("event_id") % 9 != 0, F.col("vehicle_id")).alias("known_vehicle"),
+    made = rejected.select(
+        "event_id", "vehicle_id", "fleet_id", "connection_id", "t_us", parts[0].alias("category"), parts[1].alias("reason"), "status", "attempt", "known_vehicle",
     )
+    return made.where(~F.col("category").isin(*RETRYABLE))
 
 
 def incidents(records: DataFrame) -> DataFrame:
@@ -87,22 +90,23 @@ def quality(vehicles: DataFrame, records: DataFrame) -> DataFrame:
     return joined.select("fleet_id", "vehicle_id", F.coalesce("reason", "freshness").alias("detail"))
 
 
-#: Makers by the first three characters of a vehicle number; neutral names.
-MAKERS = (("1FT", "Maker F"), ("5YJ", "Maker T"), ("WVW", "Maker V"))
-
-
 def vin_valid(vin: Column) -> Column:
     return (F.length(vin) == 17) & vin.rlike("^[A-HJ-NPR-Z0-9]{17}$")
 
 
-def vin_decode(rows: DataFrame) -> DataFrame:
-    """The maker by three characters, or uncertainly by two."""
-    start, near, exact = F.substring("vin", 1, 3), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for prefix, maker in reversed(MAKERS):
-        exact = F.when(start == prefix, maker).otherwise(exact)
-        near = F.when(F.substring("vin", 1, 2) == prefix[:2], maker).otherwise(near)
-    confidence = F.when(exact.isNotNull(), "HIGH").when(near.isNotNull(), "LOW").otherwise("NONE")
-    return rows.withColumns({"maker": F.coalesce(exact, F.concat(near, F.lit(" (uncertain)"))), "confidence": confidence})
+def vin_decode(rows: DataFrame, makers: DataFrame) -> DataFrame:
+    """The maker of each vehicle number by three characters, or uncertainly by the first entry with the same two.
+
+    ``makers`` has prefix, maker, maker_id and place, its order.
+    """
+    makers = makers.select(F.col("prefix").alias("start"), "maker", "maker_id", "place")
+    exact = makers.select("start", F.struct("maker", "maker_id").alias("exact"))
+    near = makers.groupBy(F.substring("start", 1, 2).alias("start_two")).agg(F.min_by(F.struct("maker", "maker_id"), "place").alias("near"))
+    found = rows.withColumn("clean", F.upper(F.trim("vin")))
+    found = found.join(exact, F.substring("clean", 1, 3) == F.col("start"), "left").join(near, F.substring("clean", 1, 2) == F.col("start_two"), "left")
+    confidence = F.when(F.col("exact").isNotNull(), "HIGH").when(F.col("near").isNotNull(), "LOW").otherwise("NONE")
+    maker = F.coalesce(F.col("exact.maker"), F.concat("near.maker", F.lit(" (uncertain)")))
+    return found.withColumns({"maker": maker, "maker_id": F.coalesce("exact.maker_id", "near.maker_id"), "confidence": confidence}).select(*rows.columns, "maker", "maker_id", "confidence")
 
 
 def csv_lines(lines: DataFrame) -> DataFrame:
@@ -111,11 +115,11 @@ def csv_lines(lines: DataFrame) -> DataFrame:
     return parsed.select(*[c for c in lines.columns if c != "line"], F.upper(F.trim("p.vin")).alias("vin"), F.trim("p.label").alias("label")).where(F.length("vin") > 0)
 
 
-def import_preview(rows: DataFrame, in_fleet: Column) -> DataFrame:
-    """What an import would do with each row; of equal numbers in a file the first counts."""
+def import_preview(decoded: DataFrame, in_fleet: Column) -> DataFrame:
+    """What an import would do with each row of vin_decode's result; of equal numbers in a file the first counts."""
     again = F.row_number().over(Window.partitionBy("vin").orderBy("row")) > 1
     status = F.when(~vin_valid(F.col("vin")), "invalid").when(in_fleet, "duplicate-in-fleet").when(again, "duplicate-in-file").when(F.col("confidence") != "HIGH", "uncertain").otherwise("valid")
-    return vin_decode(rows).withColumn("status", status)
+    return decoded.withColumn("status", status)
 
 
 def change_feed(changes: DataFrame) -> DataFrame:

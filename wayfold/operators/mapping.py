@@ -33,7 +33,7 @@ def _codes(d: dict[str, str]) -> tuple[tuple[str, str], ...]:
 RULES = {
     ("A", "1"): (Rule("speed_mph", "vehicle_speed", "MPH_TO_KMH"), Rule("charge_fraction", "battery_soc", "FRACTION_TO_PERCENT"), Rule("odo_miles", "odometer", "MILES_TO_KM"), Rule("lat", "latitude"), Rule("lon", "longitude"), Rule("harsh_brake", "harsh_brake", "ENUM_MAP", _codes(YES_NO)), Rule("fault_code", "fault_code"), Rule("timestamp", "event_time")),
     ("A", "2"): (Rule("data.speed_mph", "vehicle_speed", "MPH_TO_KMH"), Rule("data.charge_fraction", "battery_soc", "FRACTION_TO_PERCENT"), Rule("data.lat", "latitude"), Rule("data.lon", "longitude"), Rule("metadata.odo_miles", "odometer", "MILES_TO_KM"), Rule("metadata.timestamp", "event_time")),
-    ("B", "1"): (Rule("state.velocity_kmh", "vehicle_speed"), Rule("state.battery_pct", "battery_soc"), Rule("state.gps_lat", "latitude"), Rule("state.gps_lon", "longitude"), Rule("ignition", "ignition_status", "ENUM_MAP", _codes(ON_OFF))),
+    ("B", "1"): (Rule("state.velocity_kmh", "vehicle_speed"), Rule("state.battery_pct", "battery_soc"), Rule("state.gps_lat", "latitude"), Rule("state.gps_lon", "longitude"), Rule("state.ignition", "ignition_status", "ENUM_MAP", _codes(ON_OFF))),
     ("C", "1"): (Rule("speed", "vehicle_speed"), Rule("soc", "battery_soc"), Rule("lat", "latitude"), Rule("lon", "longitude"), Rule("status", "ignition_status", "ENUM_MAP", _codes(STATUS)), Rule("timestamp", "event_time")),
 }
 NUMERIC = ("vehicle_speed", "battery_soc", "odometer", "latitude", "longitude")
@@ -45,7 +45,11 @@ def convert(value: Column, conversion: str) -> Column:
     factor = {"MPH_TO_KMH": MILES, "MILES_TO_KM": MILES, "FRACTION_TO_PERCENT": 100.0, "METRES_TO_KM": 0.001, "MICRODEGREES_TO_DEGREES": 1e-6}
     if conversion == "CELSIUS_FROM_FAHRENHEIT":
         return (value - 32) * 5 / 9
-    return value * factor[conversion] if conversion in factor else value
+    if conversion == "DIRECT":
+        return value
+    if conversion not in factor:
+        raise ValueError(f"unknown conversion {conversion}")
+    return value * factor[conversion]
 
 
 def scaled(value: Column, scale: float, offset: float) -> Column:

@@ -16,12 +16,14 @@ from wayfold.sources.fixtures import TEL, telemetry
 def records(s: SparkSession, d: str) -> DataFrame:
     """A quarantine record of each payload that did not normalize; some are resolved later."""
     bad = normalized(s, d).where("verdict <> 'OK'").join(telemetry(s, d).select("event_id", "fleet_id", "connection_id"), "event_id")
-    return fl.quarantine_records(bad)
+    status = F.when(F.col("event_id") % 5 == 0, fl.RESOLVED).when(F.col("event_id") % 7 == 0, fl.ACKNOWLEDGED).otherwise(fl.UNRESOLVED)
+    known = F.when(F.col("event_id") % 9 != 0, F.col("vehicle_id"))
+    return fl.quarantine_records(bad.withColumns({"status": status, "attempt": (F.col("event_id") % 3).cast("int"), "known_vehicle": known}))
 
 
 REC = f"""{NORMAL}, rec AS MATERIALIZED (SELECT n.event_id, n.vehicle_id, t.fleet_id, t.connection_id, n.t_us, split_part(n.verdict, ':', 1) AS category, split_part(n.verdict, ':', 2) AS reason,
     CASE WHEN n.event_id % 5 = 0 THEN 'RESOLVED' WHEN n.event_id % 7 = 0 THEN 'ACKNOWLEDGED' ELSE 'UNRESOLVED' END AS status, (n.event_id % 3)::INT AS attempt, CASE WHEN n.event_id % 9 <> 0 THEN n.vehicle_id END AS known_vehicle
-    FROM norm n JOIN (SELECT event_id, fleet_id, connection_id FROM tel) t USING (event_id) WHERE n.verdict <> 'OK')"""
+    FROM norm n JOIN (SELECT event_id, fleet_id, connection_id FROM tel) t USING (event_id) WHERE n.verdict <> 'OK' AND split_part(n.verdict, ':', 1) <> 'INFRA_ERROR')"""
 INC = f"""{REC}, inc AS MATERIALIZED (SELECT fleet_id, connection_id, category, sha256(fleet_id || '|' || connection_id || '|' || category) AS incident_id, min(t_us) AS first_us, max(t_us) AS last_us,
     count(DISTINCT CASE WHEN status <> 'RESOLVED' THEN event_id END) AS open_events, count(DISTINCT CASE WHEN status <> 'RESOLVED' THEN known_vehicle END) AS open_vehicles,
     CASE WHEN bool_and(status = 'RESOLVED') THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS status FROM rec GROUP BY 1, 2, 3)"""
@@ -31,15 +33,23 @@ def incidents(s, d):
     return fl.incidents(records(s, d))
 
 
+#: Reasons as they are raised, each with its category, typed out.
+REASONS = (
+    ("Invalid coordinates: latitude 95 out of bounds", "INVALID_COORDINATES"), ("Missing longitude", "INVALID_COORDINATES"), ("Unparseable timestamp value", "INVALID_TIME"),
+    ("Invalid event time", "INVALID_TIME"), ("Bad time format", "INVALID_TIME"), ("Invalid number for speed", "INVALID_VALUE"), ("speed is above max 250", "INVALID_VALUE"), ("charge is below min 0", "INVALID_VALUE"),
+    ("Type error in field soc", "TYPE_ERROR"), ("Invalid type for soc", "TYPE_ERROR"), ("Same source event id, other payload: conflict", "IDEMPOTENCY_CONFLICT"), ("Vehicle not mapped", "MISSING_VEHICLE_MAPPING"),
+    ("Vehicle ID not found in the payload", "MISSING_VEHICLE_MAPPING"), ("Token expired", "EXPIRED_AUTH"), ("401 Unauthorised", "EXPIRED_AUTH"), ("Unsupported OEM", "UNSUPPORTED_OEM"), ("Upstream timeout", "INFRA_ERROR"),
+    ("ECONNREFUSED: connection refused", "INFRA_ERROR"), ("Service unavailable", "INFRA_ERROR"), ("Required field data.speed is missing", "SCHEMA_CHANGE"), ("Timestamp above max", "INVALID_TIME"), ("Vehicle not mapped after timeout", "MISSING_VEHICLE_MAPPING"),
+)
+
+
 def categorize(s, d):
-    reasons = ["coordinate out of bounds", "Timestamp could not be parsed", "unsupported OEM", "token expired (401)", "value type mismatch", "speed above maximum", "no vehicle mapping found", "database timeout", "duplicate idempotency conflict", "something else"]
-    picked = F.element_at(F.array(*[F.lit(r) for r in reasons]), (F.col("event_id") % len(reasons) + 1).cast("int"))
+    picked = F.element_at(F.array(*[F.lit(r) for r, _ in REASONS]), (F.col("event_id") % len(REASONS) + 1).cast("int"))
     return telemetry(s, d).select("event_id", fl.categorize(picked).alias("category"))
 
 
 def _categorize_sql() -> str:
-    names = ["INVALID_COORDINATES", "INVALID_TIME", "UNSUPPORTED_OEM", "EXPIRED_AUTH", "TYPE_ERROR", "INVALID_VALUE", "MISSING_VEHICLE_MAPPING", "INFRA_ERROR", "IDEMPOTENCY_CONFLICT", "SCHEMA_CHANGE"]
-    return f"WITH {TEL} SELECT event_id, CASE event_id % 10 {' '.join(f'WHEN {i} THEN {n!r}' for i, n in enumerate(names))} END AS category FROM tel"
+    return f"WITH {TEL} SELECT event_id, CASE event_id % {len(REASONS)} {' '.join(f'WHEN {i} THEN {c!r}' for i, (_, c) in enumerate(REASONS))} END AS category FROM tel"
 
 
 def quarantine_summary(s, d):
@@ -138,18 +148,27 @@ def vehicle_data_quality(s, d):
 # Imports: vehicle numbers derived from customers.
 
 
+#: Prefixes of the three vendors' vehicle numbers, in order; neutral names.
+MAKERS = (("1VX", "Maker A", "A"), ("1VL", "Maker A", "A"), ("2CR", "Maker B", "B"), ("2CS", "Maker B", "B"), ("3NA", "Maker C", "C"), ("3NV", "Maker C", "C"))
+
+
+def vin_decoded(s, rows):
+    makers = s.createDataFrame([(*m, i) for i, m in enumerate(MAKERS)], "prefix string, maker string, maker_id string, place int")
+    return fl.vin_decode(rows, makers)
+
+
 def vin_rows(s, d):
     c = s.read.parquet(f"{d}/customer.parquet")
-    prefix = F.element_at(F.array(*[F.lit(p) for p in ("WVW", "1FT", "5YJ", "ZZZ", "WV2", "IOQ")]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    prefix = F.element_at(F.array(*[F.lit(p) for p in ("3NA", "1VX", "2CR", "ZZZ", "3N2", "IOQ")]), (F.col("c_custkey") % 6 + 1).cast("int"))
     n = F.lpad((F.col("c_custkey") - F.when(F.col("c_custkey") % 10 == 0, 6).otherwise(0)).cast("string"), 14, "0")
     vin = F.when(F.col("c_custkey") % 13 == 0, F.concat(prefix, F.substring(n, 1, 9))).otherwise(F.concat(prefix, n))
     return c.select(F.col("c_custkey").alias("row"), vin.alias("vin"), F.col("c_name").alias("label"))
 
 
-VIN = """v0 AS (SELECT c_custkey AS row, CASE c_custkey % 6 WHEN 0 THEN 'WVW' WHEN 1 THEN '1FT' WHEN 2 THEN '5YJ' WHEN 3 THEN 'ZZZ' WHEN 4 THEN 'WV2' ELSE 'IOQ' END AS prefix,
+VIN = """v0 AS (SELECT c_custkey AS row, CASE c_custkey % 6 WHEN 0 THEN '3NA' WHEN 1 THEN '1VX' WHEN 2 THEN '2CR' WHEN 3 THEN 'ZZZ' WHEN 4 THEN '3N2' ELSE 'IOQ' END AS prefix,
     lpad((c_custkey - CASE WHEN c_custkey % 10 = 0 THEN 6 ELSE 0 END)::VARCHAR, 14, '0') AS n, c_name AS label FROM customer),
 vins AS MATERIALIZED (SELECT row, CASE WHEN row % 13 = 0 THEN prefix || substr(n, 1, 9) ELSE prefix || n END AS vin, label FROM v0),
-makers(prefix, maker) AS (VALUES ('1FT', 'Maker F'), ('5YJ', 'Maker T'), ('WVW', 'Maker V')),
+makers(prefix, maker) AS (VALUES ('1VX', 'Maker A'), ('1VL', 'Maker A'), ('2CR', 'Maker B'), ('2CS', 'Maker B'), ('3NA', 'Maker C'), ('3NV', 'Maker C')),
 dec AS MATERIALIZED (SELECT v.*, length(vin) = 17 AND regexp_full_match(vin, '[A-HJ-NPR-Z0-9]{17}') AS valid, e.maker AS exact, (SELECT arg_min(maker, m.prefix) FROM makers m WHERE substr(m.prefix, 1, 2) = substr(vin, 1, 2)) AS near FROM vins v LEFT JOIN makers e ON e.prefix = substr(vin, 1, 3)),
 dec2 AS MATERIALIZED (SELECT row, vin, label, valid, coalesce(exact, near || ' (uncertain)') AS maker, CASE WHEN exact IS NOT NULL THEN 'HIGH' WHEN near IS NOT NULL THEN 'LOW' ELSE 'NONE' END AS confidence FROM dec),
 prev AS MATERIALIZED (SELECT *, CASE WHEN NOT valid THEN 'invalid' WHEN row % 17 = 0 AND valid THEN 'duplicate-in-fleet' WHEN row_number() OVER (PARTITION BY vin ORDER BY row) > 1 THEN 'duplicate-in-file' WHEN confidence <> 'HIGH' THEN 'uncertain' ELSE 'valid' END AS status FROM dec2)"""
@@ -160,8 +179,7 @@ def known_vins(s, d):
 
 
 def import_preview(s, d):
-    rows = vin_rows(s, d)
-    return fl.import_preview(rows, F.col("row") % 17 == 0)
+    return fl.import_preview(vin_decoded(s, vin_rows(s, d)), F.col("row") % 17 == 0).drop("maker_id")
 
 
 def csv_import(s, d):
@@ -292,7 +310,7 @@ QUERIES = {
     "pipeline_health": pipeline_health,
     "vehicle_data_quality": vehicle_data_quality,
     "vin_validate": lambda s, d: vin_rows(s, d).select("row", fl.vin_valid(F.col("vin")).alias("valid")),
-    "vin_decode": lambda s, d: fl.vin_decode(vin_rows(s, d)).select("row", "maker", "confidence"),
+    "vin_decode": lambda s, d: vin_decoded(s, vin_rows(s, d)).select("row", "maker", "confidence"),
     "csv_import": csv_import,
     "import_preview": import_preview,
     "import_confirm": lambda s, d: import_preview(s, d).where("status IN ('valid', 'uncertain')").join(known_vins(s, d), "vin", "left_anti").select("row", "vin", "maker"),

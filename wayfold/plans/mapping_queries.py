@@ -30,7 +30,7 @@ def payloads(s: SparkSession, d: str) -> DataFrame:
     stamp = F.when(F.col("event_id") % 41 == 0, F.lit("")).otherwise(F.concat(F.lit(',"timestamp":"'), time, F.lit('"')))
     a1 = F.concat(F.lit('{"speed_mph":'), speed, F.lit(',"charge_fraction":'), share, F.lit(',"lat":'), lat, F.lit(',"lon":'), lon, F.lit(',"odo_miles":'), F.col("k").cast("string"), F.lit(',"harsh_brake":'), flag(F.col("harsh_brake")), stamp, F.lit("}"))
     a2 = F.concat(F.lit('{"data":{"speed_mph":'), speed, F.lit(',"charge_fraction":'), share, F.lit(',"lat":'), lat, F.lit(',"lon":'), lon, F.lit('},"metadata":{"timestamp":"'), time, F.lit('","odo_miles":'), F.col("k").cast("string"), F.lit("}}"))
-    b1 = F.concat(F.lit('{"state":{"velocity_kmh":'), speed, F.lit(',"battery_pct":'), soc, F.lit(',"gps_lat":'), lat, F.lit(',"gps_lon":'), lon, F.lit('},"time_measured":'), F.expr("cast(t_us div 1000 as string)"), F.lit(',"ignition":'), flag(F.col("ignition") == "ON"), F.lit("}"))
+    b1 = F.concat(F.lit('{"state":{"velocity_kmh":'), speed, F.lit(',"battery_pct":'), soc, F.lit(',"gps_lat":'), lat, F.lit(',"gps_lon":'), lon, F.lit(',"ignition":'), flag(F.col("ignition") == "ON"), F.lit('},"time_measured":'), F.expr("cast(t_us div 1000 as string)"), F.lit("}"))
     c1 = F.concat(F.lit('{"vehicle_id":"'), F.col("vehicle_id").cast("string"), F.lit('","speed":'), speed, F.lit(',"soc":'), soc, F.lit(',"lat":'), lat, F.lit(',"lon":'), lon, F.lit(',"status":"'), F.when(F.col("event_type") == "error", "PARKED").when(F.col("event_type") == "signup", "IDLE").otherwise("MOVING"), F.lit('"'), stamp, F.lit("}"))
     body = F.when((F.col("vendor") == "A") & (F.col("k") % 2 == 0), a1).when(F.col("vendor") == "A", a2).when(F.col("vendor") == "B", b1).otherwise(c1)
     return t.select("event_id", "vehicle_id", "vendor", "t_us", "k", body.alias("payload"))
@@ -45,7 +45,7 @@ q2 AS (SELECT *, CASE WHEN event_id % 41 = 0 THEN '' ELSE ',"timestamp":"' || tm
 pay AS MATERIALIZED (SELECT event_id, vehicle_id, vendor, t_us, k, CASE WHEN vendor = 'A' AND k % 2 = 0 THEN
       '{{"speed_mph":' || sp || ',"charge_fraction":' || fr || ',"lat":' || la || ',"lon":' || lo || ',"odo_miles":' || k || ',"harsh_brake":' || CASE WHEN harsh_brake THEN 'true' ELSE 'false' END || stamp || '}}'
     WHEN vendor = 'A' THEN '{{"data":{{"speed_mph":' || sp || ',"charge_fraction":' || fr || ',"lat":' || la || ',"lon":' || lo || '}},"metadata":{{"timestamp":"' || tm || '","odo_miles":' || k || '}}}}'
-    WHEN vendor = 'B' THEN '{{"state":{{"velocity_kmh":' || sp || ',"battery_pct":' || so || ',"gps_lat":' || la || ',"gps_lon":' || lo || '}},"time_measured":' || (t_us // 1000) || ',"ignition":' || CASE WHEN ignition = 'ON' THEN 'true' ELSE 'false' END || '}}'
+    WHEN vendor = 'B' THEN '{{"state":{{"velocity_kmh":' || sp || ',"battery_pct":' || so || ',"gps_lat":' || la || ',"gps_lon":' || lo || ',"ignition":' || CASE WHEN ignition = 'ON' THEN 'true' ELSE 'false' END || '}},"time_measured":' || (t_us // 1000) || '}}'
     ELSE '{{"vehicle_id":"' || vehicle_id || '","speed":' || sp || ',"soc":' || so || ',"lat":' || la || ',"lon":' || lo || ',"status":"' || CASE event_type WHEN 'error' THEN 'PARKED' WHEN 'signup' THEN 'IDLE' ELSE 'MOVING' END || '"' || stamp || '}}' END AS payload FROM q2)"""
 
 

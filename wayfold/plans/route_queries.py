@@ -1,4 +1,4 @@
-"""Queries over routes, payload helpers, snapshots and the simulator."""
+"""Queries over routes, payload helpers and snapshots."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from wayfold.plans.ingest_queries import FRESH, LAST, MOVE, freshness, last_seen
 from wayfold.plans.mapping_queries import payloads
 from wayfold.plans.trip_queries import TRIPS, events, of_trips, vehicle_stats, viable
 from wayfold.sources.fixtures import TEL, telemetry
-from wayfold.sources.simulator import SimulatorSource
 
 
 def route_simplified(s, d):
@@ -60,11 +59,6 @@ def trip_bundle(s, d):
     return t.join(route_geojson(s, d), "trip_id", "left").join(e, "trip_id", "left").join(g, "trip_id", "left").select("trip_id", "vehicle_id", "distance_km", "completeness", "features", "n_events", "has_gaps", F.sha2(F.concat_ws("|", "geojson", "events"), 256).alias("body_hash"))
 
 
-def simulate(s, d):
-    s.dataSource.register(SimulatorSource)
-    return s.read.format("telemetry_simulator").option("vehicles", 10).option("ticks", 200).option("seed", 42).load()
-
-
 QUERIES = {
     "route_simplified": route_simplified,
     "route_geojson": route_geojson,
@@ -74,7 +68,6 @@ QUERIES = {
     "inspect_fields": inspect_fields,
     "vehicle_snapshot": vehicle_snapshot,
     "trip_bundle": trip_bundle,
-    "simulate": simulate,
 }
 
 _LAST_ONLY = LAST.split(", last AS MATERIALIZED", 1)[1]
