@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfold.llm import html_blocks, langid, ppm, pstable, queries
@@ -193,3 +194,16 @@ def test_odd_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<article>x</article>"), (1, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r.page_id or 0, r.text) for r in html_blocks.extract(df).collect()) == [(0, "x"), (1, ""), (1, "")]
     assert html_blocks.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("large", [0, 1, 10])
+def test_the_sample_is_the_same_whichever_languages_are_thinned(spark, documents, monkeypatch, large):
+    monkeypatch.setattr(langid, "LARGE", large)
+    model = langid.fit(documents, F.lit(True), per_language=3)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    rows = documents.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
+    first = rows.withColumn("n", F.row_number().over(order)).where("n <= 3").orderBy("lang", "n").collect()
+    assert model.languages == sorted({r.lang for r in first})
+    bits = langid.presence([r.text for r in first]) > 0
+    assert ((model.landmarks > 0) == bits).all()

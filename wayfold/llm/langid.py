@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 DIMENSIONS = 8192
 ROWS = 25_600
+LARGE = 10_000
 UNDETERMINED = "und"
 _BATCH = 256
 
@@ -85,8 +86,12 @@ def fit(docs: DataFrame, training: Column, per_language: int = 400) -> Model:
     sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))  # a row a language
     per_language = max(1, min(per_language, ROWS // max(1, sizes.count())))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    # only rows that can be among the first: the share expected to hold eight times as many
-    near = rows.withColumn("place", place).join(sizes, "lang").where(F.col("place") * F.col("size") <= 8 * per_language)
+    # of a large language only rows that can be among the first: the share expected to hold eight times as many. The largest
+    # LARGE are thus thinned before any shuffle, by 16 bytes each; each of the others has at most 1 / LARGE of the rows
+    large = sizes.where(F.col("size") > 8 * per_language).groupBy(F.xxhash64("lang").alias("key")).agg(F.min("size").alias("size"))
+    large = large.orderBy(F.desc("size"), "key").limit(LARGE)
+    near = rows.withColumn("place", place).withColumn("key", F.xxhash64("lang")).join(F.broadcast(large), "key", "left")
+    near = near.where(F.col("size").isNull() | (F.col("place") * F.col("size") <= 8 * per_language))
     order = Window.partitionBy("lang").orderBy("place", "doc_id", F.md5("text"))
     sample = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "n", "text")
 
