@@ -71,8 +71,8 @@ def incident_list(s, d):
 
 
 def replay_selection(s, d):
-    """Distinct quarantined events of an incident's category within a fleet, oldest first."""
-    return records(s, d).where("category = 'INVALID_VALUE' AND fleet_id = 1 AND status <> 'RESOLVED'").select("event_id", "t_us").distinct()
+    """Distinct quarantined events that a replay of each fleet and category takes up."""
+    return records(s, d).where("status <> 'RESOLVED'").select("fleet_id", "category", "event_id", "t_us").distinct()
 
 
 def replay_items(s, d):
@@ -342,7 +342,7 @@ ORACLES = {
     "incident_list": f"WITH {INC} SELECT incident_id, category, last_us, open_events FROM inc WHERE status = 'UNRESOLVED' ORDER BY last_us DESC, incident_id LIMIT 20",
     "quarantine_summary": f"WITH {REC} SELECT fleet_id, count(*) AS records, count(*) FILTER (status = 'UNRESOLVED') AS unresolved, count(*) FILTER (status = 'ACKNOWLEDGED') AS acknowledged, count(*) FILTER (status = 'RESOLVED') AS resolved, sum(attempt)::BIGINT AS attempts FROM rec GROUP BY 1",
     "quarantine_fleet_counts": f"WITH {REC} SELECT fleet_id, count(DISTINCT event_id) AS events, count(DISTINCT known_vehicle) AS vehicles FROM rec WHERE status <> 'RESOLVED' GROUP BY 1",
-    "replay_selection": f"WITH {REC} SELECT DISTINCT event_id, t_us FROM rec WHERE category = 'INVALID_VALUE' AND fleet_id = 1 AND status <> 'RESOLVED'",
+    "replay_selection": f"WITH {REC} SELECT DISTINCT fleet_id, category, event_id, t_us FROM rec WHERE status <> 'RESOLVED'",
     "replay_progress": f"WITH {ITEMS} SELECT fleet_id, count(*) AS total, count(*) FILTER (item_status = 'DONE') AS done, count(*) FILTER (item_status = 'FAILED') AS failed, floor(100.0 * count(*) FILTER (item_status <> 'PENDING') / count(*) + 0.5)::BIGINT AS percent FROM items GROUP BY 1",
     "replay_outcome": f"WITH {ITEMS}, p AS (SELECT fleet_id, count(*) AS total, count(*) FILTER (item_status = 'DONE') AS done, count(*) FILTER (item_status = 'FAILED') AS failed FROM items GROUP BY 1) SELECT fleet_id, CASE WHEN total = 0 THEN 'NO_EVENTS' WHEN failed = 0 AND done > 0 THEN 'SUCCESS' WHEN done > 0 THEN 'PARTIAL_SUCCESS' ELSE 'FAILED' END AS outcome FROM p",
     "replay_run": f"WITH {REC} SELECT event_id, round(t.speed_kmh / 1.60934::DOUBLE, 6) AS speed_kmh, CASE WHEN t.speed_kmh / 1.60934::DOUBLE <= 300 THEN 'DONE' ELSE 'FAILED' END AS item_status FROM rec JOIN (SELECT event_id, speed_kmh FROM tel) t USING (event_id) WHERE category = 'INVALID_VALUE'",

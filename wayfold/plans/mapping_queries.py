@@ -133,7 +133,7 @@ REPAIR = [("vehicle_speed", ["speed_mph", "data.speed_mph", "speed"], "DIRECT"),
 
 
 def repair_evaluate(s, d):
-    return mp.repair_evaluate(payloads(s, d).where("vendor <> 'B'"), REPAIR).select("event_id", "vehicle_speed", "latitude", "longitude", "event_time", "errors")
+    return mp.repair_evaluate(payloads(s, d), REPAIR).select("event_id", "vehicle_speed", "latitude", "longitude", "event_time", "errors")
 
 
 def _repair_sql() -> str:
@@ -154,7 +154,7 @@ def _repair_sql() -> str:
             columns.append(f"{first(sources, strict)} AS raw_{signal}, {first(sources, lambda p: 'true')} AS has_{signal}")
             errors.append(f"CASE WHEN has_{signal} AND raw_{signal} IS NULL THEN '{signal}:not a number' WHEN raw_{signal} NOT BETWEEN {low} AND {high} THEN '{signal}:out of range' END")
     value = lambda s: f"CASE WHEN raw_{s} BETWEEN {mp.RANGES[s][0]} AND {mp.RANGES[s][1]} THEN raw_{s} END AS {s}"
-    return f"""WITH {PAY}, r0 AS (SELECT event_id, {', '.join(columns)} FROM pay WHERE vendor <> 'B'),
+    return f"""WITH {PAY}, r0 AS (SELECT event_id, {', '.join(columns)} FROM pay),
         r1 AS (SELECT *, {value('vehicle_speed')}, {value('latitude')}, {value('longitude')}, CASE WHEN {zoned} THEN raw_time END AS event_time FROM r0)
         SELECT event_id, vehicle_speed, latitude, longitude, event_time, concat_ws(';', {', '.join(errors)},
             CASE WHEN (latitude IS NULL) <> (longitude IS NULL) THEN 'gps:incomplete' END, CASE WHEN coalesce(vehicle_speed, latitude, longitude) IS NULL THEN 'measurement:missing' END) AS errors FROM r1"""
@@ -179,8 +179,8 @@ def mapping_tests(s, d):
 
 def repair_regression(s, d):
     """Rows where a repair's reading differs from the published mapping's."""
-    old = normalized(s, d).where("verdict = 'OK' AND vendor = 'C'").select("event_id", F.col("vehicle_speed").alias("old"))
-    new = mp.repair_evaluate(payloads(s, d).where("vendor = 'C'"), REPAIR).select("event_id", F.col("vehicle_speed").alias("new"), "errors")
+    old = normalized(s, d).where("verdict = 'OK'").select("event_id", F.col("vehicle_speed").alias("old"))
+    new = mp.repair_evaluate(payloads(s, d), REPAIR).select("event_id", F.col("vehicle_speed").alias("new"), "errors")
     return old.join(new, "event_id").select("event_id", "old", "new", F.when(F.abs(F.col("old") - F.col("new")) <= 0.05, "same").otherwise("changed").alias("outcome"))
 
 
@@ -232,7 +232,7 @@ ORACLES = {
     + ") t(vendor, version, position, path, type, required, low, high)",
     "contract_infer": "SELECT 'x1' AS format, path, type, true AS required, contains(path, 'lat') AS is_lat, contains(path, 'lon') AS is_lon, contains(path, 'time') AS is_time FROM (VALUES ('gps_lat', 'number'), ('gps_lon', 'number'), ('read_time', 'string'), ('level', 'number')) t(path, type)",
     "observed_structure": f"WITH {PAY} SELECT event_id, substr('[\"' || array_to_string(json_keys(payload), '\",\"') || '\"]', 1, 120) AS keys FROM pay",
-    "repair_regression": f"WITH {_REPAIRED}, old AS MATERIALIZED (WITH {NORMAL} SELECT event_id, vehicle_speed FROM norm WHERE verdict = 'OK' AND vendor = 'C') SELECT event_id, old.vehicle_speed AS old, rep.vehicle_speed AS new, CASE WHEN abs(old.vehicle_speed - rep.vehicle_speed) <= 0.05 THEN 'same' ELSE 'changed' END AS outcome FROM old JOIN rep USING (event_id)",
+    "repair_regression": f"WITH {_REPAIRED}, old AS MATERIALIZED (WITH {NORMAL} SELECT event_id, vehicle_speed FROM norm WHERE verdict = 'OK') SELECT event_id, old.vehicle_speed AS old, rep.vehicle_speed AS new, CASE WHEN abs(old.vehicle_speed - rep.vehicle_speed) <= 0.05 THEN 'same' ELSE 'changed' END AS outcome FROM old JOIN rep USING (event_id)",
     "repair_select": f"WITH {_REPAIRED}, own AS MATERIALIZED (WITH {DETECTED} SELECT event_id, verdict FROM det) SELECT event_id, CASE WHEN verdict = 'OK' THEN 'contract' WHEN errors = '' THEN 'repair' ELSE 'quarantine' END AS path FROM own LEFT JOIN rep USING (event_id)",
     "nested_path": f"WITH {PAY} SELECT event_id, json_extract_string(payload, '$.data.speed_mph') AS nested, json_extract_string(payload, '$.speed_mph') AS flat, '1' AS dotted, '5' AS indexed FROM pay",
     "contract_validate": f"WITH {DETECTED} SELECT event_id, verdict FROM det",

@@ -29,7 +29,7 @@ def route_sanitize(s, d):
 
 
 def webhook_verify(s, d):
-    p = payloads(s, d).where("vendor = 'B'").select("event_id", "payload")
+    p = payloads(s, d).select("event_id", "payload")
     good = F.pandas_udf(lambda b: b.map(lambda x: "sha256=" + pl.sign(x, "key")), "string")
     signed = p.withColumn("signature", F.when(F.col("event_id") % 5 == 0, "0" * 64).otherwise(good("payload")))
     return signed.select("event_id", pl.signature_valid(F.col("payload"), F.col("signature"), F.lit("key")).alias("valid"))
@@ -76,6 +76,6 @@ ORACLES = {
         SELECT vehicle_id, fleet_id, concat_ws(',', CASE WHEN freshness IN ('STALE', 'OFFLINE') THEN 'DATA_QUALITY' END, CASE WHEN freshness = 'AWAITING_DATA' THEN 'AWAITING_DATA' END, CASE WHEN fault_code IS NOT NULL THEN 'FAULT_REPORTED' END) AS tags,
             movement, freshness, battery_soc, coalesce(trips, 0) AS trips, coalesce(distance_km, 0.0) AS distance_km FROM v LEFT JOIN st USING (vehicle_id)""",
     "route_sanitize": f"WITH {TEL}, b AS (SELECT vehicle_id, event_id, event_id % 53 = 0 OR event_id % 61 = 0 AS bad FROM tel), n AS (SELECT vehicle_id, event_id, bad, sum(bad::INT) OVER (PARTITION BY vehicle_id ORDER BY event_id)::BIGINT AS line FROM b) SELECT vehicle_id, event_id, line FROM n WHERE NOT bad",
-    "webhook_verify": f"WITH {TEL} SELECT event_id, event_id % 5 <> 0 AS valid FROM tel WHERE vendor = 'B'",
+    "webhook_verify": f"WITH {TEL} SELECT event_id, event_id % 5 <> 0 AS valid FROM tel",
     "redact_payload": f"""WITH {TEL} SELECT event_id, '{{"auth":{{"Token":"[REDACTED]"}},"k":' || k || '}}' AS redacted FROM tel""",
 }
