@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bm25_pack, bwt_dedup, cover_dedup, divergence, html_blocks, langid, lz, mixing, omh, pcy, ppm, pstable
+from wayfold.llm import bm25_pack, bwt_dedup, cover_dedup, divergence, html_blocks, jaccard_join, langid, lz, mixing, omh, pcy, ppm, pstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), remainder(5) == 1)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op12_pcy_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcy.collocations(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_blocks": op9_html_blocks,
     "op10_ppm_score": op10_ppm_score,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_pcy_collocations": op12_pcy_collocations,
     "op13_source_divergence": op13_source_divergence,
 }
