@@ -27,7 +27,7 @@ def test_windows_agree_with_the_fold_where_each_hash_has_one_id(spark):
     r = random.Random(3)
     rows = [(i, f"c{r.randint(0, 3)}", str(r.randint(0, 30))) for i in range(400)]
     df = spark.createDataFrame([(i, c, s, f"{c}{s}{r.randint(0, 2)}") for i, c, s in rows], "event_key long, connection_id string, source_event_id string, payload_hash string")
-    a, b = ({x.event_key: (x.verdict, x.owner) for x in f(df).collect()} for f in (ingest.windowed, ingest.fold))
+    a, b = ({x.event_key: (x.verdict, x.owner) for x in f(df).collect()} for f in (ingest.deduplicate, ingest.fold))
     assert a == b
 
 
@@ -36,14 +36,38 @@ def test_deduplicate_is_exact_for_shared_hashes(spark):
     assert [x.verdict for x in ingest.deduplicate(df).orderBy("event_key").collect()] == ["NEW", "DUPLICATE", "NEW"]
 
 
+def test_deduplicate_equals_the_fold_on_random_events(spark):
+    for seed in range(4):
+        r = random.Random(seed)
+        rows = [(i, f"c{r.randint(0, 2)}", r.choice([None, *"abcdef"]), r.choice("uvwxyz")) for i in range(300)]
+        df = spark.createDataFrame(rows, "event_key long, connection_id string, source_event_id string, payload_hash string")
+        a, b = ({x.event_key: (x.verdict, x.owner) for x in f(df).collect()} for f in (ingest.deduplicate, ingest.fold))
+        assert a == b
+    assert ingest.deduplicate(df.limit(0)).count() == 0
+
+
+def test_a_source_that_begins_anew(spark):
+    rows = [(1, None, 0, None, 5), (2, "9", 0, None, 5), (3, "9", 0, None, 9), (4, "x", 0, None, 5), (5, "9", 2, 12, 5), (6, "9", 0, None, None), (7, "", 0, None, 1)]
+    df = spark.createDataFrame(rows, "id int, cursor string, events int, last_sequence long, latest_sequence long")
+    got = {r.id: (r.action, r.next_cursor) for r in ingest.rewound(df).collect()}
+    assert got == {1: ("WAIT", None), 2: ("REWIND", "5"), 3: ("WAIT", "9"), 4: ("REWIND", "5"), 5: ("ADVANCE", "12"), 6: ("WAIT", "9"), 7: ("WAIT", "")}
+
+
 def test_contract_verdicts(spark):
     cases = [
         ("A", '{"speed_mph":10,"charge_fraction":0.5,"timestamp":"2026-01-01T00:00:00Z"}', "1", "OK"),
         ("A", '{"speed_mph":"x","charge_fraction":0.5,"timestamp":"2026-01-01T00:00:00Z"}', "1", "INVALID_VALUE:speed_mph"),
         ("A", '{"speed_mph":10,"charge_fraction":0.5,"timestamp":"soon"}', "1", "INVALID_TIME:timestamp"),
         ("A", '{"charge_fraction":0.5}', None, "SCHEMA_CHANGE:"),
-        ("A", "not json", None, "TYPE_ERROR:payload"),
+        ("A", "not json", None, "SCHEMA_CHANGE:payload"),
+        ("A", "[1]", None, "SCHEMA_CHANGE:"),
         ("Z", "{}", None, "UNKNOWN_FORMAT:"),
+        ("A", '{"speed_mph":10,"charge_fraction":0.5,"timestamp":1767225600000}', "1", "TYPE_ERROR:timestamp"),
+        ("A", '{"data.speed_mph":10,"data":{"speed_mph":"x","charge_fraction":0.5,"lat":1,"lon":1},"metadata":{"timestamp":"2026-01-01T00:00:00Z"}}', "2", "OK"),
+        ("A", '{"data.speed_mph":null,"data":{"speed_mph":1,"charge_fraction":0.5,"lat":1,"lon":1},"metadata":{"timestamp":"2026-01-01T00:00:00Z"}}', None, "SCHEMA_CHANGE:"),
+        ("B", '{"velocity_kmh":1,"battery_pct":5,"gps_lat":5,"gps_lon":1,"time_measured":5}', "1", "OK"),
+        ("B", '{"state":{"velocity_kmh":null,"battery_pct":5,"gps_lat":5,"gps_lon":1},"velocity_kmh":2,"time_measured":0}', "1", "INVALID_TIME:time_measured"),
+        ("C", '{"vehicle_id":"7","timestamp":"2026-01-01T00:00:00Z","speed":10,"soc":50,"odometer":-1}', "1", "INVALID_VALUE:odometer"),
         ("B", '{"state":{"velocity_kmh":1,"battery_pct":5,"gps_lat":95,"gps_lon":1},"time_measured":5}', "1", "INVALID_COORDINATES:state.gps_lat"),
     ]
     rows = contracts.detect(spark.createDataFrame([(i, v, p) for i, (v, p, _, _) in enumerate(cases)], "i int, vendor string, payload string")).orderBy("i").collect()
@@ -56,6 +80,18 @@ def test_normalized_signals(spark):
     assert (r.vehicle_speed, r.battery_soc, r.ignition_status, r.latitude) == (10.0, 50.0, "OFF", None)
 
 
+def test_all_rules_of_a_payload(spark):
+    body = '{"speed_mph":100,"charge_fraction":0.5,"odo_miles":10,"status":"stopped","lat":1,"lon":2,"altitude":5,"heading":9,"harsh_brake":true,"fault_code":"P1","timestamp":"2026-01-01T00:00:00Z"}'
+    loose = '{"velocity_kmh":1,"battery_pct":5,"gps_lat":5,"gps_lon":1,"gps_heading":400,"charging":false,"time_measured":5}'
+    rows = [("A", body), ("A", body.replace('"altitude":5', '"altitude":9001')), ("A", body.replace("stopped", "towed")), ("B", loose), ("B", loose.replace("400", "40"))]
+    got = mapping.normalize(contracts.detect(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, vendor string, payload string"))).orderBy("i").collect()
+    assert [r.verdict for r in got] == ["OK", "INVALID_VALUE:altitude", "OK", "INVALID_VALUE:heading", "OK"]
+    a, b = got[0], got[4]
+    assert (round(a.vehicle_speed, 3), a.battery_soc, round(a.odometer, 4), a.ignition_status, a.altitude, a.heading, a.harsh_brake, a.fault_code, a.event_time) == (160.934, 50.0, 16.0934, "OFF", 5.0, 9.0, "YES", "P1", "2026-01-01T00:00:00Z")
+    assert (b.vehicle_speed, b.heading, b.charging_state, b.event_time) == (1.0, 40.0, "NOT_CHARGING", None)
+    assert got[2].ignition_status == "towed" and sum(len(r) for r in mapping.RULES.values()) == 36
+
+
 def test_failure_categories(spark):
     rows = spark.createDataFrame([("Latitude out of bounds",), ("bad timestamp",), ("whatever",)], "reason string").select(fleet.categorize(F.col("reason")).alias("c")).collect()
     assert [r.c for r in rows] == ["INVALID_COORDINATES", "INVALID_TIME", "SCHEMA_CHANGE"]

@@ -48,3 +48,22 @@ def test_changes_coalesce_and_wait_for_quiet(spark):
     assert got == {("trip", "5"): (2, 10, 30, True), ("vehicle", "1"): (3, 10, 30, True), ("vehicle", "2"): (2, 1, 95, True)}
     assert sl.refresh_due(queue, F.lit(100), 60, 200).where("NOT due").count() == 1
     assert sl.refresh_queue(changes.limit(0)).count() == 0
+    first = sl.refresh_queue(changes.where("changed_us = 95"))
+    assert [(r.generation, r.due) for r in sl.refresh_due(first, F.lit(95), 60, 200).collect()] == [(1, True)]
+
+
+def test_a_quarantined_reading_refreshes_the_trips_of_its_vehicle(spark):
+    changes = spark.createDataFrame([("quarantine", 1, 1, 10), ("quarantine", 1, 1, 12), ("trip", 5, 1, 11), ("quarantine", 2, None, 1)], "kind string, entity_id long, vehicle_id long, changed_us long")
+    trips = spark.createDataFrame([(5, 1), (6, 1), (7, 2)], "trip_id long, vehicle_id long")
+    got = {(r.kind, r.entity_id): (r.generation, r.first_us, r.last_us) for r in sl.refresh_queue(changes, trips).collect()}
+    assert got == {("vehicle", "1"): (3, 10, 12), ("trip", "5"): (3, 10, 12), ("trip", "6"): (2, 10, 12)}
+
+
+def test_a_pass_keeps_room_for_both_kinds(spark):
+    rows = [("vehicle", str(i), 1, i, i, 0, None) for i in range(5)] + [("trip", "a", 1, 0, 0, 2, None), ("trip", "b", 2, 1, 99, 0, None), ("trip", "c", 1, 2, 2, 0, 101)]
+    queue = spark.createDataFrame(rows, "kind string, entity_id string, generation long, first_us long, last_us long, attempts int, retry_us long")
+    pick = lambda n: [r.entity_id for r in sl.refresh_pick(queue, F.lit(100), n, 10, 200).collect()]
+    assert pick(4) == ["0", "1", "a"] and pick(5) == ["0", "1", "a"] and pick(1) == ["0"]  # b is not quiet yet, c waits for its retry
+    results = spark.createDataFrame([("vehicle", "0", 1, False), ("vehicle", "1", 0, False), ("trip", "a", 1, True)], "kind string, entity_id string, generation long, failed boolean")
+    left = {(r.kind, r.entity_id): (r.attempts, r.retry_us) for r in sl.refresh_acknowledge(queue, results, F.lit(100)).collect()}
+    assert ("vehicle", "0") not in left and left["vehicle", "1"] == (0, None) and left["trip", "a"] == (3, 100 + 8_000_000)

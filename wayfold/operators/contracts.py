@@ -10,7 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER, STRING, BOOLEAN, TIME = "number", "string", "boolean", "time"
+NUMBER, STRING, BOOLEAN = "number", "string", "boolean"
+#: Vendor B's payloads may leave this part of a path out.
+LOOSE_VENDOR, LOOSE_PREFIX = "B", "state."
 
 
 @dataclass(frozen=True)
@@ -21,6 +23,7 @@ class Field:
     low: float | None = None
     high: float | None = None
     place: bool = False
+    time: bool = False
 
 
 @dataclass(frozen=True)
@@ -30,16 +33,16 @@ class Contract:
     fields: tuple[Field, ...]
 
 
-def _f(path: str, type_: str = NUMBER, required: bool = False, low: float | None = None, high: float | None = None, place: bool = False) -> Field:
-    return Field(path, type_, required, low, high, place)
+def _f(path: str, type_: str = NUMBER, required: bool = False, low: float | None = None, high: float | None = None, place: bool = False, time: bool = False) -> Field:
+    return Field(path, type_, required, low, high, place, time)
 
 
 #: The known formats of the three vendors, the newest version of each first.
 CONTRACTS = (
-    Contract("A", "2", (_f("data.speed_mph", required=True, low=0, high=250), _f("data.charge_fraction", required=True, low=0, high=1), _f("data.lat", required=True, low=-90, high=90, place=True), _f("data.lon", required=True, low=-180, high=180, place=True), _f("metadata.timestamp", TIME, True), _f("metadata.odo_miles", low=0), _f("metadata.status", STRING), _f("metadata.fault_code", STRING))),
-    Contract("A", "1", (_f("speed_mph", required=True, low=0, high=250), _f("charge_fraction", required=True, low=0, high=1), _f("timestamp", TIME, True), _f("lat", low=-90, high=90, place=True), _f("lon", low=-180, high=180, place=True), _f("odo_miles", low=0), _f("status", STRING), _f("altitude"), _f("heading"), _f("harsh_brake", BOOLEAN), _f("fault_code", STRING))),
-    Contract("B", "1", (_f("state.velocity_kmh", required=True, low=0, high=350), _f("state.battery_pct", required=True, low=0, high=100), _f("state.gps_lat", required=True, low=-90, high=90, place=True), _f("state.gps_lon", required=True, low=-180, high=180, place=True), _f("time_measured", TIME, True), _f("state.distance_km"), _f("state.ignition", BOOLEAN), _f("state.gps_heading"), _f("state.harsh_braking", BOOLEAN), _f("state.charging", BOOLEAN), _f("state.fault", STRING))),
-    Contract("C", "1", (_f("vehicle_id", STRING, True), _f("timestamp", TIME, True), _f("speed", required=True, low=0, high=300), _f("soc", required=True, low=0, high=100), _f("odometer"), _f("lat", low=-90, high=90, place=True), _f("lon", low=-180, high=180, place=True), _f("status", STRING))),
+    Contract("A", "2", (_f("data.speed_mph", required=True, low=0, high=250), _f("data.charge_fraction", required=True, low=0, high=1), _f("data.lat", required=True, low=-90, high=90, place=True), _f("data.lon", required=True, low=-180, high=180, place=True), _f("metadata.timestamp", STRING, True, time=True), _f("metadata.odo_miles", low=0), _f("metadata.status", STRING), _f("metadata.fault_code", STRING))),
+    Contract("A", "1", (_f("speed_mph", required=True, low=0, high=250), _f("charge_fraction", required=True, low=0, high=1), _f("timestamp", STRING, True, time=True), _f("lat", low=-90, high=90, place=True), _f("lon", low=-180, high=180, place=True), _f("odo_miles", low=0), _f("status", STRING), _f("altitude"), _f("heading"), _f("harsh_brake", BOOLEAN), _f("fault_code", STRING))),
+    Contract("B", "1", (_f("state.velocity_kmh", required=True, low=0, high=350), _f("state.battery_pct", required=True, low=0, high=100), _f("state.gps_lat", required=True, low=-90, high=90, place=True), _f("state.gps_lon", required=True, low=-180, high=180, place=True), _f("time_measured", required=True, time=True), _f("state.distance_km"), _f("state.ignition", BOOLEAN), _f("state.gps_heading"), _f("state.harsh_braking", BOOLEAN), _f("state.charging", BOOLEAN), _f("state.fault", STRING))),
+    Contract("C", "1", (_f("vehicle_id", STRING, True), _f("timestamp", STRING, True, time=True), _f("speed", required=True, low=0, high=300), _f("soc", required=True, low=0, high=100), _f("odometer", low=0), _f("lat", low=-90, high=90, place=True), _f("lon", low=-180, high=180, place=True), _f("status", STRING))),
 )
 
 
@@ -79,48 +82,81 @@ def once(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFr
     return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def read_out(rows: DataFrame, paths: dict[str, Column]) -> DataFrame:
-    """Adds each path's type, number and text once, as columns that the checks then share.
+def with_values(rows: DataFrame, paths: list[str], loose: Column | None = None) -> DataFrame:
+    """Adds value_0, value_1, ... as variants: the values at these paths of the column ``parsed``.
 
-    ``paths``: each path and for which rows it is read at all. The lookups stand in a projection of their own, so that
-    each is done once, and the type names in the step after it.
+    A literal dotted key wins, even if its value is null; otherwise the dots are steps, and numbers are places in arrays.
+    For rows that are ``loose`` a path that leads to nothing or null is tried again without its first part "state.".
+    Each object on the way is taken apart once, so the work follows the number of objects, not of paths.
     """
-    parsed, looked_up, named = F.col("parsed"), {}, {}
-    for i, (path, wanted) in enumerate(paths.items()):
-        at = json_path(path)
-        looked_up |= {
-            f"schema_{i}": F.when(wanted, F.schema_of_variant(F.try_variant_get(parsed, at, "variant"))),
-            f"number_{i}": F.when(wanted, F.try_variant_get(parsed, at, "double")), f"text_{i}": F.when(wanted, F.try_variant_get(parsed, at, "string")),
-        }
+    tries = {p: [p, *([p.removeprefix(LOOSE_PREFIX)] if loose is not None and p.startswith(LOOSE_PREFIX) else [])] for p in paths}
+    members: dict[tuple[str, ...], dict[str, None]] = {(): {}}
+    for path in dict.fromkeys(q for t in tries.values() for q in t):
+        members[()][path] = None
+        steps = tuple(path.split("."))
+        for n, step in enumerate(steps):
+            members.setdefault(steps[:n], {})[step] = None
+    names = {at: f"object_{i}" for i, at in enumerate(sorted(members, key=len))}
+
+    def member(at: tuple[str, ...]) -> Column:
+        inside = F.col(f"{names[at[:-1]]}.`{at[-1]}`")
+        return F.coalesce(inside, F.try_variant_get(member(at[:-1]), f"$[{at[-1]}]", "variant")) if at[-1].isdigit() and len(at) > 1 else inside
+
+    def found(path: str) -> Column:
+        literal, steps = F.col(f"{names[()]}.`{path}`"), tuple(path.split("."))
+        return F.coalesce(literal, member(steps)) if len(steps) > 1 else literal
+
+    taken = rows
+    for at, name in names.items():
+        shape = ", ".join(f"`{m}`: variant" for m in members[at])
+        taken = taken.withColumn(name, F.try_variant_get(member(at) if at else F.col("parsed"), "$", f"struct<{shape}>"))
+    values = {}
+    for i, path in enumerate(paths):
+        values[f"value_{i}"] = value = found(tries[path][0])
+        if len(tries[path]) > 1:
+            values[f"value_{i}"] = F.when(loose & (value.isNull() | F.is_variant_null(value)), found(tries[path][1])).otherwise(value)
+    return taken.withColumns(values).drop(*names.values())
+
+
+def loose_vendor() -> Column:
+    return F.col("vendor") == LOOSE_VENDOR
+
+
+def read_out(rows: DataFrame, paths: dict[str, Column], loose: Column | None = None) -> DataFrame:
+    """Adds each path's type, number and text once, as columns that the checks then share; ``parsed`` goes.
+
+    ``paths``: each path and for which rows it is read at all.
+    """
+    looked_up, named = {}, {}
+    for i, wanted in enumerate(paths.values()):
+        value = F.col(f"value_{i}")
+        looked_up |= {f"schema_{i}": F.when(wanted, F.schema_of_variant(value)), f"number_{i}": F.when(wanted, F.try_variant_get(value, "$", "double")), f"text_{i}": F.when(wanted, F.try_variant_get(value, "$", "string"))}
         named |= {f"kind_{i}": type_name(F.col(f"schema_{i}")), f"number_{i}": F.col(f"number_{i}"), f"text_{i}": F.col(f"text_{i}")}
     keep = [c for c in rows.columns if c != "parsed"]
-    return once(rows.withColumns(looked_up), keep, named | {"unread": parsed.isNull()})
+    return once(with_values(rows, list(paths), loose).withColumns(looked_up), keep, named | {"unread": F.col("parsed").isNull()})
 
 
 def field_error(f: Field, i: int) -> Column:
-    """The category of an error in field i of read_out(), null if it is sound or absent."""
+    """The category of the first error in field i of read_out(), null if it is sound or absent."""
     kind, value, text = F.col(f"kind_{i}"), F.col(f"number_{i}"), F.col(f"text_{i}")
-    if f.type == TIME:
-        sound = F.when(kind == NUMBER, value > 0).when(kind == STRING, (F.length(text) > 5) & text.try_cast("timestamp").isNotNull()).otherwise(False)
-        return F.when(kind.isNotNull() & ~sound, "INVALID_TIME")
-    if f.type != NUMBER:
-        return F.when(kind.isNotNull() & (kind != f.type), "TYPE_ERROR")
-    outside = F.lit(False)
-    if f.low is not None:
-        outside = outside | (value < f.low)
-    if f.high is not None:
-        outside = outside | (value > f.high)
-    return F.when(kind.isNull(), F.lit(None).cast("string")).when(kind != NUMBER, "INVALID_VALUE").when(outside, "INVALID_COORDINATES" if f.place else "INVALID_VALUE")
+    found = F.when(kind != f.type, "INVALID_VALUE" if f.type == NUMBER else "TYPE_ERROR")
+    for beyond in ([value < f.low] if f.low is not None else []) + ([value > f.high] if f.high is not None else []):
+        found = found.when(beyond, "INVALID_COORDINATES" if f.place else "INVALID_VALUE")
+    if f.time:
+        sound = value > 0 if f.type == NUMBER else (F.length(text) > 5) & text.try_cast("timestamp").isNotNull()
+        found = found.when(~sound, "INVALID_TIME")
+    return F.when(kind.isNotNull(), found)
 
 
 def detect(payloads: DataFrame, contracts: tuple[Contract, ...] = CONTRACTS) -> DataFrame:
     """Adds the version that decides a payload and its verdict; ``payloads`` has vendor and payload.
 
     The first contract of the vendor whose required fields are all there decides, by the first error of its fields.
+    A payload that is no JSON fits no contract.
     """
     paths = list(dict.fromkeys(f.path for c in contracts for f in c.fields))
     readers = {p: F.col("vendor").isin(*{c.vendor for c in contracts if any(f.path == p for f in c.fields)}) for p in paths}
-    rows = read_out(payloads.withColumn("parsed", F.try_parse_json("payload")), readers)
+    rows = read_out(payloads.withColumn("parsed", F.try_parse_json("payload")), readers, loose_vendor())
     version, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for c in reversed(contracts):
         here = F.col("vendor") == c.vendor
@@ -131,14 +167,14 @@ def detect(payloads: DataFrame, contracts: tuple[Contract, ...] = CONTRACTS) ->
         version = F.when(here, c.version).otherwise(version)
         verdict = F.when(here, F.coalesce(*errors, F.lit("OK"))).otherwise(verdict)
     known = F.col("vendor").isin(*{c.vendor for c in contracts})
-    missing = F.when(F.col("unread"), "TYPE_ERROR:payload").when(~known, "UNKNOWN_FORMAT:").otherwise("SCHEMA_CHANGE:")
+    missing = F.when(~known, "UNKNOWN_FORMAT:").when(F.col("unread"), "SCHEMA_CHANGE:payload").otherwise("SCHEMA_CHANGE:")
     return once(rows, payloads.columns, {"version": version, "verdict": F.coalesce(verdict, missing)})
 
 
 def catalogue(spark) -> DataFrame:
     """The contracts as rows, a field each."""
-    rows = [(c.vendor, c.version, i, f.path, f.type, f.required, None if f.low is None else float(f.low), None if f.high is None else float(f.high)) for c in CONTRACTS for i, f in enumerate(c.fields)]
-    return spark.createDataFrame(rows, "vendor string, version string, position int, path string, type string, required boolean, low double, high double")
+    rows = [(c.vendor, c.version, i, f.path, f.type, f.required, f.time, f.place, None if f.low is None else float(f.low), None if f.high is None else float(f.high)) for c in CONTRACTS for i, f in enumerate(c.fields)]
+    return spark.createDataFrame(rows, "vendor string, version string, position int, path string, type string, required boolean, is_time boolean, is_place boolean, low double, high double")
 
 
 def infer(samples: DataFrame) -> DataFrame:

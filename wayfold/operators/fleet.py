@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.scalars import SECOND, half_up
+from wayfold.operators.prefix import running
 
 UNRESOLVED, ACKNOWLEDGED, RESOLVED = "UNRESOLVED", "ACKNOWLEDGED", "RESOLVED"
 WEEK_US = 7 * 86400 * SECOND
@@ -94,16 +95,18 @@ def vin_valid(vin: Column) -> Column:
     return (F.length(vin) == 17) & vin.rlike("^[A-HJ-NPR-Z0-9]{17}$")
 
 
-def vin_decode(rows: DataFrame, makers: DataFrame) -> DataFrame:
+def vin_decode(rows: DataFrame, makers: list[tuple[str, str, str]]) -> DataFrame:
     """The maker of each vehicle number by three characters, or uncertainly by the first entry with the same two.
 
-    ``makers`` has prefix, maker, maker_id and place, its order.
+    ``makers``: (prefix, maker, maker_id) in order, a short list, which becomes an expression.
     """
-    makers = makers.select(F.col("prefix").alias("start"), "maker", "maker_id", "place")
-    exact = makers.select("start", F.struct("maker", "maker_id").alias("exact"))
-    near = makers.groupBy(F.substring("start", 1, 2).alias("start_two")).agg(F.min_by(F.struct("maker", "maker_id"), "place").alias("near"))
-    found = rows.withColumn("clean", F.upper(F.trim("vin")))
-    found = found.join(exact, F.substring("clean", 1, 3) == F.col("start"), "left").join(near, F.substring("clean", 1, 2) == F.col("start_two"), "left")
+    entry = lambda m: F.struct(F.lit(m[1]).alias("maker"), F.lit(m[2]).alias("maker_id"))
+    clean = F.upper(F.trim("vin"))
+    exact = near = F.lit(None).cast("struct<maker: string, maker_id: string>")
+    for m in reversed(makers):
+        exact = F.when(F.substring(clean, 1, 3) == m[0], entry(m)).otherwise(exact)
+        near = F.when(F.substring(clean, 1, 2) == m[0][:2], entry(m)).otherwise(near)
+    found = rows.withColumns({"exact": exact, "near": near})
     confidence = F.when(F.col("exact").isNotNull(), "HIGH").when(F.col("near").isNotNull(), "LOW").otherwise("NONE")
     maker = F.coalesce(F.col("exact.maker"), F.concat("near.maker", F.lit(" (uncertain)")))
     return found.withColumns({"maker": maker, "maker_id": F.coalesce("exact.maker_id", "near.maker_id"), "confidence": confidence}).select(*rows.columns, "maker", "maker_id", "confidence")
@@ -122,21 +125,32 @@ def import_preview(decoded: DataFrame, in_fleet: Column) -> DataFrame:
     return decoded.withColumn("status", status)
 
 
-def change_feed(changes: DataFrame) -> DataFrame:
-    """A gapless sequence of each fleet's changes."""
-    return changes.select("fleet_id", "event_id", "event_type", F.row_number().over(Window.partitionBy("fleet_id").orderBy("t_us", "event_id", "event_type")).alias("sequence"))
+FEED_RANGE_US = 3600 * SECOND
 
 
-def catch_up(feed: DataFrame, since: int, limit: int) -> DataFrame:
-    """The changes after a sequence number, at most ``limit`` of each fleet."""
-    return feed.where((F.col("sequence") > since) & (F.col("sequence") <= since + limit))
+def change_feed(changes: DataFrame, only: Column | None = None) -> DataFrame:
+    """A gapless sequence of each fleet's changes: ranges of an hour are counted first, then numbered within."""
+    rows = running(changes.select("fleet_id", "event_id", "event_type", "t_us"), ["fleet_id"], ["t_us", "event_id", "event_type"], FEED_RANGE_US, name="sequence", only=only)
+    return rows.select("fleet_id", "event_id", "event_type", "sequence")
+
+
+def catch_up(changes: DataFrame, since: int, limit: int) -> DataFrame:
+    """The changes after a sequence number, at most ``limit`` of each fleet; only the ranges that hold them are numbered."""
+    held = (F.col("before") < since + limit) & (F.col("before") + F.col("in_range") > since)
+    return change_feed(changes, held).where((F.col("sequence") > since) & (F.col("sequence") <= since + limit))
 
 
 def contiguous(feed: DataFrame) -> DataFrame:
-    """How far each fleet's received changes have no gap, and how many are held back behind one."""
-    n = F.row_number().over(Window.partitionBy("fleet_id").orderBy("sequence"))
-    marked = feed.withColumn("n", n)
-    return marked.groupBy("fleet_id").agg(F.max(F.when(F.col("sequence") == F.col("n"), F.col("sequence"))).alias("applied"), F.count_if(F.col("sequence") != F.col("n")).alias("held"))
+    """How far each fleet's received changes have no gap (null if the first is missing), and how many are held back behind one.
+
+    The end of each run of numbers is found by a join on the next number; no fleet gathers in a task. Repeats count once.
+    """
+    seen = feed.select("fleet_id", "sequence").distinct()
+    after = seen.select("fleet_id", (F.col("sequence") - 1).alias("sequence"))
+    ends = seen.join(after, ["fleet_id", "sequence"], "left_anti").groupBy("fleet_id").agg(F.min("sequence").alias("end"))
+    counts = seen.groupBy("fleet_id").agg(F.count("*").alias("n"), F.min("sequence").alias("first"))
+    applied = F.when(F.col("first") == 1, F.col("end"))
+    return counts.join(ends, "fleet_id").select("fleet_id", applied.alias("applied"), (F.col("n") - F.coalesce(applied, F.lit(0))).alias("held"))
 
 
 def activities(jobs: DataFrame, gap_us: int) -> DataFrame:

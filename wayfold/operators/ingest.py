@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEW, DUPLICATE, CONFLICT = "NEW", "DUPLICATE", "CONFLICT"
@@ -55,20 +55,38 @@ def fold(events: DataFrame) -> DataFrame:
     return rows.groupBy("connection_id").applyInPandas(lambda p: fold_one(p.sort_values("event_key")), FOLD_SCHEMA)
 
 
-def windowed(events: DataFrame) -> DataFrame:
-    """The same verdicts by windows, where every payload hash belongs to one non-null source id of its connection.
+def deduplicate(events: DataFrame) -> DataFrame:
+    """The same verdicts by least keys, without a fold.
 
-    It is dealt by connection and id, so that a busy connection does not meet in one task.
+    The first event of a payload hash is always stored: if its id has stored events, none has this hash (a conflict), and
+    otherwise nothing has it (new). An id is known from its first event that is the first of its hash on; what it sends
+    before are copies of other ids' payloads. From then on its first event of each hash is stored, and others are copies of
+    that. Three least keys, by hash, by id and by both, thus decide; they are found map-side first, and no connection, id
+    or hash gathers in a task but for the join of its rows with one number.
     """
-    by_id = Window.partitionBy("connection_id", "source_event_id").orderBy("event_key")
-    by_both = Window.partitionBy("connection_id", "source_event_id", "payload_hash").orderBy("event_key")
-    again = F.row_number().over(by_both) > 1
-    verdict = F.when(again, DUPLICATE).when(F.row_number().over(by_id) > 1, CONFLICT).otherwise(NEW)
-    return events.select("event_key", "connection_id", "source_event_id", "payload_hash", verdict.alias("verdict"), F.first("event_key").over(by_both).alias("owner"))
-
-
-def deduplicate(events: DataFrame) -> DataFrame:
-    """Windows for connections where they are exact, the fold for the others."""
-    shared = events.groupBy("connection_id", "payload_hash").agg(F.count_distinct("source_event_id").alias("ids"), F.count_if(F.col("source_event_id").isNull()).alias("nameless"))
-    unfit = shared.where("ids <> 1 OR nameless > 0").select("connection_id").distinct()
-    return windowed(events.join(unfit, "connection_id", "left_anti")).unionByName(fold(events.join(unfit, "connection_id", "left_semi")))
+    rows = events.select("event_key", "connection_id", "source_event_id", "payload_hash")
+    by_hash = rows.groupBy("connection_id", "payload_hash").agg(F.min("event_key").alias("first_of_hash"))
+    rows = rows.join(by_hash, ["connection_id", "payload_hash"])
+    known = rows.where("source_event_id IS NOT NULL AND event_key = first_of_hash").groupBy("connection_id", "source_event_id").agg(F.min("event_key").alias("known_from"))
+    rows = rows.join(known, ["connection_id", "source_event_id"], "left")
+    stored = rows.where("event_key >= known_from").groupBy("connection_id", "source_event_id", "payload_hash").agg(F.min("event_key").alias("stored_key"))
+    rows = rows.join(stored, ["connection_id", "source_event_id", "payload_hash"], "left")
+    named = F.coalesce(F.col("event_key") >= F.col("known_from"), F.lit(False))
+    owner = F.when(named, F.col("stored_key")).otherwise(F.col("first_of_hash"))
+    verdict = F.when(owner != F.col("event_key"), DUPLICATE).when(named & (F.col("event_key") > F.col("known_from")), CONFLICT).otherwise(NEW)
+    return rows.select("event_key", "connection_id", "source_event_id", "payload_hash", verdict.alias("verdict"), owner.alias("owner"))
+
+
+def rewound(polls: DataFrame) -> DataFrame:
+    """What a poll makes of each source's cursor: (action, next_cursor) beside its columns.
+
+    ``polls``: cursor (text, null at first), events (rows on the page), last_sequence (of the page, null if empty) and
+    latest_sequence (of the newest sample, null if the source has none). An empty page while the newest sample lies
+    before the cursor means that the source began anew: the sample is taken in and the cursor set back to it. A cursor that
+    is no number is set back likewise.
+    """
+    number = F.col("cursor").try_cast("long")
+    behind = (F.col("events") == 0) & (F.length("cursor") > 0) & F.col("latest_sequence").isNotNull() & (number.isNull() | (F.col("latest_sequence") < number))
+    action = F.when(behind, "REWIND").when(F.col("events") > 0, "ADVANCE").otherwise("WAIT")
+    after = F.when(behind, F.col("latest_sequence").cast("string")).when(F.col("events") > 0, F.col("last_sequence").cast("string")).otherwise(F.col("cursor"))
+    return polls.withColumns({"action": F.coalesce(action, F.lit("WAIT")), "next_cursor": after})

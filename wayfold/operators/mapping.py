@@ -7,14 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators.contracts import json_path, json_type, once, read_out
+from wayfold.operators.contracts import json_path, json_type, loose_vendor, once, read_out, with_values
 
 MILES = 1.60934
+PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Fixed value: the form of a time with its zone.
+ISO_TIME = r"^\d{4}-\d\d-\d\dT.*(?:Z|[+-]\d\d:\d\d)$"
 
-#: Valid ranges of the numeric signals.
+#: Valid ranges of the numeric signals, and the meanings of codes.
 RANGES = {"vehicle_speed": (0, 300), "battery_soc": (0, 100), "odometer": (0, 2_000_000), "latitude": (-90, 90), "longitude": (-180, 180), "altitude": (-500, 9000), "heading": (0, 360)}
 STATUS = {"MOVING": "ON", "IDLE": "ON", "PARKED": "OFF", "CHARGING": "OFF"}
-ON_OFF, YES_NO = {"true": "ON", "false": "OFF"}, {"true": "YES", "false": "NO"}
+RUNNING = {"running": "ON", "stopped": "OFF"}
+ON_OFF, YES_NO, CHARGING = {"true": "ON", "false": "OFF"}, {"true": "YES", "false": "NO"}, {"true": "CHARGING", "false": "NOT_CHARGING"}
 
 
 @dataclass(frozen=True)
@@ -29,15 +33,29 @@ def _codes(d: dict[str, str]) -> tuple[tuple[str, str], ...]:
     return tuple(d.items())
 
 
-#: Rules by vendor and version, in the order in which they are checked.
+#: The rules by vendor and version, in the order in which they are checked.
 RULES = {
-    ("A", "1"): (Rule("speed_mph", "vehicle_speed", "MPH_TO_KMH"), Rule("charge_fraction", "battery_soc", "FRACTION_TO_PERCENT"), Rule("odo_miles", "odometer", "MILES_TO_KM"), Rule("lat", "latitude"), Rule("lon", "longitude"), Rule("harsh_brake", "harsh_brake", "ENUM_MAP", _codes(YES_NO)), Rule("fault_code", "fault_code"), Rule("timestamp", "event_time")),
-    ("A", "2"): (Rule("data.speed_mph", "vehicle_speed", "MPH_TO_KMH"), Rule("data.charge_fraction", "battery_soc", "FRACTION_TO_PERCENT"), Rule("data.lat", "latitude"), Rule("data.lon", "longitude"), Rule("metadata.odo_miles", "odometer", "MILES_TO_KM"), Rule("metadata.timestamp", "event_time")),
-    ("B", "1"): (Rule("state.velocity_kmh", "vehicle_speed"), Rule("state.battery_pct", "battery_soc"), Rule("state.gps_lat", "latitude"), Rule("state.gps_lon", "longitude"), Rule("state.ignition", "ignition_status", "ENUM_MAP", _codes(ON_OFF))),
-    ("C", "1"): (Rule("speed", "vehicle_speed"), Rule("soc", "battery_soc"), Rule("lat", "latitude"), Rule("lon", "longitude"), Rule("status", "ignition_status", "ENUM_MAP", _codes(STATUS)), Rule("timestamp", "event_time")),
+    ("A", "1"): (
+        Rule("speed_mph", "vehicle_speed", "MPH_TO_KMH"), Rule("charge_fraction", "battery_soc", "FRACTION_TO_PERCENT"), Rule("odo_miles", "odometer", "MILES_TO_KM"),
+        Rule("status", "ignition_status", "ENUM_MAP", _codes(RUNNING)), Rule("lat", "latitude"), Rule("lon", "longitude"), Rule("altitude", "altitude"), Rule("heading", "heading"),
+        Rule("harsh_brake", "harsh_brake", "ENUM_MAP", _codes(YES_NO)), Rule("fault_code", "fault_code"), Rule("timestamp", "event_time"),
+    ),
+    ("A", "2"): (
+        Rule("data.speed_mph", "vehicle_speed", "MPH_TO_KMH"), Rule("data.charge_fraction", "battery_soc", "FRACTION_TO_PERCENT"), Rule("metadata.odo_miles", "odometer", "MILES_TO_KM"),
+        Rule("metadata.status", "ignition_status", "ENUM_MAP", _codes(RUNNING)), Rule("data.lat", "latitude"), Rule("data.lon", "longitude"), Rule("metadata.timestamp", "event_time"), Rule("metadata.fault_code", "fault_code"),
+    ),
+    ("B", "1"): (
+        Rule("state.velocity_kmh", "vehicle_speed"), Rule("state.battery_pct", "battery_soc"), Rule("state.distance_km", "odometer"), Rule("state.ignition", "ignition_status", "ENUM_MAP", _codes(ON_OFF)),
+        Rule("state.gps_lat", "latitude"), Rule("state.gps_lon", "longitude"), Rule("state.gps_heading", "heading"), Rule("state.harsh_braking", "harsh_brake", "ENUM_MAP", _codes(YES_NO)),
+        Rule("state.charging", "charging_state", "ENUM_MAP", _codes(CHARGING)), Rule("state.fault", "fault_code"),
+    ),
+    ("C", "1"): (
+        Rule("speed", "vehicle_speed"), Rule("soc", "battery_soc"), Rule("odometer", "odometer"), Rule("lat", "latitude"), Rule("lon", "longitude"), Rule("timestamp", "event_time"),
+        Rule("status", "ignition_status", "ENUM_MAP", _codes(STATUS)),
+    ),
 }
-NUMERIC = ("vehicle_speed", "battery_soc", "odometer", "latitude", "longitude")
-TEXT = ("ignition_status", "harsh_brake", "fault_code", "event_time")
+NUMERIC = ("vehicle_speed", "battery_soc", "odometer", "latitude", "longitude", "altitude", "heading")
+TEXT = ("ignition_status", "harsh_brake", "charging_state", "fault_code", "event_time")
 
 
 def convert(value: Column, conversion: str) -> Column:
@@ -67,34 +85,41 @@ def coded(text: Column, codes: tuple[tuple[str, str], ...]) -> Column:
 def strict(kind: Column, text: Column) -> Column:
     """The number that a value of some type and text is; null for blanks, booleans, objects and what is not finite."""
     number = F.trim(text).try_cast("double")
-    return F.when(kind.isin("number", "string") & (F.length(F.trim(text)) > 0) & ~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    return F.when(kind.isin("number", "string") & F.trim(text).rlike(PLAIN_NUMBER) & (F.abs(number) < float("inf")), number)
 
 
 def strict_number(parsed: Column, path: str) -> Column:
     return strict(json_type(parsed, path), F.try_variant_get(parsed, json_path(path), "string"))
 
 
-def normalize(detected: DataFrame) -> DataFrame:
+def normalize(detected: DataFrame, rules: dict[tuple[str, str], tuple[Rule, ...]] = RULES) -> DataFrame:
     """The canonical signals of payloads that a contract accepted, and the verdict after the rules.
 
-    ``detected`` comes from contracts.detect(). A rejected payload keeps its verdict and has no signals; a missing source
-    value leaves its signal out; the first value out of the signal's range decides.
+    ``detected`` comes from contracts.detect(). A rejected payload keeps its verdict and has no signals; a source value that
+    is missing or null leaves its signal out; the first one in the order of the rules that is no number (TYPE_ERROR) or out of
+    the signal's range decides.
     """
-    rows = detected.withColumn("parsed", F.try_parse_json("payload"))
+    paths = list(dict.fromkeys(r.path for own in rules.values() for r in own))
+    rows = with_values(detected.withColumn("parsed", F.try_parse_json("payload")), paths, loose_vendor()).drop("parsed")
     columns: dict[str, Column] = {s: F.lit(None).cast("double") for s in NUMERIC} | {s: F.lit(None).cast("string") for s in TEXT}
     error = F.lit(None).cast("string")
-    for (vendor, version), rules in RULES.items():
+    for (vendor, version), own in rules.items():
         here = (F.col("vendor") == vendor) & (F.col("version") == version)
-        for rule in rules:
-            text = F.try_variant_get(F.col("parsed"), json_path(rule.path), "string")
-            value = convert(F.try_variant_get(F.col("parsed"), json_path(rule.path), "double"), rule.conversion) if rule.signal in NUMERIC else coded(text, rule.codes)
+        bad = []
+        for rule in own:
+            raw = F.col(f"value_{paths.index(rule.path)}")
+            if rule.signal in NUMERIC:
+                value = convert(F.try_variant_get(raw, "$", "double"), rule.conversion)
+                low, high = RANGES[rule.signal]
+                kind = "INVALID_COORDINATES" if rule.signal in ("latitude", "longitude") else "INVALID_VALUE"
+                bad.append(F.when(raw.isNotNull() & ~F.is_variant_null(raw) & value.isNull(), f"TYPE_ERROR:{rule.signal}").when((value < low) | (value > high), f"{kind}:{rule.signal}"))
+            else:
+                value = coded(F.try_variant_get(raw, "$", "string"), rule.codes)
             columns[rule.signal] = F.when(here, value).otherwise(columns[rule.signal])
-    for signal in NUMERIC:
-        low, high = RANGES[signal]
-        kind = "INVALID_COORDINATES" if signal in ("latitude", "longitude") else "INVALID_VALUE"
-        error = F.coalesce(error, F.when((F.col(signal) < low) | (F.col(signal) > high), f"{kind}:{signal}"))
-    out = once(rows, detected.columns, {s: F.when(F.col("verdict") == "OK", c) for s, c in columns.items()})
-    return out.withColumn("verdict", F.when(F.col("verdict") == "OK", F.coalesce(error, F.lit("OK"))).otherwise(F.col("verdict")))
+        error = F.when(here, F.coalesce(*bad, F.lit(None).cast("string"))).otherwise(error)
+    accepted = F.col("verdict") == "OK"
+    out = once(rows, detected.columns, {s: F.when(accepted, c) for s, c in columns.items()} | {"rule_error": F.when(accepted, error)})
+    return out.withColumn("verdict", F.coalesce("rule_error", "verdict")).drop("rule_error")
 
 
 def repair_evaluate(payloads: DataFrame, rules: list[tuple[str, list[str], str]]) -> DataFrame:
@@ -119,7 +144,7 @@ def repair_evaluate(payloads: DataFrame, rules: list[tuple[str, list[str], str]]
     for signal, _, _ in rules:
         value = F.col(f"raw_{signal}")
         if signal == "event_time":
-            zoned = value.rlike(r"(Z|[+-]\d\d:?\d\d)$") & value.try_cast("timestamp").isNotNull()
+            zoned = value.rlike(ISO_TIME) & value.try_cast("timestamp").isNotNull()
             values[signal] = F.when(zoned, value)
             errors.append(F.when(value.isNull(), "event_time:missing").when(~zoned, "event_time:invalid"))
         else:

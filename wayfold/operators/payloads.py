@@ -30,6 +30,42 @@ def vehicle_reference(payload: Column) -> Column:
     return F.coalesce(*[F.get_json_object(payload, f"$.{p}") for p in ("vehicle_id", "vehicle_identifier", "vin", "data.vehicle_id")])
 
 
+SIGNATURE_HEADERS = ("x-signature-sha256", "x-signature", "x-vendor-signature")
+VEHICLE_FIELDS = ("vehicle_identifier", "source_vehicle_id", "vehicle_id", "id")
+EVENT_FIELDS = ("event_id", "source_event_id")
+
+
+def _first(*values: Column) -> Column:
+    """The first that is there and not empty."""
+    return F.coalesce(*[F.when(F.length(v) > 0, v) for v in values])
+
+
+def webhook(requests: DataFrame, connections: DataFrame, mappings: DataFrame, headers: tuple[str, ...] = SIGNATURE_HEADERS) -> DataFrame:
+    """Adds problem (null: accepted), source_vehicle_id and source_event_id to webhook requests.
+
+    ``requests``: connection_id, headers (a map with names in lower case) and body; ``connections``: connection_id and the
+    secret of its subscription, null without one; ``mappings``: the (connection_id, source_vehicle_id) that are known. A
+    vehicle must not be known of another connection and, where a connection knows any vehicles, be one of them. The event's
+    id is the body's or, without one, the header's.
+    """
+    known = connections.select("connection_id", "secret", F.lit(True).alias("exists")).distinct()
+    vehicle = _first(*[F.get_json_object("body", f"$.{f}") for f in VEHICLE_FIELDS])
+    event = _first(*[F.get_json_object("body", f"$.{f}") for f in EVENT_FIELDS], F.try_element_at("headers", F.lit("x-event-id")))
+    rows = requests.withColumns({"source_vehicle_id": vehicle, "source_event_id": event, "signature": F.trim(_first(*[F.try_element_at("headers", F.lit(h)) for h in headers]))})
+    rows = rows.join(known, "connection_id", "left").withColumn("signed", signature_valid(F.col("body"), F.col("signature"), F.coalesce("secret", F.lit(""))))
+    mappings = mappings.select("connection_id", "source_vehicle_id").distinct()
+    owners = mappings.groupBy("source_vehicle_id").agg(F.count("*").alias("owners"))
+    own = mappings.withColumn("own", F.lit(1))
+    busy = mappings.select("connection_id", F.lit(True).alias("busy")).distinct()
+    rows = rows.join(owners, "source_vehicle_id", "left").join(own, ["connection_id", "source_vehicle_id"], "left").join(busy, "connection_id", "left")
+    others = F.coalesce("owners", F.lit(0)) > F.coalesce("own", F.lit(0))
+    problem = (
+        F.when(F.col("exists").isNull(), "404 no such connection").when(F.coalesce(F.length("secret"), F.lit(0)) == 0, "401 no subscription").when(F.col("signature").isNull(), "401 no signature").when(~F.col("signed"), "401 wrong signature")
+        .when(F.col("source_vehicle_id").isNull(), "400 no vehicle").when(others, "403 of another connection").when(F.col("busy") & F.col("own").isNull(), "403 not of this connection")
+    )
+    return rows.select(*requests.columns, problem.alias("problem"), "source_vehicle_id", "source_event_id")
+
+
 def _redact(value, hide: bool = False):
     if isinstance(value, dict):
         return {k: _redact(v, hide or any(w in k.lower() for w in SECRET_WORDS)) for k, v in value.items()}

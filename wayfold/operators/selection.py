@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators.contracts import json_path, once
+from wayfold.operators.contracts import once, with_values
 
 NOT_FOUND = "CONNECTION_NOT_FOUND"
 
@@ -65,36 +65,28 @@ class Repair:
     discriminator: tuple[str, str] | None = None  # path and text
 
 
-def applies(parsed: Column, repair: Repair) -> Column:
-    """Whether the discriminator has its value and every required rule has a source that is there (JSON null is)."""
-    there = lambda path: F.try_variant_get(parsed, json_path(path), "variant").isNotNull()
-    out = F.lit(True)
-    if repair.discriminator:
-        path, value = repair.discriminator
-        out = F.coalesce(F.try_variant_get(parsed, json_path(path), "string") == value, F.lit(False))
-    for sources in repair.required:
-        any_there = F.lit(False)
-        for path in sources:
-            any_there = any_there | there(path)
-        out = out & any_there
-    return out
-
-
 def live_repair(rows: DataFrame, repairs: list[Repair]) -> DataFrame:
     """Adds ``repair_id``: the newest published repair of the row's connection that applies to its payload, or null.
 
+    A repair applies where its discriminator has its value and every required rule has a source that is there (JSON null is).
     ``own_valid`` tells that the connection's own format accepts the payload. Repairs for replays alone never apply here,
     those for invalid payloads only where it is false. Of repairs published at once the later in the list counts.
     """
+    live = [r for r in repairs if r.live_mode != "replay_only"]
+    paths = list(dict.fromkeys([p for r in live for sources in r.required for p in sources] + [r.discriminator[0] for r in live if r.discriminator]))
+    read = with_values(rows.withColumn("parsed", F.try_parse_json("payload")), paths)
+    value = lambda path: F.col(f"value_{paths.index(path)}")
     found = F.lit(None).cast("string")
-    for r in sorted(repairs, key=lambda r: r.published_us):  # the last one wraps the others, so it is asked first
-        if r.live_mode == "replay_only":
-            continue
-        here = (F.col("connection_id") == r.connection_id) & applies(F.col("parsed"), r)
+    for r in sorted(live, key=lambda r: r.published_us):  # the last one wraps the others, so it is asked first
+        here = F.col("connection_id") == r.connection_id
+        if r.discriminator:
+            here = here & F.coalesce(F.try_variant_get(value(r.discriminator[0]), "$", "string") == r.discriminator[1], F.lit(False))
+        for sources in r.required:
+            here = here & F.coalesce(*[value(p) for p in sources]).isNotNull()
         if r.live_mode == "invalid_only":
             here = here & ~F.coalesce(F.col("own_valid"), F.lit(False))
         found = F.when(here, r.id).otherwise(found)
-    return once(rows.withColumn("parsed", F.try_parse_json("payload")), rows.columns, {"repair_id": found})
+    return once(read, rows.columns, {"repair_id": found})
 
 
 def publish_gate(drafts: DataFrame, results: DataFrame) -> DataFrame:
@@ -114,20 +106,59 @@ def publish_gate(drafts: DataFrame, results: DataFrame) -> DataFrame:
     return drafts.join(tests, "draft_id", "left").select("draft_id", verdict.alias("verdict"))
 
 
-def refresh_queue(changes: DataFrame) -> DataFrame:
+def refresh_queue(changes: DataFrame, trips: DataFrame | None = None) -> DataFrame:
     """Changed rows (kind, entity_id, vehicle_id, changed_us) coalesced to one entry of each kind and entity.
 
-    A change of a trip is one of its vehicle too. ``generation`` counts the changes, so that a refresh of an older one
-    doesn't clear the entry; changes without a vehicle don't count. Counted map-side before the shuffle.
+    A change of a trip is one of its vehicle too; one of kind quarantine is one of its vehicle and of all its vehicle's
+    ``trips`` (trip_id, vehicle_id). ``generation`` counts the changes, so that a refresh of an older one doesn't clear the
+    entry; changes without a vehicle don't count. Counted map-side before the shuffle, the trips' share by vehicle.
     """
     known = changes.where("vehicle_id IS NOT NULL")
-    trips = F.struct(F.col("kind"), F.col("entity_id").cast("string").alias("entity_id"))
+    trip = F.struct(F.lit("trip").alias("kind"), F.col("entity_id").cast("string").alias("entity_id"))
     vehicle = F.struct(F.lit("vehicle").alias("kind"), F.col("vehicle_id").cast("string").alias("entity_id"))
-    both = F.when(F.col("kind") == "trip", F.array(trips, vehicle)).otherwise(F.array(vehicle))
-    each = known.select("vehicle_id", "changed_us", F.inline(both))
-    return each.groupBy("kind", "entity_id").agg(F.max("vehicle_id").alias("vehicle_id"), F.count("*").alias("generation"), F.min("changed_us").alias("first_us"), F.max("changed_us").alias("last_us"))
+    both = F.when(F.col("kind") == "trip", F.array(trip, vehicle)).otherwise(F.array(vehicle))
+    each = known.select("vehicle_id", F.lit(1).alias("n"), F.col("changed_us").alias("first_us"), F.col("changed_us").alias("last_us"), F.inline(both))
+    if trips is not None:
+        marks = known.where("kind = 'quarantine'").groupBy("vehicle_id").agg(F.count("*").alias("n"), F.min("changed_us").alias("first_us"), F.max("changed_us").alias("last_us"))
+        each = each.unionByName(trips.join(marks, "vehicle_id").select("vehicle_id", "n", "first_us", "last_us", F.lit("trip").alias("kind"), F.col("trip_id").cast("string").alias("entity_id")))
+    return each.groupBy("kind", "entity_id").agg(F.max("vehicle_id").alias("vehicle_id"), F.sum("n").alias("generation"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
+QUIET_US, LONGEST_US, LONGEST_RETRY_S = 2_000_000, 10_000_000, 300
+
+
+def refresh_due(queue: DataFrame, now: Column, quiet_us: int = QUIET_US, longest_us: int = LONGEST_US) -> DataFrame:
+    """Adds ``due``: entries of the first change, those quiet for ``quiet_us``, and those that wait for ``longest_us`` however often they change.
+
+    An entry that failed (``retry_us``, where there is such a column) waits until then.
+    """
+    due = (F.col("generation") == 1) | (F.col("last_us") <= now - quiet_us) | (F.col("first_us") <= now - longest_us)
+    if "retry_us" in queue.columns:
+        due = due & (F.col("retry_us").isNull() | (F.col("retry_us") <= now))
+    return queue.withColumn("due", due)
+
 
+def refresh_pick(queue: DataFrame, now: Column, limit: int, quiet_us: int = QUIET_US, longest_us: int = LONGEST_US) -> DataFrame:
+    """The entries that a pass takes up, longest waiting first: half of the ``limit`` is kept for vehicles, the rest for trips.
+
+    A pass of one takes the longest waiting entry of either kind, a vehicle before a trip. Ties go by entity_id.
+    """
+    due = refresh_due(queue, now, quiet_us, longest_us).where("due").drop("due")
+    if limit < 2:
+        return due.orderBy("first_us", F.desc("kind"), "entity_id").limit(limit)
+    first = lambda kind, n: due.where(F.col("kind") == kind).orderBy("first_us", "entity_id").limit(n)
+    return first("vehicle", limit // 2).unionByName(first("trip", limit - limit // 2))
 
-def refresh_due(queue: DataFrame, now: Column, quiet_us: int = 2_000_000, longest_us: int = 10_000_000) -> DataFrame:
-    """Adds ``due``: entries quiet for ``quiet_us``, or waiting for ``longest_us`` however often they change."""
-    return queue.withColumn("due", (F.col("last_us") <= now - quiet_us) | (F.col("first_us") <= now - longest_us))
+
+def refresh_acknowledge(queue: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """The queue after a pass: what was refreshed goes, unless it has changed since; what failed is tried again later.
+
+    ``results``: kind, entity_id, the generation that was read, and failed. Retries wait for 2, 4, 8, ... seconds, 300 at most.
+    """
+    done = results.select("kind", "entity_id", F.col("generation").alias("read"), "failed")
+    same = F.col("read").eqNullSafe(F.col("generation"))
+    joined = queue.join(done, ["kind", "entity_id"], "left").where(~(same & ~F.coalesce("failed", F.lit(True))))
+    again = same & F.col("failed")
+    wait = F.least(F.lit(float(LONGEST_RETRY_S)), F.pow(F.lit(2.0), F.least(F.col("attempts") + 1, F.lit(8)))).cast("long")
+    joined = joined.withColumn("retry_us", F.when(again, now + wait * 1_000_000).otherwise(F.col("retry_us")))
+    return joined.withColumn("attempts", F.when(again, F.col("attempts") + 1).otherwise(F.col("attempts"))).select(*queue.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.scalars import SECOND
@@ -36,10 +36,26 @@ def live_state(connected: Column, last_us: Column, speed: Column, as_of_us: Colu
     )
 
 
-def age_label(seconds: Column) -> Column:
-    """Seconds, minutes or hours ago; null for more than a day."""
+def backfill(stored: DataFrame, events: DataFrame, newest: int = 100) -> DataFrame:
+    """Current values (vehicle_id, signal, value, t_us) after looking through the newest events of each vehicle.
+
+    ``events``: vehicle_id, event_id, t_us and signals, a map of texts. A signal is replaced only by a strictly later
+    value; of equally late ones the later id counts. Events without a time and values that are null say nothing.
+    """
+    rank = F.row_number().over(Window.partitionBy("vehicle_id").orderBy(F.desc("t_us"), F.desc("event_id")))
+    recent = events.where("t_us IS NOT NULL").withColumn("n", rank).where(F.col("n") <= newest)
+    found = recent.select("vehicle_id", "event_id", "t_us", F.explode("signals").alias("signal", "value")).where("value IS NOT NULL")
+    best = found.groupBy("vehicle_id", "signal").agg(F.max_by(F.struct("value", "t_us"), F.struct("t_us", "event_id")).alias("fresh"))
+    both = stored.select("vehicle_id", "signal", F.struct("value", "t_us").alias("old")).join(best, ["vehicle_id", "signal"], "full_outer")
+    later = F.coalesce(F.col("old.t_us") < F.col("fresh.t_us"), F.col("old.t_us").isNull() & F.col("fresh").isNotNull())
+    return both.withColumn("v", F.when(later, F.col("fresh")).otherwise(F.col("old"))).select("vehicle_id", "signal", "v.value", "v.t_us")
+
+
+def age_label(seconds: Column, stamp: Column) -> Column:
+    """Seconds, minutes or hours ago; for more than a day the date of the time itself."""
     return (
         F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s ago")))
         .when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit("m ago")))
         .when(seconds < 86400, F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h ago")))
+        .otherwise(F.date_format(stamp, "yyyy-MM-dd"))
     )

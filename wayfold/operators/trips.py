@@ -154,3 +154,45 @@ def reconcile(rebuilt: DataFrame, stored: DataFrame) -> DataFrame:
     pairs = rebuilt.join(s, (F.col("vehicle_id") == F.col("stored_vehicle")) & (near | inside | around), "left")
     rank = F.row_number().over(Window.partitionBy("trip_id").orderBy(F.abs(F.col("started_us") - F.col("s0")).asc_nulls_last(), "s0", "stored_id"))
     return pairs.withColumn("n", rank).where("n = 1").select("trip_id", "vehicle_id", "started_us", "stored_id")
+
+
+def in_dates(rows: DataFrame, column: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows whose time (microseconds, UTC) lies from the start of one day to the end of another, either of them open.
+
+    The last day counts up to 23:59:59 and its first microsecond, so fractions of its last second lie outside.
+    """
+    if first is not None:
+        rows = rows.where(F.col(column) >= F.unix_micros(F.lit(first).cast("timestamp")))
+    if last is not None:
+        rows = rows.where(F.col(column) <= F.unix_micros(F.lit(f"{last} 23:59:59").cast("timestamp")))
+    return rows
+
+
+def newest_days(summaries: DataFrame, first: str | None = None, last: str | None = None, days: int = 30) -> DataFrame:
+    """The newest days of each vehicle's summaries between two days, with their ``place`` from the newest."""
+    if first is not None:
+        summaries = summaries.where(F.col("day") >= first)
+    if last is not None:
+        summaries = summaries.where(F.col("day") <= last)
+    newest = Window.partitionBy("vehicle_id").orderBy(F.desc("day"))
+    return summaries.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= days)
+
+
+def rebuild_ranges(late: DataFrame, trips: DataFrame, margin_us: int = 1800 * SECOND) -> DataFrame:
+    """(vehicle_id, from_us, to_us, jobs): the disjoint spans to rebuild for late times (vehicle_id, t_us).
+
+    Each time asks for a margin on either side; a span that begins within a trip begins with that trip instead. Spans that
+    meet are one. Times are merged before trips are looked up, so the join has a row a span.
+    """
+    def merged(spans: DataFrame) -> DataFrame:
+        order = Window.partitionBy("vehicle_id").orderBy("from_us", "to_us")
+        reached = F.max("to_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        numbered = spans.withColumn("fresh", F.coalesce(F.col("from_us") > reached, F.lit(True)).cast("int"))
+        numbered = numbered.withColumn("span", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        return numbered.groupBy("vehicle_id", "span").agg(F.min("from_us").alias("from_us"), F.max("to_us").alias("to_us"), F.sum("jobs").alias("jobs")).drop("span")
+
+    spans = merged(late.groupBy("vehicle_id", "t_us").agg(F.count("*").alias("jobs")).select("vehicle_id", (F.col("t_us") - margin_us).alias("from_us"), (F.col("t_us") + margin_us).alias("to_us"), "jobs"))
+    held = trips.select(F.col("vehicle_id").alias("trip_vehicle"), "started_us", "ended_us")
+    within = (F.col("vehicle_id") == F.col("trip_vehicle")) & F.col("from_us").between(F.col("started_us"), F.col("ended_us"))
+    widened = spans.join(held, within, "left").groupBy("vehicle_id", "from_us", "to_us", "jobs").agg(F.min("started_us").alias("started_us"))
+    return merged(widened.select("vehicle_id", F.least("from_us", "started_us").alias("from_us"), "to_us", "jobs"))

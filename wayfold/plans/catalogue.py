@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfold.plans import fleet_queries, ingest_queries, mapping_queries, route_queries, selection_queries, trip_queries
+from wayfold.plans import fleet_queries, ingest_queries, lifecycle_queries, mapping_queries, route_queries, selection_queries, trip_queries
 
-MODULES = (trip_queries, ingest_queries, mapping_queries, fleet_queries, route_queries, selection_queries)
+MODULES = (trip_queries, ingest_queries, mapping_queries, fleet_queries, route_queries, selection_queries, lifecycle_queries)
 
 
 def queries() -> dict:

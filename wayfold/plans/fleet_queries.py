@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.scalars import SECOND
 from wayfold.operators import fleet as fl
+from wayfold.operators import replay as rp
 from wayfold.plans.ingest_queries import FRESH, LAST, RAW, freshness, last_seen, raw, verdicts
 from wayfold.plans.mapping_queries import NORMAL, normalized
 from wayfold.plans.trip_queries import EVENTS, events
@@ -15,15 +16,15 @@ from wayfold.sources.fixtures import TEL, telemetry
 
 def records(s: SparkSession, d: str) -> DataFrame:
     """A quarantine record of each payload that did not normalize; some are resolved later."""
-    bad = normalized(s, d).where("verdict <> 'OK'").join(telemetry(s, d).select("event_id", "fleet_id", "connection_id"), "event_id")
+    bad = normalized(s, d).where("verdict <> 'OK'")
     status = F.when(F.col("event_id") % 5 == 0, fl.RESOLVED).when(F.col("event_id") % 7 == 0, fl.ACKNOWLEDGED).otherwise(fl.UNRESOLVED)
     known = F.when(F.col("event_id") % 9 != 0, F.col("vehicle_id"))
     return fl.quarantine_records(bad.withColumns({"status": status, "attempt": (F.col("event_id") % 3).cast("int"), "known_vehicle": known}))
 
 
-REC = f"""{NORMAL}, rec AS MATERIALIZED (SELECT n.event_id, n.vehicle_id, t.fleet_id, t.connection_id, n.t_us, split_part(n.verdict, ':', 1) AS category, split_part(n.verdict, ':', 2) AS reason,
+REC = f"""{NORMAL}, rec AS MATERIALIZED (SELECT n.event_id, n.vehicle_id, n.fleet_id, n.connection_id, n.t_us, split_part(n.verdict, ':', 1) AS category, split_part(n.verdict, ':', 2) AS reason,
     CASE WHEN n.event_id % 5 = 0 THEN 'RESOLVED' WHEN n.event_id % 7 = 0 THEN 'ACKNOWLEDGED' ELSE 'UNRESOLVED' END AS status, (n.event_id % 3)::INT AS attempt, CASE WHEN n.event_id % 9 <> 0 THEN n.vehicle_id END AS known_vehicle
-    FROM norm n JOIN (SELECT event_id, fleet_id, connection_id FROM tel) t USING (event_id) WHERE n.verdict <> 'OK' AND split_part(n.verdict, ':', 1) <> 'INFRA_ERROR')"""
+    FROM norm n WHERE n.verdict <> 'OK' AND split_part(n.verdict, ':', 1) <> 'INFRA_ERROR')"""
 INC = f"""{REC}, inc AS MATERIALIZED (SELECT fleet_id, connection_id, category, sha256(fleet_id || '|' || connection_id || '|' || category) AS incident_id, min(t_us) AS first_us, max(t_us) AS last_us,
     count(DISTINCT CASE WHEN status <> 'RESOLVED' THEN event_id END) AS open_events, count(DISTINCT CASE WHEN status <> 'RESOLVED' THEN known_vehicle END) AS open_vehicles,
     CASE WHEN bool_and(status = 'RESOLVED') THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS status FROM rec GROUP BY 1, 2, 3)"""
@@ -70,9 +71,9 @@ def incident_list(s, d):
     return incidents(s, d).where("status = 'UNRESOLVED'").orderBy(F.desc("last_us"), "incident_id").limit(20).select("incident_id", "category", "last_us", "open_events")
 
 
-def replay_selection(s, d):
-    """Distinct quarantined events that a replay of each fleet and category takes up."""
-    return records(s, d).where("status <> 'RESOLVED'").select("fleet_id", "category", "event_id", "t_us").distinct()
+def replay_selection(s, d, **narrowed):
+    """Distinct quarantined events that a replay takes up; by default of all fleets, vendors and connections."""
+    return rp.select(records(s, d).withColumn("vendor", F.substring_index("connection_id", "-", -1)), **narrowed)
 
 
 def replay_items(s, d):
@@ -88,12 +89,6 @@ def replay_outcome(s, d):
     return fl.replay_progress(replay_items(s, d)).select("fleet_id", fl.replay_outcome(F.col("total"), F.col("done"), F.col("failed")).alias("outcome"))
 
 
-def replay_run(s, d):
-    """Quarantined speeds replayed with a forced mapping that reads them in another unit; the result of each."""
-    r = records(s, d).where("category = 'INVALID_VALUE'").join(telemetry(s, d).select("event_id", "speed_kmh"), "event_id")
-    return r.select("event_id", F.round(F.col("speed_kmh") / 1.60934, 6).alias("speed_kmh"), F.when(F.col("speed_kmh") / 1.60934 <= 300, "DONE").otherwise("FAILED").alias("item_status"))
-
-
 def insight(s: SparkSession, d: str, metric: str) -> DataFrame:
     v = last_seen(s, d).withColumn("freshness", freshness())
     if metric == "safety":
@@ -133,7 +128,7 @@ def vendor_overview(s, d):
 
 
 def pipeline_health(s, d):
-    n = normalized(s, d).join(telemetry(s, d).select("event_id", "fleet_id"), "event_id")
+    n = normalized(s, d)
     counts = n.groupBy("fleet_id").agg(F.count("*").alias("raw"), F.count_if(F.col("verdict") == "OK").alias("processed"), F.count_if(F.col("verdict") != "OK").alias("quarantined"))
     double = verdicts(s, d).where("verdict = 'DUPLICATE'").groupBy(F.substring("connection_id", 2, 1).cast("long").alias("fleet_id")).agg(F.count("*").alias("true_duplicates"))
     return counts.join(double, "fleet_id", "left").select("*", F.lit(0).alias("duplicates"))
@@ -148,13 +143,12 @@ def vehicle_data_quality(s, d):
 # Imports: vehicle numbers derived from customers.
 
 
-#: Prefixes of the three vendors' vehicle numbers, in order; neutral names.
+#: Prefixes of the three vendors' vehicle numbers, in order; the vendors have neutral names here, as in the whole library.
 MAKERS = (("1VX", "Maker A", "A"), ("1VL", "Maker A", "A"), ("2CR", "Maker B", "B"), ("2CS", "Maker B", "B"), ("3NA", "Maker C", "C"), ("3NV", "Maker C", "C"))
 
 
 def vin_decoded(s, rows):
-    makers = s.createDataFrame([(*m, i) for i, m in enumerate(MAKERS)], "prefix string, maker string, maker_id string, place int")
-    return fl.vin_decode(rows, makers)
+    return fl.vin_decode(rows, list(MAKERS))
 
 
 def vin_rows(s, d):
@@ -303,7 +297,6 @@ QUERIES = {
     "replay_selection": replay_selection,
     "replay_progress": lambda s, d: fl.replay_progress(replay_items(s, d)),
     "replay_outcome": replay_outcome,
-    "replay_run": replay_run,
     **{f"insight_{m}": (lambda m: lambda s, d: insight(s, d, m))(m) for m in METRICS},
     "fleet_insights": fleet_insights,
     "vendor_overview": vendor_overview,
@@ -319,7 +312,7 @@ QUERIES = {
     "history_cursor": history_cursor,
     "retention_topn": retention,
     "change_feed": feed,
-    "change_feed_catchup": lambda s, d: fl.catch_up(feed(s, d), 1000, 500),
+    "change_feed_catchup": lambda s, d: fl.catch_up(telemetry(s, d), 1000, 500),
     "feed_contiguous": feed_contiguous,
     "activity_sessions": activities,
     "activity_rollup": lambda s, d: fl.activity_rollup(activities(s, d)),
@@ -342,10 +335,9 @@ ORACLES = {
     "incident_list": f"WITH {INC} SELECT incident_id, category, last_us, open_events FROM inc WHERE status = 'UNRESOLVED' ORDER BY last_us DESC, incident_id LIMIT 20",
     "quarantine_summary": f"WITH {REC} SELECT fleet_id, count(*) AS records, count(*) FILTER (status = 'UNRESOLVED') AS unresolved, count(*) FILTER (status = 'ACKNOWLEDGED') AS acknowledged, count(*) FILTER (status = 'RESOLVED') AS resolved, sum(attempt)::BIGINT AS attempts FROM rec GROUP BY 1",
     "quarantine_fleet_counts": f"WITH {REC} SELECT fleet_id, count(DISTINCT event_id) AS events, count(DISTINCT known_vehicle) AS vehicles FROM rec WHERE status <> 'RESOLVED' GROUP BY 1",
-    "replay_selection": f"WITH {REC} SELECT DISTINCT fleet_id, category, event_id, t_us FROM rec WHERE status <> 'RESOLVED'",
+    "replay_selection": f"WITH {REC} SELECT DISTINCT event_id, t_us, fleet_id, split_part(connection_id, '-', 2) AS vendor, connection_id FROM rec WHERE status <> 'RESOLVED'",
     "replay_progress": f"WITH {ITEMS} SELECT fleet_id, count(*) AS total, count(*) FILTER (item_status = 'DONE') AS done, count(*) FILTER (item_status = 'FAILED') AS failed, floor(100.0 * count(*) FILTER (item_status <> 'PENDING') / count(*) + 0.5)::BIGINT AS percent FROM items GROUP BY 1",
     "replay_outcome": f"WITH {ITEMS}, p AS (SELECT fleet_id, count(*) AS total, count(*) FILTER (item_status = 'DONE') AS done, count(*) FILTER (item_status = 'FAILED') AS failed FROM items GROUP BY 1) SELECT fleet_id, CASE WHEN total = 0 THEN 'NO_EVENTS' WHEN failed = 0 AND done > 0 THEN 'SUCCESS' WHEN done > 0 THEN 'PARTIAL_SUCCESS' ELSE 'FAILED' END AS outcome FROM p",
-    "replay_run": f"WITH {REC} SELECT event_id, round(t.speed_kmh / 1.60934::DOUBLE, 6) AS speed_kmh, CASE WHEN t.speed_kmh / 1.60934::DOUBLE <= 300 THEN 'DONE' ELSE 'FAILED' END AS item_status FROM rec JOIN (SELECT event_id, speed_kmh FROM tel) t USING (event_id) WHERE category = 'INVALID_VALUE'",
     "insight_safety": f"WITH {ALL} {INSIGHT['safety']}",
     "insight_service": f"WITH {LAST} {INSIGHT['service']}",
     "insight_charging": f"WITH {LAST} {INSIGHT['charging']}",

@@ -65,7 +65,7 @@ def current_state(s, d):
 
 def age_labels(s, d):
     seconds = F.expr("(as_of - last_us) div 1000000")
-    return last_seen(s, d).select("vehicle_id", state.age_label(seconds).alias("label"))
+    return last_seen(s, d).select("vehicle_id", state.age_label(seconds, F.timestamp_micros("last_us")).alias("label"))
 
 
 def fleet_overview(s, d):
@@ -136,8 +136,8 @@ ORACLES = {
     "movement_state": f"WITH {LAST} SELECT vehicle_id, {MOVE} AS movement FROM last",
     "data_freshness": f"WITH {LAST} SELECT vehicle_id, {FRESH} AS freshness FROM last",
     "live_state": f"WITH {LAST} SELECT vehicle_id, {LIVE} AS state, last_us FROM last",
-    "age_label": f"""WITH {LAST}, a AS (SELECT vehicle_id, (as_of - last_us) // 1000000 AS s FROM last)
-        SELECT vehicle_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' END AS label FROM a""",
+    "age_label": f"""WITH {LAST}, a AS (SELECT vehicle_id, last_us, (as_of - last_us) // 1000000 AS s FROM last)
+        SELECT vehicle_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE strftime(make_timestamp(last_us), '%Y-%m-%d') END AS label FROM a""",
     "fleet_overview": f"""WITH {LAST}, v AS (SELECT *, {MOVE} AS m, {FRESH} AS f FROM last) SELECT fleet_id, count(*) AS total, count(*) FILTER (m = 'MOVING') AS moving, count(*) FILTER (m = 'IDLE') AS idle,
         count(*) FILTER (m = 'PARKED') AS parked, count(*) FILTER (m = 'CHARGING') AS charging, count(*) FILTER (f = 'LIVE') AS live, count(*) FILTER (f = 'STALE') AS stale, count(*) FILTER (f = 'OFFLINE') AS offline,
         count(*) FILTER (battery_soc < 20) AS attention, count(*) FILTER (NOT connected) AS no_connection FROM v GROUP BY 1""",

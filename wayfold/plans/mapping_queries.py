@@ -18,7 +18,7 @@ def _cents(x: Column) -> Column:
 
 
 def payloads(s: SparkSession, d: str) -> DataFrame:
-    """A vendor payload of each event, some with defects."""
+    """A vendor payload of each event: some with defects, some with literal dotted keys, some of vendor B without "state"."""
     t = telemetry(s, d)
     time = F.when(F.col("event_id") % 59 == 0, "soon").otherwise(F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     speed = F.when(F.col("event_id") % 43 == 0, '"fast"').otherwise(_cents(F.when(F.col("event_id") % 47 == 0, F.col("speed_kmh") + 400).otherwise(F.col("speed_kmh"))))
@@ -28,12 +28,20 @@ def payloads(s: SparkSession, d: str) -> DataFrame:
     share = F.concat(F.lit("0."), F.lpad((100 - F.col("k") - F.when(F.col("k") == 0, 1).otherwise(0)).cast("string"), 2, "0"))
     flag = lambda c: F.when(c, "true").otherwise("false")
     stamp = F.when(F.col("event_id") % 41 == 0, F.lit("")).otherwise(F.concat(F.lit(',"timestamp":"'), time, F.lit('"')))
-    a1 = F.concat(F.lit('{"speed_mph":'), speed, F.lit(',"charge_fraction":'), share, F.lit(',"lat":'), lat, F.lit(',"lon":'), lon, F.lit(',"odo_miles":'), F.col("k").cast("string"), F.lit(',"harsh_brake":'), flag(F.col("harsh_brake")), stamp, F.lit("}"))
-    a2 = F.concat(F.lit('{"data":{"speed_mph":'), speed, F.lit(',"charge_fraction":'), share, F.lit(',"lat":'), lat, F.lit(',"lon":'), lon, F.lit('},"metadata":{"timestamp":"'), time, F.lit('","odo_miles":'), F.col("k").cast("string"), F.lit("}}"))
-    b1 = F.concat(F.lit('{"state":{"velocity_kmh":'), speed, F.lit(',"battery_pct":'), soc, F.lit(',"gps_lat":'), lat, F.lit(',"gps_lon":'), lon, F.lit(',"ignition":'), flag(F.col("ignition") == "ON"), F.lit('},"time_measured":'), F.expr("cast(t_us div 1000 as string)"), F.lit("}"))
-    c1 = F.concat(F.lit('{"vehicle_id":"'), F.col("vehicle_id").cast("string"), F.lit('","speed":'), speed, F.lit(',"soc":'), soc, F.lit(',"lat":'), lat, F.lit(',"lon":'), lon, F.lit(',"status":"'), F.when(F.col("event_type") == "error", "PARKED").when(F.col("event_type") == "signup", "IDLE").otherwise("MOVING"), F.lit('"'), stamp, F.lit("}"))
-    body = F.when((F.col("vendor") == "A") & (F.col("k") % 2 == 0), a1).when(F.col("vendor") == "A", a2).when(F.col("vendor") == "B", b1).otherwise(c1)
-    return t.select("event_id", "vehicle_id", "vendor", "t_us", "k", body.alias("payload"))
+    running = F.when(F.col("event_type") == "error", "stopped").when(F.col("event_type") == "signup", "towed").otherwise("running")
+    more = F.concat(F.lit(',"altitude":'), F.when(F.col("event_id") % 37 == 0, 9500).otherwise(F.col("k") * 20).cast("string"), F.lit(',"heading":'), F.when(F.col("event_id") % 61 == 0, 365).otherwise(F.col("event_id") % 360).cast("string"))
+    fault = lambda name: F.coalesce(F.concat(F.lit(f',"{name}":"'), "fault_code", F.lit('"')), F.lit(""))
+    a1 = F.concat(F.lit('{"speed_mph":'), speed, F.lit(',"charge_fraction":'), share, F.lit(',"lat":'), lat, F.lit(',"lon":'), lon, F.lit(',"odo_miles":'), F.col("k").cast("string"), F.lit(',"harsh_brake":'), flag(F.col("harsh_brake")), F.lit(',"status":"'), running, F.lit('"'), more, fault("fault_code"), stamp, F.lit("}"))
+    meta = F.concat(F.lit(',"metadata":{"timestamp":"'), time, F.lit('","odo_miles":'), F.col("k").cast("string"), F.lit(',"status":"'), running, F.lit('"'), fault("fault_code"), F.lit("}}"))
+    a2 = F.concat(F.lit('{"data":{"speed_mph":'), speed, F.lit(',"charge_fraction":'), share, F.lit(',"lat":'), lat, F.lit(',"lon":'), lon, F.lit("}"), meta)
+    dotted = F.concat(F.lit('{"data.speed_mph":'), speed, F.lit(',"data.charge_fraction":'), share, F.lit(',"data.lat":'), lat, F.lit(',"data.lon":'), lon, F.lit(',"data":{"speed_mph":1}'), meta)
+    state = F.concat(F.lit('"velocity_kmh":'), speed, F.lit(',"battery_pct":'), soc, F.lit(',"gps_lat":'), lat, F.lit(',"gps_lon":'), lon, F.lit(',"ignition":'), flag(F.col("ignition") == "ON"), F.lit(',"distance_km":'), F.col("k").cast("string"), F.lit(',"gps_heading":'), (F.col("event_id") % 360).cast("string"), F.lit(',"harsh_braking":'), flag(F.col("harsh_brake")), F.lit(',"charging":'), flag(F.col("charging")), fault("fault"))
+    wrapped = F.when(F.col("event_id") % 31 == 0, F.concat(F.lit("{"), state)).otherwise(F.concat(F.lit('{"state":{'), state, F.lit("}")))
+    b1 = F.concat(wrapped, F.lit(',"time_measured":'), F.expr("cast(t_us div 1000 as string)"), F.lit("}"))
+    odometer = F.when(F.col("event_id") % 67 == 0, -5).otherwise(F.col("k")).cast("string")
+    c1 = F.concat(F.lit('{"vehicle_id":"'), F.col("vehicle_id").cast("string"), F.lit('","speed":'), speed, F.lit(',"soc":'), soc, F.lit(',"lat":'), lat, F.lit(',"lon":'), lon, F.lit(',"odometer":'), odometer, F.lit(',"status":"'), F.when(F.col("event_type") == "error", "PARKED").when(F.col("event_type") == "signup", "IDLE").otherwise("MOVING"), F.lit('"'), stamp, F.lit("}"))
+    body = F.when((F.col("vendor") == "A") & (F.col("k") % 2 == 0), a1).when((F.col("vendor") == "A") & (F.col("event_id") % 29 == 0), dotted).when(F.col("vendor") == "A", a2).when(F.col("vendor") == "B", b1).otherwise(c1)
+    return t.select("event_id", "vehicle_id", "fleet_id", "connection_id", "vendor", "t_us", "k", body.alias("payload"))
 
 
 _C = "((round({0} * 100)::BIGINT // 100) || '.' || lpad((round({0} * 100)::BIGINT % 100)::VARCHAR, 2, '0'))"
@@ -41,55 +49,85 @@ PAY = f"""{TEL}, q AS (SELECT *, CASE WHEN event_id % 59 = 0 THEN 'soon' ELSE st
     CASE WHEN event_id % 43 = 0 THEN '"fast"' WHEN event_id % 47 = 0 THEN {_C.format('(speed_kmh + 400)')} ELSE {_C.format('speed_kmh')} END AS sp,
     CASE WHEN event_id % 53 = 0 THEN '195' ELSE '51.' || lpad((5000 + k * 2)::VARCHAR, 4, '0') END AS la, '-0.' || lpad((1200 - event_id % 100)::VARCHAR, 4, '0') AS lo, (100 - k)::VARCHAR AS so,
     '0.' || lpad((100 - k - CASE WHEN k = 0 THEN 1 ELSE 0 END)::VARCHAR, 2, '0') AS fr FROM tel),
-q2 AS (SELECT *, CASE WHEN event_id % 41 = 0 THEN '' ELSE ',"timestamp":"' || tm || '"' END AS stamp FROM q),
-pay AS MATERIALIZED (SELECT event_id, vehicle_id, vendor, t_us, k, CASE WHEN vendor = 'A' AND k % 2 = 0 THEN
-      '{{"speed_mph":' || sp || ',"charge_fraction":' || fr || ',"lat":' || la || ',"lon":' || lo || ',"odo_miles":' || k || ',"harsh_brake":' || CASE WHEN harsh_brake THEN 'true' ELSE 'false' END || stamp || '}}'
-    WHEN vendor = 'A' THEN '{{"data":{{"speed_mph":' || sp || ',"charge_fraction":' || fr || ',"lat":' || la || ',"lon":' || lo || '}},"metadata":{{"timestamp":"' || tm || '","odo_miles":' || k || '}}}}'
-    WHEN vendor = 'B' THEN '{{"state":{{"velocity_kmh":' || sp || ',"battery_pct":' || so || ',"gps_lat":' || la || ',"gps_lon":' || lo || ',"ignition":' || CASE WHEN ignition = 'ON' THEN 'true' ELSE 'false' END || '}},"time_measured":' || (t_us // 1000) || '}}'
-    ELSE '{{"vehicle_id":"' || vehicle_id || '","speed":' || sp || ',"soc":' || so || ',"lat":' || la || ',"lon":' || lo || ',"status":"' || CASE event_type WHEN 'error' THEN 'PARKED' WHEN 'signup' THEN 'IDLE' ELSE 'MOVING' END || '"' || stamp || '}}' END AS payload FROM q2)"""
+q2 AS (SELECT *, CASE WHEN event_id % 41 = 0 THEN '' ELSE ',"timestamp":"' || tm || '"' END AS stamp, CASE event_type WHEN 'error' THEN 'stopped' WHEN 'signup' THEN 'towed' ELSE 'running' END AS run,
+    coalesce(',"fault_code":"' || fault_code || '"', '') AS fc FROM q),
+q3 AS (SELECT *, '{{"speed_mph":' || sp || ',"charge_fraction":' || fr || ',"lat":' || la || ',"lon":' || lo AS place, ',"metadata":{{"timestamp":"' || tm || '","odo_miles":' || k || ',"status":"' || run || '"' || fc || '}}}}' AS meta,
+    '"velocity_kmh":' || sp || ',"battery_pct":' || so || ',"gps_lat":' || la || ',"gps_lon":' || lo || ',"ignition":' || CASE WHEN ignition = 'ON' THEN 'true' ELSE 'false' END || ',"distance_km":' || k || ',"gps_heading":' || (event_id % 360)
+        || ',"harsh_braking":' || harsh_brake::VARCHAR || ',"charging":' || charging::VARCHAR || coalesce(',"fault":"' || fault_code || '"', '') AS state FROM q2),
+pay AS MATERIALIZED (SELECT event_id, vehicle_id, fleet_id, connection_id, vendor, t_us, k, CASE WHEN vendor = 'A' AND k % 2 = 0 THEN
+      place || ',"odo_miles":' || k || ',"harsh_brake":' || harsh_brake::VARCHAR || ',"status":"' || run || '","altitude":' || CASE WHEN event_id % 37 = 0 THEN 9500 ELSE k * 20 END || ',"heading":' || CASE WHEN event_id % 61 = 0 THEN 365 ELSE event_id % 360 END || fc || stamp || '}}'
+    WHEN vendor = 'A' AND event_id % 29 = 0 THEN '{{"data.speed_mph":' || sp || ',"data.charge_fraction":' || fr || ',"data.lat":' || la || ',"data.lon":' || lo || ',"data":{{"speed_mph":1}}' || meta
+    WHEN vendor = 'A' THEN '{{"data":' || place || '}}' || meta
+    WHEN vendor = 'B' THEN CASE WHEN event_id % 31 = 0 THEN '{{' || state ELSE '{{"state":{{' || state || '}}' END || ',"time_measured":' || (t_us // 1000) || '}}'
+    ELSE '{{"vehicle_id":"' || vehicle_id || '","speed":' || sp || ',"soc":' || so || ',"lat":' || la || ',"lon":' || lo || ',"odometer":' || CASE WHEN event_id % 67 = 0 THEN -5 ELSE k END || ',"status":"' || CASE event_type WHEN 'error' THEN 'PARKED' WHEN 'signup' THEN 'IDLE' ELSE 'MOVING' END || '"' || stamp || '}}' END AS payload FROM q3)"""
 
 
-def _type(path: str) -> str:
-    return f"(CASE json_type(payload, '{ct.json_path(path)}') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'other' WHEN 'ARRAY' THEN 'other' WHEN 'NULL' THEN NULL ELSE CASE WHEN json_type(payload, '{ct.json_path(path)}') IS NOT NULL THEN 'number' END END)"
+def _at(path: str) -> str:
+    """The value at a path: the literal key first."""
+    walked = f"json_extract(payload, '{ct.json_path(path)}')"
+    return f"CASE WHEN json_exists(payload, '$.\"{path}\"') THEN json_extract(payload, '$.\"{path}\"') ELSE {walked} END" if "." in path else walked
 
 
-def _text(path: str) -> str:
-    return f"json_extract_string(payload, '{ct.json_path(path)}')"
+def _type(path: str) -> str:
+    return f"(CASE json_type({_at(path)}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'other' WHEN 'ARRAY' THEN 'other' WHEN 'NULL' THEN NULL ELSE CASE WHEN json_type({_at(path)}) IS NOT NULL THEN 'number' END END)"
 
 
-def _error(f: ct.Field) -> str:
-    kind, value, text = _type(f.path), f"try_cast({_text(f.path)} AS DOUBLE)", _text(f.path)
-    if f.type == ct.TIME:
-        return f"CASE WHEN {kind} IS NOT NULL AND NOT CASE WHEN {kind} = 'number' THEN {value} > 0 WHEN {kind} = 'string' THEN length({text}) > 5 AND try_cast({text} AS TIMESTAMPTZ) IS NOT NULL ELSE false END THEN 'INVALID_TIME:{f.path}' END"
-    if f.type != ct.NUMBER:
-        return f"CASE WHEN {kind} <> '{f.type}' THEN 'TYPE_ERROR:{f.path}' END"
-    outside = " OR ".join([f"{value} < {f.low}"] * (f.low is not None) + [f"{value} > {f.high}"] * (f.high is not None)) or "false"
-    return f"CASE WHEN {kind} IS NULL THEN NULL WHEN {kind} <> 'number' THEN 'INVALID_VALUE:{f.path}' WHEN {outside} THEN '{'INVALID_COORDINATES' if f.place else 'INVALID_VALUE'}:{f.path}' END"
+def _text(path: str) -> str:
+    return f"(({_at(path)}) ->> '$')"
+
+
+#: The contracts as SQL rows, typed out: vendor, version, position, path, type, required, time, place, lower and upper bound.
+CONTRACT_ROWS = """('A', '2', 0, 'data.speed_mph', 'number', true, false, false, 0, 250), ('A', '2', 1, 'data.charge_fraction', 'number', true, false, false, 0, 1), ('A', '2', 2, 'data.lat', 'number', true, false, true, -90, 90),
+    ('A', '2', 3, 'data.lon', 'number', true, false, true, -180, 180), ('A', '2', 4, 'metadata.timestamp', 'string', true, true, false, NULL, NULL), ('A', '2', 5, 'metadata.odo_miles', 'number', false, false, false, 0, NULL),
+    ('A', '2', 6, 'metadata.status', 'string', false, false, false, NULL, NULL), ('A', '2', 7, 'metadata.fault_code', 'string', false, false, false, NULL, NULL),
+    ('A', '1', 0, 'speed_mph', 'number', true, false, false, 0, 250), ('A', '1', 1, 'charge_fraction', 'number', true, false, false, 0, 1), ('A', '1', 2, 'timestamp', 'string', true, true, false, NULL, NULL),
+    ('A', '1', 3, 'lat', 'number', false, false, true, -90, 90), ('A', '1', 4, 'lon', 'number', false, false, true, -180, 180), ('A', '1', 5, 'odo_miles', 'number', false, false, false, 0, NULL), ('A', '1', 6, 'status', 'string', false, false, false, NULL, NULL),
+    ('A', '1', 7, 'altitude', 'number', false, false, false, NULL, NULL), ('A', '1', 8, 'heading', 'number', false, false, false, NULL, NULL), ('A', '1', 9, 'harsh_brake', 'boolean', false, false, false, NULL, NULL), ('A', '1', 10, 'fault_code', 'string', false, false, false, NULL, NULL),
+    ('B', '1', 0, 'state.velocity_kmh', 'number', true, false, false, 0, 350), ('B', '1', 1, 'state.battery_pct', 'number', true, false, false, 0, 100), ('B', '1', 2, 'state.gps_lat', 'number', true, false, true, -90, 90),
+    ('B', '1', 3, 'state.gps_lon', 'number', true, false, true, -180, 180), ('B', '1', 4, 'time_measured', 'number', true, true, false, NULL, NULL), ('B', '1', 5, 'state.distance_km', 'number', false, false, false, NULL, NULL),
+    ('B', '1', 6, 'state.ignition', 'boolean', false, false, false, NULL, NULL), ('B', '1', 7, 'state.gps_heading', 'number', false, false, false, NULL, NULL), ('B', '1', 8, 'state.harsh_braking', 'boolean', false, false, false, NULL, NULL),
+    ('B', '1', 9, 'state.charging', 'boolean', false, false, false, NULL, NULL), ('B', '1', 10, 'state.fault', 'string', false, false, false, NULL, NULL),
+    ('C', '1', 0, 'vehicle_id', 'string', true, false, false, NULL, NULL), ('C', '1', 1, 'timestamp', 'string', true, true, false, NULL, NULL), ('C', '1', 2, 'speed', 'number', true, false, false, 0, 300), ('C', '1', 3, 'soc', 'number', true, false, false, 0, 100),
+    ('C', '1', 4, 'odometer', 'number', false, false, false, 0, NULL), ('C', '1', 5, 'lat', 'number', false, false, true, -90, 90), ('C', '1', 6, 'lon', 'number', false, false, true, -180, 180), ('C', '1', 7, 'status', 'string', false, false, false, NULL, NULL)"""
+#: The rules, typed out: vendor, version, position, path, signal, factor of numbers, codes of texts, range.
+RULE_ROWS = """('A', '1', 0, 'speed_mph', 'vehicle_speed', 1.60934, NULL, 0, 300), ('A', '1', 1, 'charge_fraction', 'battery_soc', 100, NULL, 0, 100), ('A', '1', 2, 'odo_miles', 'odometer', 1.60934, NULL, 0, 2000000),
+    ('A', '1', 3, 'status', 'ignition_status', NULL, '{"running":"ON","stopped":"OFF"}', NULL, NULL), ('A', '1', 4, 'lat', 'latitude', 1, NULL, -90, 90), ('A', '1', 5, 'lon', 'longitude', 1, NULL, -180, 180), ('A', '1', 6, 'altitude', 'altitude', 1, NULL, -500, 9000),
+    ('A', '1', 7, 'heading', 'heading', 1, NULL, 0, 360), ('A', '1', 8, 'harsh_brake', 'harsh_brake', NULL, '{"true":"YES","false":"NO"}', NULL, NULL), ('A', '1', 9, 'fault_code', 'fault_code', NULL, NULL, NULL, NULL), ('A', '1', 10, 'timestamp', 'event_time', NULL, NULL, NULL, NULL),
+    ('B', '1', 0, 'state.velocity_kmh', 'vehicle_speed', 1, NULL, 0, 300), ('B', '1', 1, 'state.battery_pct', 'battery_soc', 1, NULL, 0, 100), ('B', '1', 2, 'state.distance_km', 'odometer', 1, NULL, 0, 2000000), ('B', '1', 3, 'state.ignition', 'ignition_status', NULL, '{"true":"ON","false":"OFF"}', NULL, NULL),
+    ('B', '1', 4, 'state.gps_lat', 'latitude', 1, NULL, -90, 90), ('B', '1', 5, 'state.gps_lon', 'longitude', 1, NULL, -180, 180), ('B', '1', 6, 'state.gps_heading', 'heading', 1, NULL, 0, 360), ('B', '1', 7, 'state.harsh_braking', 'harsh_brake', NULL, '{"true":"YES","false":"NO"}', NULL, NULL),
+    ('B', '1', 8, 'state.charging', 'charging_state', NULL, '{"true":"CHARGING","false":"NOT_CHARGING"}', NULL, NULL), ('B', '1', 9, 'state.fault', 'fault_code', NULL, NULL, NULL, NULL),
+    ('A', '2', 0, 'data.speed_mph', 'vehicle_speed', 1.60934, NULL, 0, 300), ('A', '2', 1, 'data.charge_fraction', 'battery_soc', 100, NULL, 0, 100), ('A', '2', 2, 'metadata.odo_miles', 'odometer', 1.60934, NULL, 0, 2000000),
+    ('A', '2', 3, 'metadata.status', 'ignition_status', NULL, '{"running":"ON","stopped":"OFF"}', NULL, NULL), ('A', '2', 4, 'data.lat', 'latitude', 1, NULL, -90, 90), ('A', '2', 5, 'data.lon', 'longitude', 1, NULL, -180, 180), ('A', '2', 6, 'metadata.timestamp', 'event_time', NULL, NULL, NULL, NULL),
+    ('A', '2', 7, 'metadata.fault_code', 'fault_code', NULL, NULL, NULL, NULL),
+    ('C', '1', 0, 'speed', 'vehicle_speed', 1, NULL, 0, 300), ('C', '1', 1, 'soc', 'battery_soc', 1, NULL, 0, 100), ('C', '1', 2, 'odometer', 'odometer', 1, NULL, 0, 2000000), ('C', '1', 3, 'lat', 'latitude', 1, NULL, -90, 90), ('C', '1', 4, 'lon', 'longitude', 1, NULL, -180, 180),
+    ('C', '1', 5, 'timestamp', 'event_time', NULL, NULL, NULL, NULL), ('C', '1', 6, 'status', 'ignition_status', NULL, '{"MOVING":"ON","IDLE":"ON","PARKED":"OFF","CHARGING":"OFF"}', NULL, NULL)"""
+#: The value at a path of the table x: the literal key first, and vendor B's paths also without "state.".
+_FOUND = """CASE WHEN json_exists(payload, '$."' || path || '"') THEN json_extract(payload, '$."' || path || '"') ELSE json_extract(payload, '$.' || path) END"""
+_LOOSE = """CASE WHEN vendor = 'B' AND starts_with(path, 'state.') AND (v IS NULL OR json_type(v) = 'NULL') THEN json_extract(payload, '$.' || substr(path, 7)) ELSE v END"""
 
 
 def _detect() -> str:
-    version, verdict = [], []
-    for c in ct.CONTRACTS:
-        here = f"vendor = '{c.vendor}' AND " + " AND ".join(f"{_type(f.path)} IS NOT NULL" for f in c.fields if f.required)
-        version.append(f"WHEN {here} THEN '{c.version}'")
-        verdict.append(f"WHEN {here} THEN coalesce({', '.join(_error(f) for f in c.fields)}, 'OK')")
-    return f"{PAY}, det AS MATERIALIZED (SELECT *, CASE {' '.join(version)} END AS version, CASE {' '.join(verdict)} ELSE 'SCHEMA_CHANGE:' END AS verdict FROM pay)"
-
-
-def _normal() -> str:
-    columns = {s: [] for s in (*mp.NUMERIC, *mp.TEXT)}
-    factor = {"MPH_TO_KMH": " * 1.60934::DOUBLE", "MILES_TO_KM": " * 1.60934::DOUBLE", "FRACTION_TO_PERCENT": " * 100.0::DOUBLE"}
-    for (vendor, version), rules in mp.RULES.items():
-        for r in rules:
-            if r.signal in mp.NUMERIC:
-                value = f"try_cast({_text(r.path)} AS DOUBLE){factor.get(r.conversion, '')}"
-            else:
-                value = f"CASE {_text(r.path)} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in r.codes) + f" ELSE {_text(r.path)} END" if r.codes else _text(r.path)
-            columns[r.signal].append(f"WHEN vendor = '{vendor}' AND version = '{version}' THEN {value}")
-    wide = ", ".join(f"CASE WHEN verdict <> 'OK' THEN NULL {' '.join(c)} END AS {s}" for s, c in columns.items())
-    kind = lambda s: "INVALID_COORDINATES" if s in ("latitude", "longitude") else "INVALID_VALUE"
-    error = ", ".join(f"CASE WHEN {s} < {mp.RANGES[s][0]} OR {s} > {mp.RANGES[s][1]} THEN '{kind(s)}:{s}' END" for s in mp.NUMERIC)
-    return f"{_detect()}, w AS (SELECT *, {wide} FROM det), norm AS MATERIALIZED (SELECT * EXCLUDE (verdict), CASE WHEN verdict = 'OK' THEN coalesce({error}, 'OK') ELSE verdict END AS verdict FROM w)"
+    """Each payload against the fields of each contract of its vendor, as rows."""
+    return f"""{PAY}, ctr(vendor, version, pos, path, type, req, tm, place, lo, hi) AS (VALUES {CONTRACT_ROWS}),
+        f0 AS (SELECT event_id, payload, ctr.*, {_FOUND} AS v FROM pay JOIN ctr USING (vendor)), f1 AS (SELECT * EXCLUDE (v), {_LOOSE} AS v FROM f0),
+        f2 AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'other' WHEN 'ARRAY' THEN 'other' WHEN 'NULL' THEN NULL ELSE CASE WHEN v IS NOT NULL THEN 'number' END END AS kind, v ->> '$' AS txt FROM f1),
+        f3 AS (SELECT *, CASE WHEN kind IS NULL THEN NULL WHEN kind <> type THEN CASE type WHEN 'number' THEN 'INVALID_VALUE' ELSE 'TYPE_ERROR' END
+            WHEN type = 'number' AND (txt::DOUBLE < lo OR txt::DOUBLE > hi) THEN CASE WHEN place THEN 'INVALID_COORDINATES' ELSE 'INVALID_VALUE' END
+            WHEN tm AND NOT CASE WHEN type = 'number' THEN txt::DOUBLE > 0 ELSE length(txt) > 5 AND try_cast(txt AS TIMESTAMPTZ) IS NOT NULL END THEN 'INVALID_TIME' END || ':' || path AS err FROM f2),
+        fit AS (SELECT event_id, version, coalesce(arg_min(err, pos) FILTER (err IS NOT NULL), 'OK') AS verdict FROM f3 GROUP BY 1, 2 HAVING bool_and(NOT req OR kind IS NOT NULL)),
+        det AS MATERIALIZED (SELECT pay.*, best.version, coalesce(best.verdict, 'SCHEMA_CHANGE:') AS verdict FROM pay LEFT JOIN (SELECT event_id, max(version) AS version, arg_max(verdict, version) AS verdict FROM fit GROUP BY 1) best USING (event_id))"""
+
+
+def _normal(det: str = "det") -> str:
+    """The rules of the version that decided, as rows."""
+    number = ", ".join(f"max(num) FILTER (signal = '{s}') AS {s}" for s in mp.NUMERIC)
+    text = ", ".join(f"max(txt) FILTER (signal = '{s}') AS {s}" for s in mp.TEXT)
+    return f"""{_detect()}, rl(vendor, version, pos, path, signal, factor, codes, lo, hi) AS (VALUES {RULE_ROWS}),
+        r0 AS (SELECT event_id, payload, rl.*, {_FOUND} AS v FROM {det} d JOIN rl USING (vendor, version) WHERE verdict = 'OK'), r1 AS (SELECT * EXCLUDE (v), {_LOOSE} AS v FROM r0),
+        r2 AS (SELECT *, try_cast(v ->> '$' AS DOUBLE) * factor::DOUBLE AS num, coalesce(json_extract_string(codes, '$.' || (v ->> '$')), v ->> '$') AS txt FROM r1 WHERE v IS NOT NULL AND json_type(v) <> 'NULL'),
+        r3 AS (SELECT *, CASE WHEN factor IS NULL THEN NULL WHEN num IS NULL THEN 'TYPE_ERROR' WHEN num < lo OR num > hi THEN CASE WHEN signal IN ('latitude', 'longitude') THEN 'INVALID_COORDINATES' ELSE 'INVALID_VALUE' END END || ':' || signal AS err FROM r2),
+        sig AS (SELECT event_id, {number}, {text}, arg_min(err, pos) FILTER (err IS NOT NULL) AS err FROM r3 GROUP BY 1),
+        norm AS MATERIALIZED (SELECT d.* EXCLUDE (verdict), coalesce(err, verdict) AS verdict, {', '.join((*mp.NUMERIC, *mp.TEXT))} FROM {det} d LEFT JOIN sig USING (event_id))"""
 
 
 DETECTED, NORMAL = _detect(), _normal()
@@ -147,7 +185,7 @@ def _repair_sql() -> str:
     for signal, sources, _ in REPAIR:
         if signal == "event_time":
             columns.append(f"{first(sources, _text)} AS raw_time")
-            zoned = "regexp_matches(raw_time, '(Z|[+-]\\d\\d:?\\d\\d)$') AND try_cast(raw_time AS TIMESTAMPTZ) IS NOT NULL"
+            zoned = "regexp_matches(raw_time, '^\\d{4}-\\d\\d-\\d\\dT.*(?:Z|[+-]\\d\\d:\\d\\d)$') AND try_cast(raw_time AS TIMESTAMPTZ) IS NOT NULL"
             errors.append(f"CASE WHEN raw_time IS NULL THEN 'event_time:missing' WHEN NOT ({zoned}) THEN 'event_time:invalid' END")
         else:
             low, high = mp.RANGES[signal]
@@ -224,17 +262,16 @@ QUERIES = {
     "conflict_diff": conflict_diff,
 }
 
-_PREVIEW = NORMAL.replace("det AS MATERIALIZED (SELECT *, CASE", "det0 AS (SELECT *, CASE", 1).replace(", w AS (", ", det AS (SELECT * REPLACE (CASE WHEN vendor = 'A' AND k % 2 = 1 THEN '2' ELSE '1' END AS version, 'OK' AS verdict) FROM det0), w AS (", 1)
+_ASSUMED = ", assumed AS MATERIALIZED (SELECT * REPLACE (CASE WHEN vendor = 'A' AND k % 2 = 1 THEN '2' ELSE '1' END AS version, 'OK' AS verdict) FROM det), rl("
+_PREVIEW = _normal("assumed").replace(", rl(", _ASSUMED, 1)
 _REPAIRED = f"rep AS MATERIALIZED ({_repair_sql()})"
 ORACLES = {
-    "contract_catalog": "SELECT * FROM (VALUES "
-    + ", ".join(f"('{c.vendor}', '{c.version}', {i}, '{f.path}', '{f.type}', {str(f.required).lower()}, {'NULL' if f.low is None else f.low}::DOUBLE, {'NULL' if f.high is None else f.high}::DOUBLE)" for c in ct.CONTRACTS for i, f in enumerate(c.fields))
-    + ") t(vendor, version, position, path, type, required, low, high)",
+    "contract_catalog": f"SELECT vendor, version, pos::INT AS position, path, type, req AS required, tm AS is_time, place AS is_place, lo::DOUBLE AS low, hi::DOUBLE AS high FROM (VALUES {CONTRACT_ROWS}) t(vendor, version, pos, path, type, req, tm, place, lo, hi)",
     "contract_infer": "SELECT 'x1' AS format, path, type, true AS required, contains(path, 'lat') AS is_lat, contains(path, 'lon') AS is_lon, contains(path, 'time') AS is_time FROM (VALUES ('gps_lat', 'number'), ('gps_lon', 'number'), ('read_time', 'string'), ('level', 'number')) t(path, type)",
     "observed_structure": f"WITH {PAY} SELECT event_id, substr('[\"' || array_to_string(json_keys(payload), '\",\"') || '\"]', 1, 120) AS keys FROM pay",
     "repair_regression": f"WITH {_REPAIRED}, old AS MATERIALIZED (WITH {NORMAL} SELECT event_id, vehicle_speed FROM norm WHERE verdict = 'OK') SELECT event_id, old.vehicle_speed AS old, rep.vehicle_speed AS new, CASE WHEN abs(old.vehicle_speed - rep.vehicle_speed) <= 0.05 THEN 'same' ELSE 'changed' END AS outcome FROM old JOIN rep USING (event_id)",
     "repair_select": f"WITH {_REPAIRED}, own AS MATERIALIZED (WITH {DETECTED} SELECT event_id, verdict FROM det) SELECT event_id, CASE WHEN verdict = 'OK' THEN 'contract' WHEN errors = '' THEN 'repair' ELSE 'quarantine' END AS path FROM own LEFT JOIN rep USING (event_id)",
-    "nested_path": f"WITH {PAY} SELECT event_id, json_extract_string(payload, '$.data.speed_mph') AS nested, json_extract_string(payload, '$.speed_mph') AS flat, '1' AS dotted, '5' AS indexed FROM pay",
+    "nested_path": f"WITH {PAY} SELECT event_id, {_text('data.speed_mph')} AS nested, json_extract_string(payload, '$.speed_mph') AS flat, '1' AS dotted, '5' AS indexed FROM pay",
     "contract_validate": f"WITH {DETECTED} SELECT event_id, verdict FROM det",
     "format_detect": f"WITH {DETECTED} SELECT event_id, vendor, version FROM det",
     "normalize_verdict": f"WITH {NORMAL} SELECT event_id, verdict FROM norm",

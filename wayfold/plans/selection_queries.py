@@ -54,14 +54,34 @@ def publish_gate(s, d):
     return sl.publish_gate(drafts, results)
 
 
-def refresh_queue(s, d):
-    """A trip changes with every purchase, a vehicle with every other event."""
+def _changes(s, d):
+    """A trip changes with every purchase, a vehicle with every other event, and errors quarantine something."""
     t = telemetry(s, d)
     trip = F.col("event_type") == "purchase"
-    changes = t.select(F.when(trip, "trip").otherwise("vehicle").alias("kind"), F.when(trip, F.floor(F.col("event_id") / 10)).otherwise(F.col("vehicle_id")).cast("long").alias("entity_id"), F.when(F.col("event_id") % 13 != 0, F.col("vehicle_id")).alias("vehicle_id"), F.col("t_us").alias("changed_us"))
-    queue = sl.refresh_queue(changes)
-    now = changes.where("vehicle_id IS NOT NULL").agg(F.max("changed_us")).first()[0]
-    return sl.refresh_due(queue, F.lit(now), 600_000_000, 3_000_000_000)
+    kind = F.when(trip, "trip").when(F.col("event_type") == "error", "quarantine").otherwise("vehicle")
+    return t.select(kind.alias("kind"), F.when(trip, F.floor(F.col("event_id") / 10)).otherwise(F.col("vehicle_id")).cast("long").alias("entity_id"), F.when(F.col("event_id") % 13 != 0, F.col("vehicle_id")).alias("vehicle_id"), F.col("t_us").alias("changed_us"))
+
+
+def _queue(s, d):
+    changes = _changes(s, d)
+    trips = changes.where("kind = 'trip' AND vehicle_id % 2 = 0").select(F.col("entity_id").alias("trip_id"), "vehicle_id").distinct()
+    return sl.refresh_queue(changes, trips), changes.where("vehicle_id IS NOT NULL").agg(F.max("changed_us").alias("now")).scalar()
+
+
+def refresh_queue(s, d):
+    """The queue at the time of the last change, and what is due by then."""
+    queue, now = _queue(s, d)
+    return sl.refresh_due(queue, now, 600_000_000, 3_000_000_000)
+
+
+def refresh_schedule(s, d):
+    """The queue after a pass of 40, of which some fail and some have changed meanwhile."""
+    queue, now = _queue(s, d)
+    number = F.col("entity_id").cast("long")
+    queue = queue.withColumns({"attempts": (number % 10).cast("int"), "retry_us": F.when(number % 6 == 0, now + 1).otherwise(F.lit(None).cast("long"))})
+    picked = sl.refresh_pick(queue, now, 40, 600_000_000, 3_000_000_000)
+    results = picked.select("kind", "entity_id", (F.col("generation") - F.when(number % 5 == 0, 1).otherwise(0)).alias("generation"), (number % 3 == 0).alias("failed"))
+    return sl.refresh_acknowledge(queue, results, now)
 
 
 def _profile_sql() -> str:
@@ -75,12 +95,20 @@ def _profile_sql() -> str:
         SELECT event_id, CASE WHEN problem IS NULL THEN coalesce(forced_id, active_id) END AS profile_id, problem FROM z"""
 
 
+_QUEUE = f"""{TEL}, ch AS MATERIALIZED (SELECT CASE event_type WHEN 'purchase' THEN 'trip' WHEN 'error' THEN 'quarantine' ELSE 'vehicle' END AS kind, CASE WHEN event_type = 'purchase' THEN event_id // 10 ELSE vehicle_id END AS entity_id, vehicle_id, t_us FROM tel WHERE event_id % 13 <> 0),
+    tr AS (SELECT DISTINCT entity_id AS trip_id, vehicle_id FROM ch WHERE kind = 'trip' AND vehicle_id % 2 = 0),
+    u AS (SELECT 'vehicle' AS kind, vehicle_id::VARCHAR AS entity_id, vehicle_id, t_us FROM ch UNION ALL SELECT 'trip', entity_id::VARCHAR, vehicle_id, t_us FROM ch WHERE kind = 'trip'
+        UNION ALL SELECT 'trip', trip_id::VARCHAR, vehicle_id, t_us FROM tr JOIN ch USING (vehicle_id) WHERE kind = 'quarantine'),
+    q AS MATERIALIZED (SELECT kind, entity_id, max(vehicle_id) AS vehicle_id, count(*) AS generation, min(t_us) AS first_us, max(t_us) AS last_us FROM u GROUP BY 1, 2)"""
+
+
 QUERIES = {
     "tenant_check": tenant_check,
     "profile_resolution": profile_resolution,
     "live_repair": live_repair,
     "publish_gate": publish_gate,
     "refresh_queue": refresh_queue,
+    "refresh_schedule": refresh_schedule,
 }
 ORACLES = {
     "tenant_check": f"""WITH {TEL}, c AS (SELECT DISTINCT connection_id, fleet_id FROM tel WHERE NOT (fleet_id = 3 AND vendor = 'C'))
@@ -88,12 +116,15 @@ ORACLES = {
     "profile_resolution": _profile_sql(),
     "live_repair": f"""WITH {PAY} SELECT event_id, CASE WHEN vendor = 'A' THEN CASE
             WHEN event_id % 4 = 0 AND json_exists(payload, '$.lat') AND (json_exists(payload, '$.timestamp') OR json_exists(payload, '$.time')) THEN 'r2'
-            WHEN json_exists(payload, '$.speed_mph') OR json_exists(payload, '$.data.speed_mph') THEN 'r1' END
+            WHEN json_exists(payload, '$.speed_mph') OR json_exists(payload, '$.data.speed_mph') OR json_exists(payload, '$."data.speed_mph"') THEN 'r1' END
         WHEN vendor = 'C' THEN CASE WHEN json_extract_string(payload, '$.status') = 'IDLE' AND json_exists(payload, '$.speed') THEN 'r4' WHEN event_id % 4 = 0 AND json_exists(payload, '$.soc') THEN 'r5' END END AS repair_id FROM pay""",
     "publish_gate": f"""WITH {TEL}, g AS (SELECT vehicle_id AS v, count(*) FILTER (event_type <> 'view' AND k > 3) AS passed, count(*) FILTER (event_type = 'view' AND k <= 3) AS broken FROM tel GROUP BY 1)
         SELECT v AS draft_id, CASE WHEN v % 7 = 0 OR v % 4 = 0 THEN 'CONFLICT' WHEN v % 5 = 0 THEN 'UNTESTED' WHEN passed = 0 OR broken > 0 THEN 'TESTS_FAILED' ELSE 'PUBLISHED' END AS verdict FROM g""",
-    "refresh_queue": f"""WITH {TEL}, u AS (SELECT 'vehicle' AS kind, vehicle_id::VARCHAR AS entity_id, vehicle_id, t_us FROM tel WHERE event_id % 13 <> 0
-            UNION ALL SELECT 'trip', (event_id // 10)::VARCHAR, vehicle_id, t_us FROM tel WHERE event_id % 13 <> 0 AND event_type = 'purchase'),
-        q AS (SELECT kind, entity_id, max(vehicle_id) AS vehicle_id, count(*) AS generation, min(t_us) AS first_us, max(t_us) AS last_us FROM u GROUP BY 1, 2)
-        SELECT *, last_us <= (SELECT max(last_us) FROM q) - 600000000 OR first_us <= (SELECT max(last_us) FROM q) - 3000000000 AS due FROM q""",
+    "refresh_queue": f"""WITH {_QUEUE} SELECT *, generation = 1 OR last_us <= (SELECT max(last_us) FROM q) - 600000000 OR first_us <= (SELECT max(last_us) FROM q) - 3000000000 AS due FROM q""",
+    "refresh_schedule": f"""WITH {_QUEUE}, n AS (SELECT max(last_us) AS now FROM q), a AS (SELECT q.*, now, entity_id::BIGINT AS c, (c % 10)::INT AS attempts, CASE WHEN c % 6 = 0 THEN now + 1 END AS retry_us FROM q, n),
+        due AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY first_us, entity_id) AS place FROM a WHERE coalesce(retry_us <= now, true) AND (generation = 1 OR last_us <= now - 600000000 OR first_us <= now - 3000000000)),
+        res AS (SELECT kind, entity_id, generation - CASE WHEN c % 5 = 0 THEN 1 ELSE 0 END AS read, c % 3 = 0 AS failed FROM due WHERE place <= 20)
+        SELECT kind, entity_id, vehicle_id, generation, first_us, last_us, CASE WHEN failed AND read = generation THEN attempts + 1 ELSE attempts END AS attempts,
+            CASE WHEN failed AND read = generation THEN now + 1000000 * CASE WHEN attempts + 1 >= 8 THEN 256 ELSE (1 << (attempts + 1)) END ELSE retry_us END AS retry_us
+        FROM a LEFT JOIN res USING (kind, entity_id) WHERE NOT coalesce(read = generation AND NOT failed, false)""",
 }

@@ -108,10 +108,13 @@ def trip_quality(s, d):
     return viable(s, d).join(g, "trip_id").select("trip_id", F.array_join(F.array_distinct(issues), ",").alias("issues"))
 
 
-def vehicle_trips(s, d):
-    """Trips with their events counted."""
+FIRST_DAY, LAST_DAY = "1970-03-19", "1970-03-20"
+
+
+def vehicle_trips(s, d, first: str | None = None, last: str | None = None):
+    """Trips with their events counted, of all days or of those from one to another."""
     counts = events(s, d).groupBy("trip_id").agg(F.count("*").alias("events"), F.count_if(F.col("kind") == "HARSH_BRAKE").alias("harsh_brakes"))
-    t = viable(s, d)
+    t = op.in_dates(viable(s, d), "started_us", first, last)
     return t.join(counts, "trip_id", "left").select("trip_id", "vehicle_id", "trip_number", "distance_km", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("harsh_brakes", F.lit(0)).alias("harsh_brakes"))
 
 
@@ -142,9 +145,13 @@ def trip_quarantine_range(s, d):
 
 
 def dirty_ranges(s, d):
-    """The span to rebuild for each vehicle with late events, half an hour either way."""
-    late = telemetry(s, d).where("event_id % 31 = 0")
-    return late.groupBy("vehicle_id").agg((F.min("t_us") - 1800 * SECOND).alias("from_us"), (F.max("t_us") + 1800 * SECOND).alias("to_us"), F.count("*").alias("jobs"))
+    """The disjoint spans to rebuild for each vehicle with late events, half an hour either way and from the start of a trip."""
+    return op.rebuild_ranges(telemetry(s, d).where("event_id % 31 = 0").select("vehicle_id", "t_us"), viable(s, d))
+
+
+def daily_summary_read(s, d):
+    """The newest 30 days of each vehicle up to some day."""
+    return op.newest_days(op.daily_summary(viable(s, d), events(s, d)), FIRST_DAY, None).select("vehicle_id", "day", "place", "trips", "distance_km")
 
 
 def gps_speed(s, d):
@@ -171,6 +178,8 @@ QUERIES = {
     "daily_summary": lambda s, d: op.daily_summary(viable(s, d), events(s, d)),
     "trip_quality": trip_quality,
     "vehicle_trips": vehicle_trips,
+    "vehicle_trips_dated": lambda s, d: vehicle_trips(s, d, FIRST_DAY, LAST_DAY),
+    "daily_summary_read": daily_summary_read,
     "trip_page": trip_page,
     "vehicle_stats": vehicle_stats,
     "trip_reconcile": trip_reconcile,
@@ -224,5 +233,13 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY p.trip_id ORDER BY abs(p.started_us - f.started_us) NULLS LAST, f.started_us, f.trip_id) = 1""",
     "trip_quarantine_range": f"""WITH {TRIPS} SELECT trip_id, count(*) AS rejected, min(event_id) AS first_event FROM trips t JOIN tel b ON t.vehicle_id = b.vehicle_id AND b.t_us BETWEEN started_us AND ended_us
         WHERE b.speed_kmh > 250 GROUP BY 1""",
-    "dirty_ranges": f"WITH {TEL} SELECT vehicle_id, min(t_us) - 1800000000 AS from_us, max(t_us) + 1800000000 AS to_us, count(*) AS jobs FROM tel WHERE event_id % 31 = 0 GROUP BY 1",
+    "dirty_ranges": f"""WITH {TRIPS}, l AS (SELECT vehicle_id, t_us - 1800000000 AS f, t_us + 1800000000 AS t FROM tel WHERE event_id % 31 = 0),
+        s1 AS (SELECT *, coalesce(f > max(t) OVER (PARTITION BY vehicle_id ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM l),
+        s2 AS (SELECT *, sum(fresh) OVER (PARTITION BY vehicle_id ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS span FROM s1), s3 AS (SELECT vehicle_id, min(f) AS f, max(t) AS t, count(*) AS n FROM s2 GROUP BY vehicle_id, span),
+        w AS (SELECT vehicle_id, least(f, coalesce((SELECT min(started_us) FROM trips x WHERE x.vehicle_id = s3.vehicle_id AND f BETWEEN started_us AND ended_us), f)) AS f, t, n FROM s3),
+        w1 AS (SELECT *, coalesce(f > max(t) OVER (PARTITION BY vehicle_id ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM w),
+        w2 AS (SELECT *, sum(fresh) OVER (PARTITION BY vehicle_id ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS span FROM w1)
+        SELECT vehicle_id, min(f) AS from_us, max(t) AS to_us, sum(n)::BIGINT AS jobs FROM w2 GROUP BY vehicle_id, span""",
 }
+ORACLES["vehicle_trips_dated"] = f"SELECT * FROM ({ORACLES['vehicle_trips']}) WHERE trip_id IN (WITH {TRIPS} SELECT trip_id FROM trips WHERE started_us >= epoch_us(TIMESTAMP '1970-03-19') AND started_us <= epoch_us(TIMESTAMP '1970-03-20 23:59:59'))"
+ORACLES["daily_summary_read"] = f"SELECT vehicle_id, day, place::INT AS place, trips, distance_km FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY day DESC) AS place FROM ({ORACLES['daily_summary']}) WHERE day >= '1970-03-19') WHERE place <= 30"

@@ -2,36 +2,65 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayfold.operators import ingest, trips
 
 
-def deduplicated(events: DataFrame) -> DataFrame:
-    """Exact verdicts of a stream, by a fold of each connection over its stored ids and hashes.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Deduplicator(StatefulProcessor):
+    """What a connection has stored, by hash, by id and by both; a batch looks up and adds only what its rows name."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.by_hash = handle.getMapState("by_hash", "hash string", "owner long")
+        self.by_id = handle.getMapState("by_id", "id string", "owner long")
+        self.by_both = handle.getMapState("by_both", "id string, hash string", "owner long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows)).sort_values("event_key")
+        verdicts, owners = [], []
+        for event, source, digest in zip(fresh["event_key"], fresh["source_event_id"], fresh["payload_hash"], strict=True):
+            event, named = int(event), isinstance(source, str)
+            if named and self.by_both.containsKey((source, digest)):
+                verdict, owner = ingest.DUPLICATE, self.by_both.getValue((source, digest))[0]
+            elif named and self.by_id.containsKey((source,)):
+                verdict, owner = ingest.CONFLICT, event
+            elif self.by_hash.containsKey((digest,)):
+                verdict, owner = ingest.DUPLICATE, self.by_hash.getValue((digest,))[0]
+            else:
+                verdict, owner = ingest.NEW, event
+            if verdict != ingest.DUPLICATE:
+                if named:
+                    self.by_both.updateValue((source, digest), (event,))
+                    if verdict == ingest.NEW:
+                        self.by_id.updateValue((source,), (event,))
+                if not self.by_hash.containsKey((digest,)):
+                    self.by_hash.updateValue((digest,), (event,))
+            verdicts.append(verdict)
+            owners.append(int(owner))
+        yield fresh.assign(verdict=verdicts, owner=owners)[["event_key", "connection_id", "source_event_id", "payload_hash", "verdict", "owner"]]
+
+    def close(self) -> None:
+        pass
 
-    The state keeps what a connection has stored, without a time limit, as late events are always accepted.
-    """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored = pd.DataFrame(json.loads(state.get[0]) if state.exists else [], columns=["event_key", "connection_id", "source_event_id", "payload_hash"])
-        fresh = pd.concat(list(batches)).sort_values("event_key")
-        # stored events come first and keep their verdicts: each was new or a conflict
-        both = pd.concat([stored, fresh[stored.columns]], ignore_index=True)
-        out = ingest.fold_one(both)
-        kept = out[out["verdict"] != ingest.DUPLICATE]
-        state.update((json.dumps(kept[stored.columns].values.tolist()),))
-        yield out.iloc[len(stored) :]
+def deduplicated(events: DataFrame) -> DataFrame:
+    """Exact verdicts of a stream, by what each connection has stored, as maps in RocksDB.
 
+    The state has no time limit, as late events are always accepted; a batch costs what its rows cost, whatever the history.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = events.select("event_key", "connection_id", "source_event_id", "payload_hash")
-    return rows.groupBy("connection_id").applyInPandasWithState(step, ingest.FOLD_SCHEMA, "stored string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("connection_id").transformWithStateInPandas(_Deduplicator(), ingest.FOLD_SCHEMA, "Append", "none")
 
 
 def current_values(signals: DataFrame) -> DataFrame:
