@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -30,18 +31,23 @@ QUERY_TERMS = 16
 END = 0
 K1, B = 1.2, 0.75
 RANKS = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks: the same ids, several times faster
+TOKENIZER = "byte_bpe_50k.json"
 
 
 @functools.cache
-def encoder(ranks: str = RANKS) -> tiktoken.Encoding:
+def encoder(ranks: str = RANKS, tokenizer: str = TOKENIZER) -> tiktoken.Encoding:
+    """The vocabulary, with the added tokens of the tokenizer's file, which are found in texts too."""
     with open(public_tokenizers.path(ranks), "rb") as f:
         pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+    with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    pairs = {piece: i for piece, i in pairs.items() if i not in added.values()}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens=added)
 
 
 def token_ids(text: str) -> np.ndarray:
     """The ids of a text and the closing id."""
-    return np.append(encoder().encode_to_numpy(text, disallowed_special=()), END).astype(np.uint16)
+    return np.append(encoder().encode_to_numpy(text, allowed_special="all"), END).astype(np.uint16)
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
