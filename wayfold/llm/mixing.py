@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm._store import saved
+from wayfold.llm._store import Scratch, saved
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 12
+SWEEPS_A_PLAN = 3
 SMALL = 100_000  # cells
 SOURCE_POWER, LANGUAGE_POWER, TOPIC_POWER = 0.5, 0.7, 1.0
 UNKNOWN = "unknown"
@@ -62,11 +63,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
         current = current.join(share, margin, "left").withColumn(f"target_{margin}", F.coalesce(f"target_{margin}", F.lit(0.0)))
     if cells.count() <= SMALL:
         current = current.coalesce(1)
-    for _ in range(sweeps):
-        for margin in targets:
-            now = F.sum("raked").over(Window.partitionBy(margin))
-            current = current.withColumn("raked", F.when(now > 0, F.col("raked") * F.col(f"target_{margin}") / now * F.col("whole")).otherwise(0.0))
-    return saved(current.select(*cells.columns, "raked"))
+    with Scratch(cells.sparkSession) as scratch:
+        for k in range(sweeps):
+            if k and k % SWEEPS_A_PLAN == 0:
+                current = scratch.saved(current)  # a plan of all sweeps is too deep to be sent to tasks with small stacks
+            for margin in targets:
+                now = F.sum("raked").over(Window.partitionBy(margin))
+                current = current.withColumn("raked", F.when(now > 0, F.col("raked") * F.col(f"target_{margin}") / now * F.col("whole")).otherwise(0.0))
+        return scratch.kept(current.select(*cells.columns, "raked"))
 
 
 def to_share(raked: DataFrame, share: float) -> DataFrame:
