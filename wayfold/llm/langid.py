@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 DIMENSIONS = 8192
 ROWS = 25_600
 LARGE = 10_000
+LANDMARKS = 1024
 UNDETERMINED = "und"
 _BATCH = 256
 
@@ -51,24 +52,46 @@ def presence(texts: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Landmark vectors, and the weight of each landmark for each language."""
+    """Landmark vectors, and the weight of each landmark for each language.
 
-    def __init__(self, x: np.ndarray, labels: list[str], landmarks: int = 32, ridge: float = 1e-2):
+    ``x``: rows of presence(), or such rows' bits (packed, 8 a byte). At most ``in_all`` landmarks are taken: the first row
+    of each language, then the second, and so on to ``landmarks`` of each, so the square matrix is bounded whatever the
+    number of languages; one without landmarks of its own is told by the others'. Rows are gone through in blocks.
+    """
+
+    def __init__(self, x: np.ndarray, labels: list[str], landmarks: int = 32, ridge: float = 1e-2, in_all: int = LANDMARKS):
         self.languages = sorted(set(labels))
-        y = np.array([self.languages.index(v) for v in labels])
+        place = {v: k for k, v in enumerate(self.languages)}
+        y = np.array([place[v] for v in labels], np.int64)
         if len(self.languages) == 0:
             self.landmarks, self.weights = np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, 0))
             return
-        chosen = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(self.languages))])
-        self.landmarks = x[chosen]
+
+        def rows(at: np.ndarray) -> np.ndarray:
+            if x.dtype != np.uint8:
+                return x[at]
+            bits = np.unpackbits(x[at], axis=1).astype(np.float32)
+            return bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
+
+        order = np.argsort(y, kind="stable")
+        nth = np.empty(len(y), np.int64)
+        nth[order] = np.arange(len(y)) - np.searchsorted(y[order], y[order])
+        first = np.lexsort((y, nth))
+        chosen = first[nth[first] < landmarks][:in_all]
+        self.landmarks = rows(chosen[np.lexsort((nth[chosen], y[chosen]))])
         inner = (self.landmarks @ self.landmarks.T).astype(np.float64)
         value, vector = np.linalg.eigh(inner)
         root = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
-        z = (x @ self.landmarks.T).astype(np.float64) @ root
-        z = np.hstack([z, np.ones((len(z), 1))])
-        weight = 1 / np.bincount(y)[y]  # each language counts alike
-        target = np.where(y[:, None] == np.arange(len(self.languages)), 1.0, -1.0)
-        solved = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * np.eye(z.shape[1]) / len(chosen), z.T @ (target * weight[:, None]))
+        size, n = np.bincount(y), len(chosen) + 1
+        left, right = np.zeros((n, n)), np.zeros((n, len(self.languages)))
+        for at in range(0, len(y), _BATCH):
+            own = y[at : at + _BATCH]
+            z = (rows(np.arange(at, at + len(own))) @ self.landmarks.T).astype(np.float64) @ root
+            z = np.hstack([z, np.ones((len(z), 1))])
+            weighted = (z / size[own][:, None]).T  # each language counts alike
+            left += weighted @ z
+            right += weighted @ np.where(own[:, None] == np.arange(len(self.languages)), 1.0, -1.0)
+        solved = np.linalg.solve(left + ridge * np.eye(n) / len(chosen), right)
         self.weights, self.bias = root @ solved[:-1], solved[-1]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -102,8 +125,8 @@ def fit(docs: DataFrame, training: Column, per_language: int = 400) -> Model:
 
     rows = sample.mapInArrow(pack, "lang string, n int, bits binary").collect()
     rows = sorted(rows, key=lambda r: (r.lang, r.n))
-    x = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows], np.float32).reshape(-1, DIMENSIONS)
-    return Model(x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)), [r.lang for r in rows])
+    x = np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(-1, DIMENSIONS // 8)
+    return Model(x, [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
