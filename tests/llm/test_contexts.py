@@ -33,7 +33,6 @@ def spelled(text):
 
 def test_scores_are_those_of_all_contexts_and_bytes(spark, monkeypatch):
     """Over several buckets and parts; contexts count however rare, and no bytes share a class."""
-    monkeypatch.setattr(ppm, "RARE", 0.5)
     r = random.Random(3)
     letters = [chr(c) for c in (*range(32, 127), *range(0xC0, 0x180))]
     lines = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "", "The cat"] * 3 + ["".join(r.choices(letters, k=200)) for _ in range(30)]

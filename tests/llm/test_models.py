@@ -71,47 +71,6 @@ def test_scores_against_brute_force(spark, sf_dir, texts):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(x), sum(c[w] > 0 for w in x), n)
 
 
-def plain_log10(counts, history, symbol):
-    """Escapes and exclusion as they are defined, a symbol at a time."""
-    excluded, total = set(), 0.0
-    for k in range(len(history), -1, -1):
-        here = counts.get(history[len(history) - k :])
-        if here is None:
-            continue
-        seen = {s: 2 * n - 1 for s, n in here.items() if s not in excluded}
-        if not seen:
-            continue
-        left = ppm.SYMBOLS - len(excluded)
-        escape = len(seen) if len(seen) < left else 0
-        if symbol in seen:
-            return total + math.log10(seen[symbol] / (sum(seen.values()) + escape))
-        total += math.log10(escape / (sum(seen.values()) + escape))
-        excluded |= set(seen)
-    return total - math.log10(ppm.SYMBOLS - len(excluded))
-
-
-def test_trie_against_plain_escapes(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "RARE", 0.0)
-    lines = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", ""]
-    classes, inner, trie = ppm.train(spark.createDataFrame([(x,) for x in lines], "text string"))
-    counts: dict = collections.defaultdict(collections.Counter)
-    for x in lines:
-        s = tuple(ppm.symbols(x.encode(), classes).tolist())
-        for i in range(ppm.ORDER, len(s)):
-            for k in range(ppm.ORDER + 1):
-                counts[s[i - k : i]][s[i]] += 1
-    for x in [*lines, "the cog sat", "zebra", "mat the on"]:
-        s = tuple(ppm.symbols(x.encode(), classes).tolist())
-        want = sum(plain_log10(counts, s[i - ppm.ORDER : i], s[i]) for i in range(ppm.ORDER, len(s)))
-        assert math.isclose(trie.log10(np.array(s, np.uint8)), want, rel_tol=1e-5)
-
-
-def test_probabilities_sum_to_one(documents):
-    _, _, trie = ppm.train(documents)
-    p = 10.0 ** trie.value.reshape(-1, ppm.SYMBOLS)[1:].astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
-
-
 def test_scores_of_odd_rows(odd):
     rows = ppm.score(odd, F.coalesce(F.col("doc_id"), F.lit(0)) == 6)
     assert rows.count() == odd.count()
@@ -207,3 +166,17 @@ def test_the_sample_is_the_same_whichever_languages_are_thinned(spark, documents
     assert model.languages == sorted({r.lang for r in first})
     bits = langid.presence([r.text for r in first]) > 0
     assert ((model.landmarks > 0) == bits).all()
+
+
+def test_landmarks_are_bounded_in_all():
+    r = np.random.default_rng(0)
+    labels = [f"l{k:03d}" for k in range(300) for _ in range(3)]
+    centres = r.random((300, langid.DIMENSIONS)) < 0.02
+    bits = np.stack([np.where(r.random(langid.DIMENSIONS) < 0.1, r.random(langid.DIMENSIONS) < 0.02, centres[k // 3]) for k in range(900)])
+    model = langid.Model(np.packbits(bits, axis=1), labels, in_all=310)
+    assert len(model.landmarks) == 310 and len(model.languages) == 300
+    x = bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
+    out = (x.astype(np.float32) @ model.landmarks.T).astype(np.float64) @ model.weights + model.bias
+    assert (out.argmax(1) == np.repeat(np.arange(300), 3)).mean() > 0.98
+    plain = langid.Model(x.astype(np.float32), labels, in_all=310)
+    assert np.allclose(plain.weights, model.weights, atol=1e-3)

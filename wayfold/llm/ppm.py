@@ -7,8 +7,7 @@ longer contexts are excluded from the shorter ones, as an escape has ruled them
 
 Size: no context is left out, so the counts grow with the corpus. They are never in one place: buckets of text send their
 distinct grams and counts to the parts that own them, which answer with code lengths (module ``contexts``). Only grams of
-two bytes and a symbol come to the driver, at most 256**3. ``train`` and ``Trie`` are a model bounded to SYMBOLS classes
-and to contexts of RARE of the training bytes; ``score`` doesn't use them.
+two bytes and a symbol come to the driver, at most 256**3.
 """
 
 from __future__ import annotations
@@ -25,10 +24,6 @@ from wayfold.llm import contexts
 from wayfold.llm._exchange import bucketed, split_by_part, texts
 from wayfold.llm._hashing import word_hashes
 
-SYMBOLS = 64
-ORDER = 6
-DENSE = 3
-RARE = 4e-6
 _CHUNK = 4 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)  # the hash that stands for the end token
@@ -38,174 +33,11 @@ def lowered(raw: bytes) -> bytes:
     return raw.translate(_LOWER)
 
 
-def byte_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each byte, and log10 of its share within its class (0 unless it is in the last class)."""
-    order = np.lexsort((np.arange(256), -counts))
-    classes, inner = np.full(256, SYMBOLS - 1, np.uint8), np.zeros(256)
-    classes[order[: SYMBOLS - 2]] = np.arange(1, SYMBOLS - 1)
-    rare = order[SYMBOLS - 2 :]
-    inner[rare] = np.log10((counts[rare] + 0.5) / (counts[rare] + 0.5).sum())
-    return classes, inner
-
-
-def symbols(raw: bytes, classes: np.ndarray) -> np.ndarray:
-    """ORDER ends of text, the class of each byte, and the end."""
-    s = np.zeros(len(raw) + ORDER + 1, np.uint8)
-    s[ORDER:-1] = classes[np.frombuffer(raw, np.uint8)]
-    return s
-
-
-def grams(s: np.ndarray, width: int) -> np.ndarray:
-    """The ``width`` symbols up to each byte and the end, as one number."""
-    n = len(s) - ORDER
-    x = s[ORDER - width + 1 : ORDER - width + 1 + n].astype(np.int64)
-    for k in range(1, width):
-        x *= SYMBOLS
-        x += s[ORDER - width + 1 + k : ORDER - width + 1 + k + n]
-    return x
-
-
-class Trie:
-    """Contexts by the symbols read backwards, with the log10 probability of each symbol after each context."""
-
-    def __init__(self, counted: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """``counted``: for each order from DENSE, the numbers of the kept (context, symbol) and their counts."""
-        contexts, rows = {}, {}
-        for k, (code, n) in counted.items():
-            contexts[k], at = np.unique(code // SYMBOLS, return_inverse=True)
-            rows[k] = np.zeros((len(contexts[k]), SYMBOLS), np.int64)
-            rows[k][at, code % SYMBOLS] = n
-        for k in range(DENSE - 1, -1, -1):
-            contexts[k], at = np.unique(contexts[k + 1] % SYMBOLS**k, return_inverse=True)
-            rows[k] = np.zeros((len(contexts[k]), SYMBOLS), np.int64)
-            np.add.at(rows[k], at, rows[k + 1])
-        if not len(contexts[0]):
-            contexts[0], rows[0] = np.zeros(1, np.int64), np.zeros((1, SYMBOLS), np.int64)
-        first = {k: 1 + sum(len(contexts[j]) for j in range(k)) for k in range(ORDER + 2)}
-        shorter = {k: np.searchsorted(contexts[k - 1], contexts[k] % SYMBOLS ** (k - 1)) for k in range(1, ORDER + 1)}
-        self.value = np.zeros((first[ORDER + 1], SYMBOLS), np.float32)
-        self.child = np.zeros((first[ORDER], SYMBOLS), np.int32)
-        for k in range(ORDER + 1):
-            if k:
-                self.child[first[k - 1] + shorter[k], contexts[k] // SYMBOLS ** (k - 1)] = first[k] + np.arange(len(contexts[k]))
-            for at in range(0, len(contexts[k]), 4096):
-                chain, row = [], np.arange(at, min(at + 4096, len(contexts[k])))
-                for j in range(k, -1, -1):
-                    chain.append(rows[j][row])
-                    row = shorter[j][row] if j else row
-                self.value[first[k] + at : first[k] + at + len(chain[0])] = code_lengths(chain)
-        self.value, self.child = self.value.ravel(), self.child.ravel()
-        near = np.arange(SYMBOLS**DENSE)  # every DENSE symbols: how far they lead
-        node = best = np.ones(len(near), np.int32)
-        for j in range(DENSE):
-            node = self.child[node * SYMBOLS + near // SYMBOLS**j % SYMBOLS]
-            best = np.where(node > 0, node, best)
-        self.node, self.best = node, best
-
-    def log10(self, s: np.ndarray) -> float:
-        """Of the probability of the symbols after the first ORDER."""
-        near = grams(s, DENSE + 1) // SYMBOLS
-        node, best = self.node[near], self.best[near]
-        for j in range(DENSE + 1, ORDER + 1):
-            node = self.child[node * SYMBOLS + s[ORDER - j : len(s) - j]]
-            best = np.where(node > 0, node, best)
-        return float(self.value[best * SYMBOLS + s[ORDER:]].sum(dtype=np.float64))
-
-
-def code_lengths(chain: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each symbol after some contexts: ``chain`` has the counts at each, then at shorter ones."""
-    shape = chain[0].shape
-    escaped = np.zeros((shape[0], 1))  # log10 of the escapes so far
-    open_ = np.ones(shape, bool)  # symbols not yet excluded
-    result = np.zeros(shape)
-    for c in [*chain, np.ones(shape)]:
-        c = np.where(open_ & (c > 0), 2.0 * c - 1, 0)
-        total, distinct, left = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True), open_.sum(1, keepdims=True)
-        escape = np.where(distinct < left, distinct, 0)  # no escape if no symbol is left for shorter contexts
-        used = total > 0
-        bottom = np.log10(np.where(used, total + escape, 1))
-        hit = c > 0
-        result = np.where(hit, escaped + np.log10(np.where(hit, c, 1)) - bottom, result)
-        escaped = escaped + np.where(used & (escape > 0), np.log10(np.maximum(escape, 1)) - bottom, 0)
-        open_ = open_ & ~hit
-    return result
-
-
-def _histogram(docs: DataFrame) -> np.ndarray:
-    """Counts of the bytes of the rows' texts: 256 numbers a task, summed."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for b in batches:
-            for value in b.column(0).cast(pa.large_binary()):
-                total += np.bincount(np.frombuffer(lowered(value.as_py()), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], ["byte", "n"])
-
-    found = docs.select("text").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(256, np.int64)
-    for r in found:
-        counts[r.byte] = r.n
-    return counts
-
-
 def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     seen, at = np.unique(code, return_inverse=True)
     return seen, np.bincount(at, n, len(seen)).astype(np.int64)
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, Trie]:
-    """Byte classes, shares within the last class, and the context trie, from the texts of all rows."""
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    histogram = _histogram(rows)
-    classes, inner = byte_classes(histogram)
-    least = max(1, RARE * histogram.sum())
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The longest contexts with their next symbols, counted over a task; the shorter ones follow from them."""
-        seen, n, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-        def settle() -> tuple[np.ndarray, np.ndarray]:
-            fresh, m = np.unique(np.concatenate(waiting), return_counts=True)
-            return _summed(np.concatenate([seen, fresh]), np.concatenate([n, m]))
-
-        for b in batches:
-            for value in b.column(0).cast(pa.large_binary()):
-                waiting.append(grams(symbols(lowered(value.as_py()), classes), ORDER + 1))
-                size += len(waiting[-1])
-                if size >= _CHUNK:
-                    seen, n = settle()
-                    waiting, size = [], 0
-        if waiting:
-            seen, n = settle()
-        out = []
-        for k in range(ORDER, DENSE - 1, -1):
-            part = (seen // SYMBOLS * 0x9E3779B1 >> 7) % parts
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(bounds)):
-                here = order[bounds[p] : bounds[p + 1]]
-                out.append((k, int(p), seen[here].tobytes(), n[here].astype(np.uint32).tobytes()))
-            seen, n = _summed(seen % SYMBOLS**k, n)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["k", "part", "codes", "counts"])
-
-    def keep(group: pa.Table) -> pa.Table:
-        """Sums of a part's counts; longer contexts stay if they are frequent enough over the whole training set."""
-        k = group.column("k")[0].as_py()
-        code, n = _summed(*(np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("codes", np.int64), ("counts", np.uint32))))
-        if k > DENSE:
-            edge = np.flatnonzero(np.diff(code // SYMBOLS, prepend=-1))
-            whole = np.repeat(np.add.reduceat(n, edge), np.diff(np.append(edge, len(n))))
-            code, n = code[whole >= least], n[whole >= least]
-        return pa.table({"k": pa.array([k] * len(code), pa.int32()), "code": pa.array(code), "n": pa.array(n)})
-
-    # bounded as the module says: SYMBOLS**(DENSE + 1) rows, and SYMBOLS / RARE for each longer order
-    found = rows.mapInArrow(count, "k int, part int, codes binary, counts binary").groupBy("k", "part").applyInArrow(keep, "k int, code long, n long").toArrow()
-    order, code, n = (found.column(c).to_numpy() for c in ("k", "code", "n"))
-    return classes, inner, Trie({k: (code[order == k], n[order == k]) for k in range(DENSE, ORDER + 1)})
-
-
 def _short_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Grams of order LOCAL - 1 of the rows' texts, sorted, and their counts."""
 
