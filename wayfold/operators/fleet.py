@@ -76,8 +76,22 @@ def safety(events: DataFrame, vehicles: DataFrame) -> DataFrame:
     return recent.groupBy("fleet_id", "vehicle_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("detail"))
 
 
+def _faulty() -> Column:
+    return F.col("fault_code").isNotNull() & ~F.upper("fault_code").isin("NULL", "NONE", "0", "CLEAR", "")
+
+
+def _unfit() -> Column:
+    return F.col("reason").isNotNull() | F.col("freshness").isin("STALE", "OFFLINE", "ERROR")
+
+
+def _with_reason(vehicles: DataFrame, records: DataFrame) -> DataFrame:
+    """Adds the category of each vehicle's oldest unresolved record."""
+    reason = records.where((F.col("status") == UNRESOLVED) & F.col("known_vehicle").isNotNull()).groupBy(F.col("known_vehicle").alias("vehicle_id")).agg(F.min_by("category", F.struct("t_us", "event_id")).alias("reason"))
+    return vehicles.join(reason, "vehicle_id", "left")
+
+
 def service(vehicles: DataFrame) -> DataFrame:
-    return vehicles.where(F.col("fault_code").isNotNull() & ~F.upper("fault_code").isin("NULL", "NONE", "0", "CLEAR", "")).select("fleet_id", "vehicle_id", F.col("fault_code").alias("detail"))
+    return vehicles.where(_faulty()).select("fleet_id", "vehicle_id", F.col("fault_code").alias("detail"))
 
 
 def charging(vehicles: DataFrame) -> DataFrame:
@@ -86,9 +100,13 @@ def charging(vehicles: DataFrame) -> DataFrame:
 
 def quality(vehicles: DataFrame, records: DataFrame) -> DataFrame:
     """Vehicles with an unresolved record, or stale, offline or in error; the reason is the oldest record's category."""
-    reason = records.where((F.col("status") == UNRESOLVED) & F.col("known_vehicle").isNotNull()).groupBy(F.col("known_vehicle").alias("vehicle_id")).agg(F.min_by("category", F.struct("t_us", "event_id")).alias("reason"))
-    joined = vehicles.join(reason, "vehicle_id", "left").where(F.col("reason").isNotNull() | F.col("freshness").isin("STALE", "OFFLINE", "ERROR"))
-    return joined.select("fleet_id", "vehicle_id", F.coalesce("reason", "freshness").alias("detail"))
+    return _with_reason(vehicles, records).where(_unfit()).select("fleet_id", "vehicle_id", F.coalesce("reason", "freshness").alias("detail"))
+
+
+def tagged(vehicles: DataFrame, records: DataFrame) -> DataFrame:
+    """(metric, fleet_id, vehicle_id) of service, charging and quality in one pass over the vehicles."""
+    metrics = F.array_compact(F.array(F.when(_faulty(), "service"), F.when(F.col("battery_soc") < LOW_CHARGE, "charging"), F.when(_unfit(), "quality")))
+    return _with_reason(vehicles, records).select(F.explode(metrics).alias("metric"), "fleet_id", "vehicle_id")
 
 
 def vin_valid(vin: Column) -> Column:

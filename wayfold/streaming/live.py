@@ -98,17 +98,24 @@ def activity_windows(jobs: DataFrame, gap: str = "5 minutes", lateness: str = "1
     return jobs.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap), "fleet_id").agg(F.count("*").alias("jobs"))
 
 
+HISTORY_BUCKETS = 256
+
+
 def keep_trips_current(spark: SparkSession, points_path: str, trips_path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends a batch of points and builds the trips of the vehicles in it anew.
 
     Late points are handled by recomputing their vehicles from the whole history, whatever their age. Each batch writes its
     own folder, named by its number, so a repeated batch replaces itself; current_trips() reads the newest of each vehicle.
+    Points lie in buckets by a hash of the vehicle, and only the buckets of a batch's vehicles are read.
     """
+    bucket = F.pmod(F.xxhash64("vehicle_id"), F.lit(HISTORY_BUCKETS)).cast("int")
 
     def update(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{points_path}/batch={number}")
-        history = spark.read.option("basePath", points_path).parquet(points_path).where(F.col("batch") <= number).drop("batch")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{points_path}/batch={number}")
         touched = batch.select("vehicle_id").distinct()
+        buckets = [r.bucket for r in touched.select(bucket.alias("bucket")).distinct().collect()]  # at most HISTORY_BUCKETS
+        stored = spark.read.option("basePath", points_path).parquet(points_path)
+        history = stored.where((F.col("batch") <= number) & F.col("bucket").isin(buckets)).drop("batch", "bucket")
         points = trips.segmented(trips.with_steps(trips.gps_points(history.join(touched, "vehicle_id", "left_semi"))))
         built = trips.trips(points)
         marks = touched.join(built, "vehicle_id", "left")  # a vehicle whose trips are gone leaves an empty row
