@@ -73,7 +73,7 @@ def bitmap(counters: DataFrame, least: int, tasks: int) -> Broadcast:
 
     ordered = counters.select("range", "packed").repartition(tasks, "range").sortWithinPartitions("range")
     bits = np.zeros((BUCKETS // RANGE, RANGE // 8), np.uint8)
-    for row in ordered.mapInArrow(fold, "range int, bits binary").toLocalIterator():  # at most BUCKETS / RANGE rows
+    for row in ordered.mapInArrow(fold, "range int, bits binary").collect():  # BUCKETS bits in all, by one job
         bits[row.range] = np.frombuffer(row.bits, np.uint8)
     return counters.sparkSession.sparkContext.broadcast(bits.ravel())
 
