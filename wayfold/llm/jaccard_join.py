@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm._bitmaps import Counters, bitmap, bucket, within
@@ -263,6 +263,8 @@ def _families(corpus: _Corpus, buckets: DataFrame, classes: DataFrame) -> DataFr
     named = scratch.saved(_classed(buckets, classes))
     torn = named.groupBy("sig").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("sig", "a")
     edges = named.join(torn, "sig").where("class != a").select("a", F.col("class").alias("b")).distinct()
+    # the same families by fewer edges: a class and all that come before it are joined to the first of those
+    edges = edges.withColumn("first", F.min("a").over(Window.partitionBy("b"))).select(F.col("first").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a != b").distinct()
     families = components(edges, scratch).select(F.col("node").alias("class"), F.col("label").alias("family"))
     members = scratch.saved(named.select("node", "class").distinct().join(families, "class").select("family", "node"))
     drawings = corpus.sets(members.select("node"), "node long, size long, sketch binary", lambda name, of: {"node": [name], "size": [len(of)], "sketch": [sketch(of)]})
