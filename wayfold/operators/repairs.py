@@ -102,7 +102,7 @@ def evaluate(payloads: DataFrame, repair: RepairConfig) -> DataFrame:
     """
     paths = list(dict.fromkeys([p for r in repair.rules for p in r.sources] + ([repair.discriminator[0]] if repair.discriminator else [])))
     parsed = payloads.withColumn("parsed", F.try_parse_json("payload")).withColumn("shape", F.substring(F.schema_of_variant("parsed"), 1, 6))
-    read = read_out(parsed, {p: F.lit(True) for p in paths})
+    read = read_out(parsed, {p: F.lit(True) for p in paths}, numbers=[])
     raw: dict[str, Column] = {}
     for n, rule in enumerate(repair.rules):
         at = [paths.index(p) for p in rule.sources]
