@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.operators import contracts
-from wayfold.plans import mapping_queries
+from wayfold.plans import lifecycle_queries, mapping_queries
 
 
 def plan(df) -> str:
@@ -21,3 +21,8 @@ def test_texts_are_not_tried_as_numbers(spark):
     read = contracts.read_out(rows, {"a": F.lit(True), "b": F.lit(True)})
     assert read.select("kind_0", "number_0", "text_0", "kind_1", "number_1").first() == ("string", None, "12", "number", 3.0)
     assert "number_0" not in contracts.read_out(rows, {"a": F.lit(True)}, numbers=[]).columns
+
+
+def test_replays_read_their_list_and_do_not_select_again(spark, sf_dir):
+    for df in lifecycle_queries._replayed(spark, sf_dir):
+        assert "get_json_object" not in plan(df)

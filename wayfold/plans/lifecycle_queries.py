@@ -15,6 +15,7 @@ from wayfold.operators import snapshots as snap
 from wayfold.plans.fleet_queries import REC, records, replay_selection
 from wayfold.plans.mapping_queries import _FOUND, PAY, payloads
 from wayfold.plans.trip_queries import TRIPS, viable
+from wayfold.sources.files import stored
 from wayfold.sources.fixtures import TEL, telemetry
 
 RULES = rep.RepairRule
@@ -89,9 +90,12 @@ def repair_rules_valid(s: SparkSession, d: str) -> DataFrame:
 
 
 def _replayed(s, d):
-    """The events that are still in quarantine, replayed: vendor A's by another profile, the others' by repairs."""
-    chosen = replay_selection(s, d)
-    events = payloads(s, d).join(chosen.select("event_id"), "event_id", "left_semi")
+    """The events that are still in quarantine, replayed: vendor A's by another profile, the others' by repairs.
+
+    The list of events is written once; the numbering and each vendor's replay read it.
+    """
+    chosen = stored(replay_selection(s, d))
+    events = stored(payloads(s, d).join(chosen.select("event_id"), "event_id", "left_semi"))
     conflicts = chosen.where("event_id % 97 = 0")
     own = tuple(r for r in mp.RULES["A", "1"] if r.signal != "altitude")
     ran = rp.by_profile(events.where("vendor = 'A'"), "A", "1", own)

@@ -1,7 +1,10 @@
-"""CSV imports, and tables kept by key in place of a merge."""
+"""CSV imports, tables kept by key in place of a merge, and results that are written once for several readers."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,3 +29,19 @@ def latest_by_key(stored: DataFrame, fresh: DataFrame, key: str, order: str) ->
 def insert_new(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Rows of ``fresh`` whose key is not stored yet."""
     return fresh.join(stored.select(key), key, "left_anti")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written now to the folder that all executors share (spark.checkpoint.dir; in local mode a temporary one).
+
+    For what several branches of a plan read: each would otherwise compute it again.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}/wayfold-checkpoints"
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
