@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from wayfold.operators import contracts
+from wayfold.operators import contracts, ingest
 from wayfold.plans import lifecycle_queries, mapping_queries
 
 
@@ -26,3 +29,17 @@ def test_texts_are_not_tried_as_numbers(spark):
 def test_replays_read_their_list_and_do_not_select_again(spark, sf_dir):
     for df in lifecycle_queries._replayed(spark, sf_dir):
         assert "get_json_object" not in plan(df)
+
+
+def test_fold_by_parts_equals_the_fold_of_whole_connections(spark):
+    rng = random.Random(7)
+    rows = [(i, f"c{rng.randrange(2)}", rng.choice([None, "a", "b", "c", "d"]), f"h{rng.randrange(12)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "event_key long, connection_id string, source_event_id string, payload_hash string")
+    whole = pd.DataFrame(rows, columns=["event_key", "connection_id", "source_event_id", "payload_hash"])
+    want = {x.event_key: (x.verdict, x.owner) for _, g in whole.groupby("connection_id") for x in ingest.fold_one(g).itertuples()}
+    assert {x.event_key: (x.verdict, x.owner) for x in ingest.fold(df, 20).collect()} == want
+
+
+def test_a_large_connection_is_folded_in_parts(spark):
+    df = spark.range(2000).selectExpr("id AS event_key", "'c' AS connection_id", "if(id % 2 = 0, string(id), null) AS source_event_id", "string(id) AS payload_hash")
+    assert ingest.parted(df, 100).groupBy("part").count().agg(F.max("count")).first()[0] < 200

@@ -49,10 +49,50 @@ def fold_one(rows: pd.DataFrame) -> pd.DataFrame:
 FOLD_SCHEMA = "event_key long, connection_id string, source_event_id string, payload_hash string, verdict string, owner long"
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """Exact verdicts by a fold over each connection; ``events`` has event_key in order of arrival."""
+ROWS_A_PART = 25_000
+
+
+def fold_part(rows: pd.DataFrame) -> pd.DataFrame:
+    """The decision of some ids' events in order of arrival; ``first_of_hash`` says what other ids stored."""
+    stored: dict = {}
+    verdicts, owners = [], []
+    for event, connection, source, digest, first in zip(rows["event_key"], rows["connection_id"], rows["source_event_id"], rows["payload_hash"], rows["first_of_hash"], strict=True):
+        named = source is not None and source == source
+        own = stored.get((connection, source)) if named else None
+        if own is not None and digest in own:
+            verdicts.append(DUPLICATE)
+            owners.append(own[digest])
+        elif own is not None:
+            verdicts.append(CONFLICT)
+            owners.append(event)
+            own[digest] = event
+        elif first != event:
+            verdicts.append(DUPLICATE)
+            owners.append(first)
+        else:
+            verdicts.append(NEW)
+            owners.append(event)
+            if named:
+                stored[connection, source] = {digest: event}
+    return rows.assign(verdict=verdicts, owner=owners)[["event_key", "connection_id", "source_event_id", "payload_hash", "verdict", "owner"]]
+
+
+def parted(rows: DataFrame, rows_a_part: int) -> DataFrame:
+    """Adds ``part``: all events of an id of a connection are in one, others are dealt by their hash; more events make more parts."""
+    parts = rows.count() // rows_a_part + 1
+    return rows.withColumn("part", F.pmod(F.xxhash64("connection_id", "source_event_id", F.when(F.col("source_event_id").isNull(), F.col("payload_hash"))), F.lit(parts)))
+
+
+def fold(events: DataFrame, rows_a_part: int = ROWS_A_PART) -> DataFrame:
+    """The verdicts of fold_one() over each connection; ``events`` has event_key in order of arrival.
+
+    The first event of a payload hash is always stored, so events of different ids only meet in that event's key. With it
+    joined, the fold goes over parts of the ids of about ``rows_a_part`` events, whatever the size of a connection.
+    """
     rows = events.select("event_key", "connection_id", "source_event_id", "payload_hash")
-    return rows.groupBy("connection_id").applyInPandas(lambda p: fold_one(p.sort_values("event_key")), FOLD_SCHEMA)
+    by_hash = rows.groupBy(F.col("connection_id").alias("c"), F.col("payload_hash").alias("h")).agg(F.min("event_key").alias("first_of_hash"))
+    rows = parted(rows, rows_a_part).join(by_hash, F.col("connection_id").eqNullSafe(F.col("c")) & F.col("payload_hash").eqNullSafe(F.col("h")))
+    return rows.drop("c", "h").groupBy("part").applyInPandas(lambda p: fold_part(p.sort_values("event_key")), FOLD_SCHEMA)
 
 
 def deduplicate(events: DataFrame) -> DataFrame:
