@@ -105,6 +105,16 @@ def _packed(rows: DataFrame, block: str, name: str) -> DataFrame:
     return rows.groupBy(block).applyInArrow(pack, f"block int, {name}_ids binary, {name}_vectors binary")
 
 
+def _sampled(rows: DataFrame) -> list:
+    """The SAMPLE rows of the least hash of the id, then id. Each task sends that many hashes and ids to the driver, not vectors."""
+    keyed = rows.withColumn("hash", F.xxhash64("vec_id"))
+    last = keyed.select("hash", "vec_id").orderBy("hash", "vec_id").limit(SAMPLE).collect()
+    if not last:
+        return []
+    least, at = last[-1].hash, last[-1].vec_id
+    return keyed.where((F.col("hash") < least) | (F.col("hash") == least) & (F.col("vec_id") <= at)).limit(SAMPLE).collect()
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found to each query, by Euclidean distance.
 
@@ -117,7 +127,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dimension, count = (lengths[0].n, lengths[0]["count"]) if lengths else (1, 0)
     rows = rows.where(F.size("vector") == dimension)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").limit(SAMPLE).collect()
+    sample = _sampled(rows)
     x = np.array([r.vector for r in sample]).reshape(-1, dimension)
     apart = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0))[np.triu_indices(len(x), 1)]
     typical = float(np.median(apart[apart > 0])) if (apart > 0).any() else 1.0
@@ -162,15 +172,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     def ranked(asked: DataFrame, n: int, whole: bool) -> DataFrame:
         query_blocks = max(1, math.ceil(n / QUERIES_A_BLOCK))
         left = _packed(asked.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")), "at", "query")
-        pairs = left.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "block")
+        # merged: a broadcast of either side would go through the driver
+        pairs = left.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).hint("merge").join(right, "block")
         found = pairs.select("query_ids", "query_vectors", "vector_ids", "vector_vectors").mapInArrow(lambda batches: visit(batches, whole), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     probed = saved(ranked(queries, queries.count(), False))
     enough = probed.where(F.col("rank") == k).select("query_id")
-    lacking = queries.join(enough, queries.vec_id == enough.query_id, "left_anti")
+    lacking = queries.join(enough.hint("merge"), queries.vec_id == enough.query_id, "left_anti")
     n = lacking.count()
     if not n:
         return probed
-    return probed.join(enough, "query_id", "left_semi").select(*probed.columns).union(ranked(lacking, n, True))
+    return probed.join(enough.hint("merge"), "query_id", "left_semi").select(*probed.columns).union(ranked(lacking, n, True))
