@@ -7,7 +7,7 @@ import re
 
 from oracle import connect, same
 
-from wayfold.llm import bwt_dedup, cover_dedup, queries
+from wayfold.llm import _exchange, bwt_dedup, cover_dedup, queries
 
 
 def by_words(docs):
@@ -72,6 +72,21 @@ def test_random_overlaps(spark):
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in found} == by_words(words)
 
 
+def test_many_small_parts(spark, monkeypatch):
+    """On a large table a bucket sends few contexts to a part, at times only such as are repeated in full: those get no answer."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared = [word(700) for _ in range(6)]
+    docs = [(k, word(80) + r.choice(shared)[: r.choice((500, 600, 700))] + (word(300) if k % 2 else "")) for k in range(60)]
+    docs += [(1000 + k, t) for k, t in docs[:30]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(_exchange, "PART_CHARS", 400)
+    monkeypatch.setattr(_exchange.bucketed, "__defaults__", (None, 2_000))
+    for crowd in (bwt_dedup.CROWD, 4):
+        got = sorted((tuple(x) for x in bwt_dedup.remove_repeats(df, crowd).drop("kept").collect()), key=str)
+        assert got == by_bytes([(k, t.encode()) for k, t in docs])
+
+
 def test_periodic_text(spark):
     docs = [(1, "ab" * 500), (2, "x" * 399), (3, "y" * 400), (4, "z" * 401)]
     got = sorted((tuple(x) for x in bwt_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).drop("kept").collect()), key=str)
