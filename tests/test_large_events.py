@@ -43,3 +43,10 @@ def test_fold_by_parts_equals_the_fold_of_whole_connections(spark):
 def test_a_large_connection_is_folded_in_parts(spark):
     df = spark.range(2000).selectExpr("id AS event_key", "'c' AS connection_id", "if(id % 2 = 0, string(id), null) AS source_event_id", "string(id) AS payload_hash")
     assert ingest.parted(df, 100).groupBy("part").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_long_expressions_are_compiled_apart_in_small_methods(spark):
+    """A stage that makes them all in one method of over 8,000 bytes is interpreted by the JVM."""
+    rows = spark.createDataFrame([(1, "A", '{"speed_mph":1}')], "event_id long, vendor string, payload string")
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(contracts.detect(rows)._jdf.queryExecution().executedPlan())
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
