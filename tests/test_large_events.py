@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from wayfold.operators import contracts, ingest
-from wayfold.plans import lifecycle_queries, mapping_queries
+from wayfold.plans import fleet_queries, lifecycle_queries, mapping_queries
 
 
 def plan(df) -> str:
@@ -50,3 +50,16 @@ def test_long_expressions_are_compiled_apart_in_small_methods(spark):
     rows = spark.createDataFrame([(1, "A", '{"speed_mph":1}')], "event_id long, vendor string, payload string")
     stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(contracts.detect(rows)._jdf.queryExecution().executedPlan())
     assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
+def test_a_row_is_read_at_the_places_of_its_own_contract_alone(spark):
+    """Not at the paths of all vendors' contracts: the types looked up are as many as the longest contract has fields."""
+    rows = spark.createDataFrame([(1, "A", '{"speed_mph":1}')], "event_id long, vendor string, payload string")
+    longest = max(len(c.fields) for c in contracts.CONTRACTS)
+    assert 0 < plan(contracts.detect(rows)).count("schemaOfVariant") <= longest
+
+
+def test_quarantine_parses_a_payload_once_and_makes_no_signals(spark, sf_dir):
+    told = plan(fleet_queries.records(spark, sf_dir))
+    assert told.count("parseJson") == 1
+    assert "MPH_TO_KMH" not in told and "NOT_CHARGING" not in told
