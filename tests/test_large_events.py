@@ -7,7 +7,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from wayfold.operators import contracts, ingest
+from wayfold.operators import contracts, ingest, repairs
 from wayfold.plans import fleet_queries, lifecycle_queries, mapping_queries
 
 
@@ -63,3 +63,27 @@ def test_quarantine_parses_a_payload_once_and_makes_no_signals(spark, sf_dir):
     told = plan(fleet_queries.records(spark, sf_dir))
     assert told.count("parseJson") == 1
     assert "MPH_TO_KMH" not in told and "NOT_CHARGING" not in told
+
+
+def test_a_repair_looks_up_one_type_a_rule_and_makes_no_unused_fields(spark, sf_dir):
+    repair = lifecycle_queries.REPAIRS["A"]
+    p = mapping_queries.payloads(spark, sf_dir)
+    told = plan(repairs.evaluate(p, repair).select("event_id", "errors"))
+    assert told.count("schemaOfVariant") <= len(repair.rules) + 1
+    assert "struct(signal" not in told
+
+
+def test_repairs_of_odd_values(spark):
+    """Numbers as texts, Unix times, null and missing sources, and times at the ends of what four digits tell."""
+    rule = repairs.RepairRule
+    config = repairs.RepairConfig((rule("vehicle_speed", ("a", "b")), rule("event_time", ("t",), "ISO_TIME", True), rule("fault_code", ("f",))), ("kind", "x"))
+    cases = [
+        ('{"kind":"x","a":null,"b":" 7 ","t":"2026-01-01T00:00:00Z"}', 7.0, "2026-01-01T00:00:00.000Z", ""),
+        ('{"kind":"x","a":1e400,"b":3,"t":"2026-01-01T00:00:00Z"}', None, "2026-01-01T00:00:00.000Z", "vehicle_speed: not a number; signals: none mapped"),
+        ('{"kind":"y","a":5,"t":"9999-12-31T23:59:59-01:00","f":4}', 5.0, None, "discriminator: another value; event_time: no time with a zone; fault_code: not a text; event_time: not mapped"),
+        ('{"a":true,"t":7}', None, None, "discriminator: another value; vehicle_speed: not a number; event_time: no time with a zone; event_time: not mapped; signals: none mapped"),
+        ("[1]", None, None, "payload: not a JSON object"),
+    ]
+    rows = repairs.evaluate(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, payload string"), config)
+    got = rows.orderBy("i").select("vehicle_speed", "event_time", F.array_join("errors", "; ")).collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in cases]

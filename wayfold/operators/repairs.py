@@ -10,8 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators.contracts import once, read_out
-from wayfold.operators.mapping import ISO_TIME, NUMERIC, RANGES, TEXT, convert, strict
+from wayfold.operators.contracts import apart, once
+from wayfold.operators.mapping import ISO_TIME, NUMERIC, RANGES, TEXT, convert, first_found, strict
 
 #: The conversions, and the texts that signals may take.
 NUMBER_CONVERSIONS = ("MPH_TO_KMH", "MILES_TO_KM", "FRACTION_TO_PERCENT", "METRES_TO_KM", "CELSIUS_FROM_FAHRENHEIT", "MICRODEGREES_TO_DEGREES")
@@ -57,20 +57,28 @@ def zoned(text: Column) -> Column:
     return F.when(text.rlike(ISO_TIME), text.try_cast("timestamp"))
 
 
-def _ruled(rule: RepairRule, kind: Column, text: Column) -> tuple[Column, Column, Column]:
-    """Number, text and the message of what is wrong, for a source that is there."""
-    number, plain = strict(kind, text), F.lit(None).cast("string")
+def _time(rule: RepairRule, kind: Column, text: Column, number: Column) -> Column:
+    """The time that a source is under the conversions of times, null under the others."""
+    if rule.conversion == "ISO_TIME":
+        return F.when(kind == "string", zoned(text))
+    if rule.conversion in ("UNIX_SECONDS", "UNIX_MILLISECONDS"):
+        millis = number * (1000 if rule.conversion == "UNIX_SECONDS" else 1)
+        return F.when((millis > 0) & (millis < 2.5e14), F.timestamp_millis(millis.cast("long")))
+    return F.lit(None).cast("timestamp")
+
+
+def _ruled(rule: RepairRule, kind: Column, text: Column, number: Column, time: Column) -> tuple[Column, Column, Column]:
+    """Number, text and the message of what is wrong, for a source that is there; ``time`` is that of _time()."""
+    plain = F.lit(None).cast("string")
     none, wrong = F.lit(None).cast("double"), F.lit(None).cast("string")
     if rule.conversion in NUMBER_CONVERSIONS or rule.conversion == "SCALE_OFFSET":
         wrong = F.when(number.isNull(), "not a number")
         number = number * rule.scale + rule.offset if rule.conversion == "SCALE_OFFSET" else convert(number, rule.conversion)
     elif rule.conversion in ("UNIX_SECONDS", "UNIX_MILLISECONDS"):
         millis = number * (1000 if rule.conversion == "UNIX_SECONDS" else 1)
-        sound = (millis > 0) & (millis <= 8.64e15)
-        wrong = F.when(number.isNull(), "not a number").when(~sound, "invalid Unix time")
-        plain, number = F.when(sound & (millis < 2.5e14), iso(F.timestamp_millis(millis.cast("long")))), none
+        wrong = F.when(number.isNull(), "not a number").when(~((millis > 0) & (millis <= 8.64e15)), "invalid Unix time")
+        plain, number = iso(time), none
     elif rule.conversion == "ISO_TIME":
-        time = F.when(kind == "string", zoned(text))
         wrong, plain, number = F.when(time.isNull(), "no time with a zone"), iso(time), none
     elif rule.conversion == "ENUM_MAP":
         for code, meaning in rule.codes.items():
@@ -84,6 +92,10 @@ def _ruled(rule: RepairRule, kind: Column, text: Column) -> tuple[Column, Column
     if rule.signal in NUMERIC:
         low, high = RANGES[rule.signal]
         return number, F.lit(None).cast("string"), F.coalesce(wrong, F.when(number.isNull(), "not a number").when(number < low, "below the range").when(number > high, "above the range"))
+    if rule.signal == "event_time" and rule.conversion in ("ISO_TIME", "UNIX_SECONDS", "UNIX_MILLISECONDS"):
+        usual = F.year(time).between(1, 9999)  # the text of such a time says the same time again
+        wrong = F.coalesce(wrong, F.when(time.isNull(), "not a text").when(~usual & zoned(plain).isNull(), "no time with a zone"))
+        return none, F.when(usual, plain).otherwise(iso(zoned(plain))), wrong
     wrong = F.coalesce(wrong, F.when(plain.isNull(), "not a text"))
     if rule.signal == "event_time":
         return none, iso(zoned(plain)), F.coalesce(wrong, F.when(zoned(plain).isNull(), "no time with a zone"))
@@ -100,48 +112,45 @@ def evaluate(payloads: DataFrame, repair: RepairConfig) -> DataFrame:
     discriminator must have its value, an event time and one more signal must be mapped, and both coordinates or neither.
     A payload that is no JSON object has this one error and nothing else.
     """
-    paths = list(dict.fromkeys([p for r in repair.rules for p in r.sources] + ([repair.discriminator[0]] if repair.discriminator else [])))
+    sources = [list(r.sources) for r in repair.rules] + ([[repair.discriminator[0]]] if repair.discriminator else [])
+    texts = {n for n, r in enumerate(repair.rules) if r.conversion == "ENUM_MAP"} | {len(repair.rules)}
     parsed = payloads.withColumn("parsed", F.try_parse_json("payload")).withColumn("shape", F.substring(F.schema_of_variant("parsed"), 1, 6))
-    read = read_out(parsed, {p: F.lit(True) for p in paths}, numbers=[])
-    raw: dict[str, Column] = {}
-    for n, rule in enumerate(repair.rules):
-        at = [paths.index(p) for p in rule.sources]
-        first = F.coalesce(*[F.when(F.col(f"kind_{i}").isNotNull(), F.struct(F.lit(p).alias("source"), F.col(f"kind_{i}").alias("kind"), F.col(f"text_{i}").alias("text"))) for i, p in zip(at, rule.sources, strict=True)])
-        raw[f"from_{n}"] = first
-    if repair.discriminator:
-        raw["sort"] = F.coalesce(F.col(f"text_{paths.index(repair.discriminator[0])}"), F.lit("null")) == repair.discriminator[1]
-    rows = once(read, [*payloads.columns, "shape"], raw)
+    rows = first_found(parsed, sources, texts)
+    at = lambda n: [F.col(f"{c}_{n}") for c in ("kind", "text", "number")]
+    rows = rows.withColumns({f"time_{n}": _time(rule, *at(n)) for n, rule in enumerate(repair.rules)})
     made: dict[str, Column] = {}
     for n, rule in enumerate(repair.rules):
-        number, text, wrong = _ruled(rule, F.col(f"from_{n}.kind"), F.col(f"from_{n}.text"))
-        made |= {f"number_{n}": number, f"said_{n}": text, f"wrong_{n}": wrong}
-    rows = once(rows, [*payloads.columns, "shape", *raw], made)
+        number, text, wrong = _ruled(rule, *at(n), F.col(f"time_{n}"))
+        made |= {f"became_{n}": number, f"said_{n}": text, f"wrong_{n}": wrong}
+    rows = apart(rows, made)
     fields, errors, warnings, values = [], [], [], {}
     for n, rule in enumerate(repair.rules):
-        there, wrong = F.col(f"from_{n}").isNotNull(), F.col(f"wrong_{n}")
+        there, wrong = F.col(f"value_{n}").isNotNull(), F.col(f"wrong_{n}")
         message = F.when(there, wrong).otherwise("required, but missing" if rule.required else "unavailable")
         status = F.when(~there, "blocked" if rule.required else "missing").when(wrong.isNotNull(), "blocked").otherwise("mapped")
-        number, text = (F.when(there & wrong.isNull(), F.col(f"{c}_{n}")) for c in ("number", "said"))
-        fields.append(F.struct(F.lit(rule.signal).alias("signal"), F.col(f"from_{n}.source").alias("source"), F.col(f"from_{n}.text").alias("raw"), number.alias("number"), text.alias("text"), status.alias("status"), message.alias("message")))
+        number, text = (F.when(there & wrong.isNull(), F.col(f"{c}_{n}")) for c in ("became", "said"))
+        fields.append(F.struct(F.lit(rule.signal).alias("signal"), F.col(f"source_{n}").alias("source"), F.try_variant_get(f"value_{n}", "$", "string").alias("raw"), number.alias("number"), text.alias("text"), status.alias("status"), message.alias("message")))
         named = F.concat(F.lit(f"{rule.signal}: "), message)
         errors.append(F.when(status == "blocked", named))
         warnings.append(F.when(status == "missing", named))
         values[rule.signal] = number if rule.signal in NUMERIC else text
     nothing = {s: F.lit(None).cast("double" if s in NUMERIC else "string") for s in SIGNALS}
     values = nothing | values
-    before = [F.when(~F.col("sort"), "discriminator: another value")] if repair.discriminator else []
+    sort = F.coalesce(F.col(f"text_{len(repair.rules)}"), F.lit("null")) == repair.discriminator[1] if repair.discriminator else F.lit(True)
+    before = [F.when(~sort, "discriminator: another value")] if repair.discriminator else []
     after = [
         F.when(values["event_time"].isNull(), "event_time: not mapped"), F.when(values["latitude"].isNull() != values["longitude"].isNull(), "position: half of it"),
         F.when(F.coalesce(*[v.cast("string") for s, v in values.items() if s != "event_time"]).isNull(), "signals: none mapped"),
     ]
     whole = F.coalesce(F.col("shape") == "OBJECT", F.lit(False))
-    out = {
-        "fields": F.when(whole, F.array(*fields)).otherwise(F.array().cast(_FIELD)),
+    told = {
         "errors": F.when(whole, F.array_compact(F.array(*before, *errors, *after))).otherwise(F.array(F.lit("payload: not a JSON object"))),
         "warnings": F.when(whole, F.array_compact(F.array(*warnings))).otherwise(F.array().cast("array<string>")),
     }
-    out |= {s: F.when(whole, v) for s, v in values.items()}
-    return once(rows, payloads.columns, out).withColumn("success", F.size("errors") == 0)
+    each = [f"{c}_{n}" for n in range(len(repair.rules)) for c in ("value", "source", "became", "said", "wrong")]
+    out = once(rows, [*payloads.columns, "shape", *each], told)
+    listed = F.when(whole, F.array(*fields)).otherwise(F.array().cast(_FIELD)).alias("fields")  # made for those who ask for them
+    return out.select(*payloads.columns, listed, "errors", "warnings", *[F.when(whole, v).alias(s) for s, v in values.items()], (F.size("errors") == 0).alias("success"))
 
 
 SECRETS = ("password", "secret", "token", "authorization", "api_key", "apikey", "credential")
